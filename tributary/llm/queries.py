@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import simhash
+from tributary.llm import mixing, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_packing": packing.op3_packing,
+    "op5_mixing": mixing.op5_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
