@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import mixing, packing, simhash
+from tributary.llm import mixing, packing, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op3_packing": packing.op3_packing,
     "op5_mixing": mixing.op5_mixing,
+    "op6_substrings": substrings.op6_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {}
