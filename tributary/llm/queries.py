@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import mixing, packing, simhash, substrings
+from tributary.llm import mixing, packing, pii, secrets, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_secrets": secrets.op2_secrets,
     "op3_packing": packing.op3_packing,
     "op5_mixing": mixing.op5_mixing,
     "op6_substrings": substrings.op6_substrings,
+    "op7_pii": pii.op7_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_secrets": secrets.SQL,
+    "op7_pii": pii.SQL,
+}
