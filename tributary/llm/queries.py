@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import mixing, packing, pii, secrets, simhash, substrings
+from tributary.llm import mixing, packing, pii, quality, secrets, simhash, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,9 +15,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": mixing.op5_mixing,
     "op6_substrings": substrings.op6_substrings,
     "op7_pii": pii.op7_pii,
+    "op8_quality": quality.op8_quality,
+    "op9_tokens": tokens.op9_tokens,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_secrets": secrets.SQL,
     "op7_pii": pii.SQL,
+    "op8_quality": quality.SQL,
 }
