@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import mixing, packing, pii, quality, secrets, simhash, substrings, tokens
+from tributary.llm import licenses, mixing, packing, pii, quality, secrets, simhash, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": pii.op7_pii,
     "op8_quality": quality.op8_quality,
     "op9_tokens": tokens.op9_tokens,
+    "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
