@@ -5,10 +5,53 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tributary.llm import mixing, packing, pii, quality, simhash
 from tributary.llm.common import cut, documents
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """docs with n_chars of its texts as they are now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without the lines that failed."""
+    return _measured(quality.clean(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, on shingles of five words at a similarity of 0.8."""
+    return simhash.near_duplicates_out(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return _measured(pii.redact(docs))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; sources weigh 1, 2, 3 in turn."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 1024 ids."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(docs, tokenizer).drop("__row").withColumnRenamed("id", "doc_id")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_duplicates),
+    ("PII", personal_data),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
+]
 
 #: The stages hash, tokenize and pack, which SQL doesn't express; tests/llm compare them with brute force.
 ORACLE_SQL = None

@@ -69,3 +69,13 @@ def unsigned_hex(c: Column) -> Column:
 def maybe_broadcast(df: DataFrame, n: int, most: int = 20_000) -> DataFrame:
     """A broadcast hint for a table that was counted and is small; beyond it the join shuffles and AQE splits hot keys."""
     return F.broadcast(df) if n <= most else df
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """All columns of df under c0, c1, ... and the row id that rows(df) gives; df is a stored table, read alike each time."""
+    return df.select(F.monotonically_increasing_id().alias(ROW), *[df[c].alias(f"c{i}") for i, c in enumerate(df.columns)])
+
+
+def renamed(made: DataFrame, df: DataFrame, **new: Column) -> DataFrame:
+    """The columns of numbered(df) under their own names again; new gives other values for some."""
+    return made.select(*[new.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(df.columns)])

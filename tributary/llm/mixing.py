@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tributary.llm.common import ROW, cut, documents, maybe_broadcast, release
+from tributary.llm.common import ROW, cut, documents, maybe_broadcast, numbered, release, renamed
 
 #: A word: anything but space and the five ASCII controls that separate lines and columns.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,7 +59,7 @@ def ranked_weights(sources: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0
     return ranged.withColumn("weight", F.element_at(weights, (rank % len(cycle) + 1).cast("int"))).drop("part")
 
 
-def mix(df: DataFrame, weights=None, source: str = "source", text: str = "text", id: str = "doc_id", cap: float = 3.0, seed: int = 42, bucket: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(df: DataFrame, weights=None, source: str = "source", text: str = "text", id: str = "doc_id", cap: float = 3.0, seed: int = 42, bucket: int = 4096) -> DataFrame:
     """(__row, id, source, size, source_size, target, copies) of each row; copies is how often the mix takes it.
 
     size counts the text's words (null: 0). weights is a table (source, weight), or None: then sources by code point,
@@ -70,9 +70,8 @@ def mix(df: DataFrame, weights=None, source: str = "source", text: str = "text",
     The order is cut into buckets by the hash's leading bits, so many that each has about bucket rows, and only the
     buckets' sums are added up per source: no source's rows meet in one task. Reruns agree: rows with equal ids are
     ordered by size and text, and rows equal in all that are alike. A null source is a source; an empty table gives
-    an empty result. carry names columns to keep, under carry_0, carry_1, ...; others are ignored.
+    an empty result. Other columns are ignored, whatever their names.
     """
-    spark = df.sparkSession
     doc = df.select(
         F.monotonically_increasing_id().alias(ROW),
         df[id].alias("id"),
@@ -80,9 +79,8 @@ def mix(df: DataFrame, weights=None, source: str = "source", text: str = "text",
         word_count(df[text].cast("string")).alias("size"),
         F.xxhash64(F.lit(seed), df[id], F.lit(seed)).alias("h"),
         F.xxhash64(df[text].cast("string")).alias("h2"),
-        *[df[c].alias(f"carry_{i}") for i, c in enumerate(carry)],
     )
-    thin = doc if carry else cut(doc)
+    thin = cut(doc)
     sized = cut(thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
     if weights is None:
         weighted = ranked_weights(sized.drop("n"))
@@ -108,14 +106,15 @@ def mix(df: DataFrame, weights=None, source: str = "source", text: str = "text",
     more = (upto - F.col("size") / 2.0 < F.col("extra")) & (F.col("whole") < cap)
     out = rows.withColumn("copies", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("long"))
     release(sized, filled)
-    return out.select(ROW, "id", "source", "size", "source_size", "target", "copies", *[f"carry_{i}" for i in range(len(carry))])
+    return out.select(ROW, "id", "source", "size", "source_size", "target", "copies")
 
 
 def mixed(df: DataFrame, weights=None, source: str = "source", text: str = "text", id: str = "doc_id", cap: float = 3.0, seed: int = 42) -> DataFrame:
-    """The mix itself: the rows of df, with all their columns, as often as mix() takes them."""
-    out = mix(df, weights, source, text, id, cap, seed, carry=tuple(df.columns))
-    out = out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*[F.col(f"carry_{i}").alias(c) for i, c in enumerate(df.columns)])
+    """The mix itself: the rows of df, a stored table, with all their columns, as often as mix() takes them."""
+    taken = cut(mix(df, weights, source, text, id, cap, seed).where("copies > 0").select(F.col(ROW).alias("of"), F.col("copies").cast("int").alias("times")))
+    named = numbered(df)
+    out = named.join(taken, F.col(ROW) == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return renamed(out, df)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import ROW, cut, documents, rows
+from tributary.llm.common import ROW, cut, documents, numbered, renamed, rows
 from tributary.llm.spans import Kind, joined, names_sql, places, places_sql, proposals, words
 
 _LOCAL, _LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
@@ -99,14 +99,13 @@ def find_pii(df: DataFrame, text: str = "text", id: str = "doc_id", least: float
 
 
 def redact(df: DataFrame, text: str = "text", id: str = "doc_id", least: float = LEAST) -> DataFrame:
-    """df with every span in its texts replaced by its kind in brackets, as [EMAIL]; overlapping spans go as one.
+    """df, a stored table, with every span in its texts replaced by its kind in brackets, as [EMAIL]; overlapping spans go as one.
 
     Texts without a span stay as they are, nulls too; all rows and columns are kept. Texts that hold no match at all
     aren't shuffled.
     """
-    names = df.columns
-    kept = df.select(F.monotonically_increasing_id().alias(ROW), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    t = f"c{names.index(text)}"
+    kept = numbered(df)
+    t = f"c{df.columns.index(text)}"
     spans = cut(find_pii(df, text, id, least).where(F.size("spans") > 0).select(F.col(ROW).alias("of"), "spans"))
     may = F.lit(False)
     for k in KINDS:
@@ -124,9 +123,7 @@ def redact(df: DataFrame, text: str = "text", id: str = "doc_id", least: float =
 
     done = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substr(F.col(t), (a["at"] + 1).cast("int"))))
     new = F.when(F.col("spans").isNull(), F.col(t)).otherwise(done)
-    out = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
-    changed = [new.alias(c) if c == text else x for c, x in zip(names, out, strict=True)]
-    return kept.where(~may).select(*out).union(hit.select(*changed))
+    return renamed(kept.where(~may), df).union(renamed(hit, df, **{text: new}))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,6 +166,20 @@ def apply_rules(df: DataFrame, text: str = "text", id: str = "doc_id", rules: Ru
     return by_batches(of).mapInArrow(work, f"{ROW} long, id {df.schema[id].dataType.simpleString()}, {ddl}")
 
 
+def clean(df: DataFrame, text: str = "text", rules: Rules = DEFAULT) -> DataFrame:
+    """The rows of df that the rules keep, with all their columns, and their texts without the lines that failed."""
+    at, name = df.columns.index(text), df.schema[text].name
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [judge(t, rules) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            new = pa.array([m[-1] for m in made], pa.binary()).cast(batch.schema.field(at).type)
+            changed = pa.record_batch([new if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+            yield changed.filter(pa.array([m[6] for m in made], pa.bool_()))
+
+    return by_batches(df.withColumn(name, F.col(text).cast("string"))).mapInArrow(work, df.schema)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality figures and verdict of every document."""
     out = apply_rules(documents(spark, sf_dir), cleaned=False)

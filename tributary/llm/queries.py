@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import licenses, mixing, packing, pii, quality, secrets, simhash, substrings, tokens
+from tributary.llm import embeddings, licenses, mixing, packing, pii, quality, secrets, simhash, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_secrets": secrets.op2_secrets,
     "op3_packing": packing.op3_packing,
+    "op4_embeddings": embeddings.op4_embeddings,
     "op5_mixing": mixing.op5_mixing,
     "op6_substrings": substrings.op6_substrings,
     "op7_pii": pii.op7_pii,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_secrets": secrets.SQL,
+    "op4_embeddings": embeddings.SQL,
     "op7_pii": pii.SQL,
     "op8_quality": quality.SQL,
 }

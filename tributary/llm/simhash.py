@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import comb
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import ROW, by_batches, cut, documents, maybe_broadcast, release, rows, unsigned_hex
+from tributary.llm.common import ROW, by_batches, cut, documents, maybe_broadcast, numbered, release, renamed, rows, unsigned_hex
 from tributary.llm.components import components, forest
 
 BITS = 64
@@ -260,6 +260,18 @@ def simhash_dedup(df: DataFrame, text: str = "text", id: str = "doc_id", k: int
     return out
 
 
+def near_duplicates_out(df: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = 0.8, shingle: int = 5, words: int = 4, k: int = 15) -> DataFrame:
+    """The rows of df, a stored table, that stay: of each class of near-duplicates the one with the smallest id.
+
+    Fingerprints of 64 bits times words are linked within the distance that two sets of shingles at a Jaccard
+    similarity of similarity have on average; any two within k bits are candidates for certain, others with a chance
+    that falls with their distance. All columns are kept.
+    """
+    limit = int(BITS * words * acos(2 * similarity / (1 + similarity)) / pi)
+    stays = cut(simhash_dedup(df, text, id, k, shingle, words=words, limit=limit).where("keep").select(F.col(ROW).alias("of")))
+    return renamed(numbered(df).join(stays, F.col(ROW) == F.col("of"), "left_semi"), df)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint (3-word shingles) and near-duplicate class (2 bits) of every document."""
     out = simhash_dedup(documents(spark, sf_dir))
