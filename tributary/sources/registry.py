@@ -145,11 +145,15 @@ def _start(df: DataFrame, spec: Spec, writer: Callable):
 
 
 def _write_file(df: DataFrame, spec: Spec, streaming: bool):
-    """Appends lines to the folder file_path; records without a payload are left out."""
-    path, df = spec.need("file_path")["file_path"], df.where("value is not null").select("value")
+    """Lines in the folder file_path; records without a payload are left out.
+
+    Stored records are appended under batch=initial. Each batch of a stream has a folder of its own, which is written
+    anew if the batch is tried again, so no line is lost or doubled. Readers of file_path find all of them.
+    """
+    path, df = spec.need("file_path")["file_path"].rstrip("/"), df.where("value is not null").select("value")
     if streaming:
-        return _start(df, spec, lambda w: w.format("text").outputMode("append").option("path", path))
-    df.write.mode("append").text(path)
+        return _start(df, spec, lambda w: w.foreachBatch(lambda batch, n: batch.write.mode("overwrite").text(f"{path}/batch={n}")))
+    df.write.mode("append").text(f"{path}/batch=initial")
     return None
 
 
