@@ -14,7 +14,7 @@ from tributary.functions import json as J
 from tributary.operators import chunks, kv, partitioning, relational, transforms
 from tributary.plans import envelope
 from tributary.plans.pipeline import union_initial_and_live
-from tributary.session import table
+from tributary.session import scratch, table
 from tributary.sources import documents as feed
 from tributary.streaming import windows
 
@@ -658,3 +658,67 @@ def udtf_expand(spark, d):
 
     spark.udtf.register("tributary_expand", Expand)
     return spark.sql("select event_id, x.i from {events}, lateral tributary_expand(event_id % 3) x", events=_events(spark, d))
+
+
+# Streams, run over all that is there and read back
+
+
+def _stream(spark: SparkSession, d: str, columns: str = "*") -> DataFrame:
+    return spark.readStream.schema(_events(spark, d).schema).parquet(f"{d}/event[s].parquet").selectExpr(*[columns])
+
+
+@query("select time_bucket(interval '1 day', ts) as window_start, time_bucket(interval '1 day', ts) + interval '1 day' as window_end, event_type, count(*) as n from events group by 1, 2, 3")
+def stream_tumbling(spark, d):
+    out = windows.tumbling(windows.timed(_stream(spark, d), "ts"), "ts", "1 day", ["event_type"], _n())
+    made = windows.stored(out, scratch(spark), "complete")
+    return made.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+@query(f"select event_id, 'Processed: ' || upper(event_type) as text, ({_FNV_SQL.format(c='props')} % 4)::int as partition_id from events where event_id % 3 <> 0")
+def stream_pipeline(spark, d):
+    """Filter, transform and route a stream; append."""
+    kept = _stream(spark, d).where("event_id % 3 <> 0").withColumn("text", J.upper_simple(F.col("event_type")))
+    out = partitioning.with_partition(transforms.prefix_lines(kept, "text"), "props", 4).select("event_id", "text", "partition_id")
+    return windows.stored(out, scratch(spark))
+
+
+@query("select user_id, event_type, 1::bigint as n from events group by user_id, event_type")
+def stream_dedup(spark, d):
+    timed = windows.timed(_stream(spark, d), "ts", "100 days")
+    out = windows.stored(windows.distinct_by(timed, ["user_id", "event_type"]).select("user_id", "event_type"), scratch(spark))
+    return out.groupBy("user_id", "event_type").agg(_n())
+
+
+@query("select a.event_id as first_id, b.event_id as next_id from events a join events b on a.user_id = b.user_id and b.ts between a.ts and a.ts + interval '1 hour' where a.event_type = 'view' and b.event_type = 'purchase'")
+def stream_stream_join(spark, d):
+    side = lambda kind: windows.timed(_stream(spark, d), "ts", "2 hours").where(F.col("event_type") == kind).select("event_id", "user_id", "ts")
+    out = windows.join_within(side("view"), side("purchase"), "user_id", "ts", "ts", "1 hour")
+    return windows.stored(out.select(F.col("l.event_id").alias("first_id"), F.col("r.event_id").alias("next_id")), scratch(spark))
+
+
+@query("select user_id::varchar as key, max(event_id) as version, arg_max(event_type, event_id) as value from events group by user_id having arg_max(event_type, event_id) <> 'error'")
+def stream_key_value(spark, d):
+    """A keyed store as a stream's state: last writes, deletions left out when it is read."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    changes = _stream(spark, d).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("set").alias("op"), F.col("event_type").alias("value"))
+    out = windows.stored(windows.last_writes(changes), scratch(spark), "update")
+    last = out.groupBy("key").agg(F.max_by(F.struct("seq", "op", "value"), "seq").alias("x"))
+    return last.where("x.op = 'set'").select("key", F.col("x.seq").alias("version"), "x.value")
+
+
+@query("select event_type, count(*) as n from events group by event_type")
+def counted_rows(spark, d):
+    """Counters of a plan's rows, observed while it runs."""
+    from tributary.plans.metrics import counted
+
+    rows, counts = counted(_events(spark, d), "event_type", ["signup", "purchase", "error", "view", "click"])
+    rows.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(k, n) for k, n in sorted(counts.get.items()) if n], "event_type string, n long")
+
+
+@query("select op, count(*) > 0 as some from (select unnest(['insert', 'update', 'delete']) as op) group by op")
+def cdc_workload(spark, d):
+    """Random changes in the shares 0.45, 0.45 and 0.1, alike for one seed."""
+    from tributary.sources.generate import changes
+
+    return changes(spark, 20_000, seed=1).groupBy("op").agg((F.count(F.lit(1)).between(20_000 * 0.08, 20_000 * 0.5)).alias("some"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,3 +23,17 @@ def session(app: str = "tributary", master: str | None = None, shuffle_partition
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of a data folder, read lazily."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tributary.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="tributary-")
+        spark.conf.set("tributary.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession, kind: str = "stream") -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/tributary/{kind}-{uuid.uuid4().hex}"

@@ -114,3 +114,19 @@ def run_once(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint:
     """Runs a stream over all that is there now, batch by batch, and ends. The checkpoint makes a rerun go on."""
     q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def stored(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """What a stream gives out over all that is there now, as a table under path; in complete mode the last batch's.
+
+    Each batch has a folder of its own, written anew if it is tried again.
+    """
+    spark = stream.sparkSession
+    last = []
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/{n if mode != 'complete' else 0}")
+        last.append(n)
+
+    run_once(stream, write, f"{path}/checkpoint", mode)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/out") if last else spark.createDataFrame([], stream.schema)
