@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -37,3 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, kind: str = "stream") -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/tributary/{kind}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers of this machine import the package, wherever the driver was started. On a cluster the package
+    comes with --py-files or is installed."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
