@@ -138,6 +138,8 @@ def test_asof_with_tolerance_and_ties(spark):
     b = spark.createDataFrame([("k", 10, 1), ("k", 10, 2), ("k", 12, 3), ("y", 1, 9)], "k string, t long, v long")
     got = {r.id: r.v for r in relational.asof_join(a, b, "t", "k", ["v"]).collect()}
     assert got == {1: 2, 2: 3, 3: None}
+    for width in (1, 7, 1000):
+        assert {r.id: r.v for r in relational.asof_join(a, b, "t", "k", ["v"], block=lambda c, w=width: F.floor(c / w)).collect()} == got
     got = {r.id: r.v for r in relational.asof_join(a, b, "t", "k", ["v"], F.lit(5)).collect()}
     assert got == {1: 2, 2: None, 3: None}
 
@@ -152,3 +154,29 @@ def test_interval_and_range_joins(spark):
     ranges = spark.createDataFrame([(i, lo := rnd.random() * 90, lo + rnd.random() * 12) for i in range(40)], "rid long, lo double, hi double")
     want = sorted((p.pid, r.rid) for p in points.collect() for r in ranges.collect() if r.lo <= p.x <= r.hi)
     assert sorted((r.pid, r.rid) for r in relational.range_join(points, ranges, "x", "lo", "hi", 5.0).collect()) == want
+
+
+def test_payload_schemas(spark):
+    from tributary.sources import formats
+
+    texts = ['{"a": 1, "b": "x"}', '{"a": 1.5, "b": "x"}', '{"a": null, "b": null}', '{"a": 1}', "[1]", None, '{"a": 2, "b": "y", "c": 3}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(formats.conforms(F.col("t"), "a int, b string")).collect()][2:] == [True, False, False, False, True]
+    assert df.select(formats.decode(F.col("t"), "json", "a int, b string").alias("x")).first().x.asDict() == {"a": 1, "b": "x"}
+    with pytest.raises(ValueError):
+        formats.decode(F.col("t"), "tape", "a int")
+    grown = formats.evolve(spark.createDataFrame([(1, "x")], "a int, b string"), spark.createDataFrame([(2.5, True)], "a double, c boolean"))
+    assert sorted(map(tuple, grown.collect()), key=str) == [(1.0, "x", None), (2.5, None, True)]
+    with pytest.raises(ValueError):
+        formats.evolve(spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([("x",)], "a string"))
+    waits, calls = [], []
+
+    def work():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return "done"
+
+    assert formats.retried(work, sleep=waits.append) == "done" and len(waits) == 2 and waits[0] <= 0.1
+    with pytest.raises(OSError):
+        formats.retried(lambda: (_ for _ in ()).throw(OSError()), tries=2, sleep=waits.append)

@@ -495,7 +495,7 @@ def join_range(spark, d):
 def join_asof(spark, d):
     a = _events(spark, d).where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     b = _events(spark, d).where("event_type = 'view'").select(F.col("event_id").alias("prior_id"), "user_id", "ts")
-    return relational.asof_join(a, b, "ts", "user_id", ["prior_id"]).select("event_id", "prior_id")
+    return relational.asof_join(a, b, "ts", "user_id", ["prior_id"], block=lambda c: F.date_trunc("day", c)).select("event_id", "prior_id")
 
 
 @query(
