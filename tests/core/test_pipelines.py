@@ -108,3 +108,27 @@ def test_bulk_upsert(spark, tmp_path):
 
 def test_status(spark):
     assert json.loads(status(spark, "runtime.spark")) == spark.version and json.loads(status(spark, "nothing.here")) == {}
+
+
+def test_services_through_a_client(spark, tmp_path):
+    feed = f"{tmp_path}/feed"
+    with open(feed, "w") as f:
+        f.write('{"n": 1}\n{"n": 2}')
+    shutil.rmtree("/tmp/tributary-sent", ignore_errors=True)
+    source_ = Spec("sqs", "q", "k", {"uri": feed, "client": "tests.core.fakes:database"})
+    Pipeline(source_, Spec("webhook", "w", "k", {"url": "http://h", "sender": "tests.core.fakes:send", "checkpoint": f"{tmp_path}/ck"})).run(spark)
+    import glob
+
+    assert sorted("".join(open(f).read() for f in glob.glob("/tmp/tributary-sent/*")).split("\n")) == ["", '{"n": 1}', '{"n": 2}']
+    shutil.rmtree("/tmp/tributary-sent", ignore_errors=True)
+    with pytest.raises(ValueError, match="client"):
+        Pipeline(Spec("sqs"), Spec("memory", config={"table": "t"})).run(spark)
+    with pytest.raises(ValueError, match="sender"):
+        spark.createDataFrame([("x",)], "value string").createOrReplaceTempView("v_in")
+        Pipeline(Spec("memory", config={"table": "v_in"}), Spec("redis", config={"url": "u"}), validate=False).run(spark)
+
+
+def test_memory_to_memory(spark):
+    spark.range(3).createOrReplaceTempView("numbers_in")
+    Pipeline(Spec("memory", config={"table": "numbers_in"}), Spec("memory", config={"table": "numbers_out"})).run(spark)
+    assert sorted(r.value for r in spark.table("numbers_out").collect()) == ['{"id":0}', '{"id":1}', '{"id":2}']

@@ -133,8 +133,36 @@ def _rate_live(spark: SparkSession, spec: Spec) -> DataFrame:
     return as_value(spark.readStream.format("rate").option("rowsPerSecond", spec.config.get("rows_per_second", "10")).load())
 
 
+def _memory_load(spark: SparkSession, spec: Spec) -> DataFrame:
+    """A view or table of the session."""
+    return as_value(spark.table(spec.need("table")["table"]))
+
+
+#: Services that are read through a client that the option client names as module:factory (sources/documents.py says
+#: what it does). Their records are texts; the client's tokens are the offsets.
+FEEDS = ("http", "webhook", "rabbitmq", "sqs", "pulsar", "kinesis", "pubsub", "postgresql_cdc")
+
+
+def _feed(spark: SparkSession, spec: Spec):
+    from tributary.sources.documents import DocumentSource
+
+    spark.dataSource.register(DocumentSource)
+    return DocumentSource.name(), dict(spec.need("client"))
+
+
+def _feed_load(spark: SparkSession, spec: Spec) -> DataFrame | None:
+    name, options = _feed(spark, spec)
+    return spark.read.format(name).options(**options).load() if _FLAGS.get(options.get("load_initial_data", "").lower(), False) else None
+
+
+def _feed_live(spark: SparkSession, spec: Spec) -> DataFrame:
+    name, options = _feed(spark, spec)
+    return spark.readStream.format(name).options(**options).load()
+
+
 _none = lambda spark, spec: None
-SOURCES |= {"kafka": (_none, _kafka_live), "mongodb": (_mongo_load, _mongo_live), "file": (_file_load, _file_live), "jdbc": (_jdbc_load, _none), "rate": (_none, _rate_live)}
+SOURCES |= {name: (_feed_load, _feed_live) for name in FEEDS}
+SOURCES |= {"memory": (_memory_load, _none), "kafka": (_none, _kafka_live), "mongodb": (_mongo_load, _mongo_live), "file": (_file_load, _file_live), "jdbc": (_jdbc_load, _none), "rate": (_none, _rate_live)}
 
 
 def _start(df: DataFrame, spec: Spec, writer: Callable):
@@ -193,4 +221,17 @@ def _write_memory(df: DataFrame, spec: Spec, streaming: bool):
     return None
 
 
+def _write_sent(df: DataFrame, spec: Spec, streaming: bool):
+    """Sends records in bulk, one a line, to url; a service that needs more than a post has its own sender."""
+    from tributary.sources.sinks import send_lines
+
+    spec.need("url", *(("sender",) if spec.type in ("redis", "mongodb") else ()))
+    if streaming:
+        return _start(df, spec, lambda w: w.foreachBatch(lambda batch, _: send_lines(batch, dict(spec.config))))
+    send_lines(df, dict(spec.config))
+    return None
+
+
+SINKS |= {name: _write_sent for name in ("http", "webhook", "redis", "mongodb")}
+SINKS |= {"s3": _write_file, "postgresql": _write_jdbc}
 SINKS |= {"file": _write_file, "kafka": _write_kafka, "elasticsearch": _write_upsert, "jdbc": _write_jdbc, "memory": _write_memory}

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import importlib
+import itertools
 import json
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,22 +34,32 @@ def with_ids(df: DataFrame) -> DataFrame:
     return made.groupBy("id").agg(F.max_by("value", "at").alias("value"))
 
 
+def _sender(where: str | None) -> Callable[[str, str, dict[str, str]], None]:
+    module, _, name = (where or "tributary.sources.sinks:post").partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+def _in_bulk(df: DataFrame, size: int, send: Callable[[list], None]) -> None:
+    """send(rows) for every size rows of each partition, on the executors."""
+
+    def work(rows: Iterator) -> None:
+        while held := list(itertools.islice(rows, size)):
+            send(held)
+
+    df.foreachPartition(work)
+
+
+def send_lines(df: DataFrame, config: dict[str, str], size: int = 500) -> None:
+    """Posts records to a url, one a line. At least once: a batch that is tried again is sent again."""
+    url, where = config["url"], config.get("sender")
+    headers = {k.removeprefix("header."): v for k, v in config.items() if k.startswith("header.")}
+    _in_bulk(df.where("value is not null").select("value"), size, lambda rows: _sender(where)(url, "\n".join(r["value"] for r in rows) + "\n", headers))
+
+
 def write_documents(df: DataFrame, config: dict[str, str], size: int = 500) -> None:
     """Upserts documents by their _id, in bulk requests from the executors. Sending a batch again changes nothing, so a
     stream's retries are harmless. The option sender names another function as module:function."""
     url = config.get("url", "http://localhost:9200").rstrip("/") + "/_bulk?refresh=true"
     headers = {"Authorization": f"ApiKey {config['api_key']}"} if config.get("api_key") else {}
     index, where = config["index_name"], config.get("sender")
-
-    def send(rows: Iterator) -> None:
-        module, _, name = (where or "tributary.sources.sinks:post").partition(":")
-        to, held = getattr(importlib.import_module(module), name), []
-        for row in rows:
-            held.append((row["id"], row["value"]))
-            if len(held) == size:
-                to(url, bulk_lines(held, index), headers)
-                held = []
-        if held:
-            to(url, bulk_lines(held, index), headers)
-
-    with_ids(df).foreachPartition(send)
+    _in_bulk(with_ids(df), size, lambda rows: _sender(where)(url, bulk_lines([(r["id"], r["value"]) for r in rows], index), headers))
