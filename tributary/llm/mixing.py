@@ -112,8 +112,7 @@ def mix(df: DataFrame, weights=None, source: str = "source", text: str = "text",
 def mixed(df: DataFrame, weights=None, source: str = "source", text: str = "text", id: str = "doc_id", cap: float = 3.0, seed: int = 42) -> DataFrame:
     """The mix itself: the rows of df, a stored table, with all their columns, as often as mix() takes them."""
     taken = cut(mix(df, weights, source, text, id, cap, seed).where("copies > 0").select(F.col(ROW).alias("of"), F.col("copies").cast("int").alias("times")))
-    named = numbered(df)
-    out = named.join(taken, F.col(ROW) == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    out = numbered(df).hint("merge").join(taken, F.col(ROW) == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return renamed(out, df)
 
 

@@ -111,7 +111,7 @@ def redact(df: DataFrame, text: str = "text", id: str = "doc_id", least: float =
     for k in KINDS:
         may = may | ((F.col(t).contains(k.gate) if k.gate else F.lit(True)) & F.col(t).rlike(k.pattern))
     may = F.coalesce(may, F.lit(False))
-    hit = kept.where(may).join(spans, F.col(ROW) == F.col("of"), "left")
+    hit = kept.where(may).hint("merge").join(spans, F.col(ROW) == F.col("of"), "left")
     label = F.array(*[F.lit(f"[{k.upper()}]") for k in NAMES])
     # Spans come in order of start: one that starts before all earlier ones have ended belongs to the group before it.
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))

@@ -269,7 +269,7 @@ def near_duplicates_out(df: DataFrame, text: str = "text", id: str = "doc_id", s
     """
     limit = int(BITS * words * acos(2 * similarity / (1 + similarity)) / pi)
     stays = cut(simhash_dedup(df, text, id, k, shingle, words=words, limit=limit).where("keep").select(F.col(ROW).alias("of")))
-    return renamed(numbered(df).join(stays, F.col(ROW) == F.col("of"), "left_semi"), df)
+    return renamed(numbered(df).hint("merge").join(stays, F.col(ROW) == F.col("of"), "left_semi"), df)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
