@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.oracle import same
 from tributary.llm import mixing
 
 
@@ -72,3 +73,7 @@ def test_empty_table_and_wordless_source(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string, text string")).collect() == []
     got = mixing.mix(spark.createDataFrame([(1, "a", ""), (2, "b", "x y")], "doc_id long, source string, text string")).collect()
     assert sorted((r.id, r.target, r.copies) for r in got) == [(1, 0.0, 0), (2, 2.0, 1)]
+
+
+def test_sf_against_sql(spark):
+    same(spark, mixing.op5_mixing, mixing.SQL)

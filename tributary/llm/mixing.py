@@ -77,8 +77,8 @@ def mix(df: DataFrame, weights=None, source: str = "source", text: str = "text",
         df[id].alias("id"),
         df[source].cast("string").alias("source"),
         word_count(df[text].cast("string")).alias("size"),
-        F.xxhash64(F.lit(seed), df[id], F.lit(seed)).alias("h"),
-        F.xxhash64(df[text].cast("string")).alias("h2"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), df[id].cast("string"))).alias("h"),
+        F.md5(F.coalesce(df[text].cast("string"), F.lit(""))).alias("h2"),
     )
     thin = cut(doc)
     sized = cut(thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
@@ -93,8 +93,8 @@ def mix(df: DataFrame, weights=None, source: str = "source", text: str = "text",
     plan = cut(plan.withColumn("extra", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))))
     n = plan.count()
     rows = thin.join(maybe_broadcast(plan, n), F.expr("source <=> of")).drop("of")
-    place = F.shiftrightunsigned("h", 33)  # 31 bits, not negative
-    rows = rows.withColumn("bucket", F.shiftright(place * F.col("buckets"), 31))
+    place = F.conv(F.substring("h", 1, 7), 16, 10).cast("long")  # the hash's leading 28 bits
+    rows = rows.withColumn("bucket", F.shiftright(place * F.col("buckets"), 28))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
     ahead = cut(sums.select(F.col("source").alias("of"), F.col("bucket").alias("b"), before.alias("before")))
@@ -120,3 +120,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed by sources that weigh 1, 2, 3 in turn, at most three times each."""
     out = mix(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+#: The same mix: sources are capped in order of their limit for a weight, until one isn't above its limit.
+SQL = f"""with docs as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size, md5(concat_ws(':', '42', doc_id)) as h, md5(coalesce(text, '')) as h2 from documents),
+sized as (select source, sum(size)::bigint as source_size from docs group by source),
+ranked as (select *, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::double as weight, 3.0::double * source_size as cap from sized),
+levels as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level, row_number() over (order by cap / weight, source nulls last) as n from ranked),
+last as (select min_by(level, n) as level from levels where weight * level <= cap),
+filled as (select source, source_size, least(cap, case when weight * (select level from last) > cap then cap else weight * (select level from last) end) as target from ranked),
+rates as (select *, case when source_size > 0 then floor(least(target / source_size, 3.0)) else 0 end::bigint as whole from filled),
+upto as (select d.*, r.source_size, r.target, r.whole, sum(size) over (partition by d.source order by h, doc_id, size, h2 rows unbounded preceding) as upto from docs d join rates r on d.source is not distinct from r.source)
+select doc_id, size, source_size, target, copies * size as taken, copies from (select *, whole + case when upto - size / 2.0 < greatest(0.0, target - whole * source_size) and whole < 3 then 1 else 0 end as copies from upto)"""
