@@ -106,3 +106,25 @@ def test_run_and_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     spark.read.parquet(f"{D}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    rnd = random.Random(12)
+    long_ = " ".join(f"long{i}." for i in range(40_000))
+    prose = [" ".join(f"w{rnd.randint(0, 9999)}" for _ in range(80)) + "." for _ in range(12)]
+    rows = [(i, prose[i % 12], None if i % 3 == 0 else f"s{i % 2}") for i in range(24)]
+    rows += [(None, prose[0] + " extra", "s0"), (7, None, None), (8, "", "s1"), (9, long_, "s0"), (3, prose[3], "s0"), (3, prose[3], "s0"), (None, None, None)]
+    extra = ["__row", "of", "copies", "spans", "size", "c0", "id", "fp", "keep", "times", "copy", "a.b"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    spark.createDataFrame([(i, t, None, s, None, *["x"] * len(extra)) for i, t, s in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == columns, name
+        if name.startswith("SimHash"):
+            texts = [r.text for r in docs.collect()]
+            assert len(texts) == len(set(texts)) == 13 and long_ in texts
+        assert all(r["a.b"] == r["c0"] == "x" and r.n_chars == len(r.text) for r in docs.collect())
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(r.length for r in packed) > 40_000

@@ -73,7 +73,7 @@ def maybe_broadcast(df: DataFrame, n: int, most: int = 20_000) -> DataFrame:
 
 def numbered(df: DataFrame) -> DataFrame:
     """All columns of df under c0, c1, ... and the row id that rows(df) gives; df is a stored table, read alike each time."""
-    return df.select(F.monotonically_increasing_id().alias(ROW), *[df[c].alias(f"c{i}") for i, c in enumerate(df.columns)])
+    return df.select(F.monotonically_increasing_id().alias(ROW), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
 
 
 def renamed(made: DataFrame, df: DataFrame, **new: Column) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import ROW, by_batches, documents, rows
+from tributary.llm.common import ROW, by_batches, documents, numbered, renamed, rows
 
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 _MARKS = re.compile(rb"[^\w\s\x80-\xff]")
@@ -168,7 +168,8 @@ def apply_rules(df: DataFrame, text: str = "text", id: str = "doc_id", rules: Ru
 
 def clean(df: DataFrame, text: str = "text", rules: Rules = DEFAULT) -> DataFrame:
     """The rows of df that the rules keep, with all their columns, and their texts without the lines that failed."""
-    at, name = df.columns.index(text), df.schema[text].name
+    at = df.columns.index(text)
+    named = numbered(df).drop(ROW).withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +178,7 @@ def clean(df: DataFrame, text: str = "text", rules: Rules = DEFAULT) -> DataFram
             changed = pa.record_batch([new if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
             yield changed.filter(pa.array([m[6] for m in made], pa.bool_()))
 
-    return by_batches(df.withColumn(name, F.col(text).cast("string"))).mapInArrow(work, df.schema)
+    return renamed(by_batches(named).mapInArrow(work, named.schema), df)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
