@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from tests.llm.oracle import same
 from tributary.llm import substrings
 
 
@@ -55,9 +56,9 @@ def test_large_buckets_are_sliced(spark, monkeypatch):
     rows = data()
     texts = [(t or "").encode() for _, t in rows]
     text, start, end, _ = substrings.runs(texts)
-    raw = [texts[t][s:e] for t, s, e in zip(text, start, end, strict=True)]
+    raw = b"".join(texts[t][s:e] for t, s, e in zip(text, start, end, strict=True))
     ids = np.array([10**6 if i is None else i for i, _ in rows])[text]
-    args = raw, ids, text.astype(np.int64), start
+    args = raw, end - start, ids, text.astype(np.int64), start
     whole = {tuple(x) for x in zip(*(a.tolist() for a in substrings.repeated(*args)), strict=True)}
     monkeypatch.setattr(substrings, "SLICE", 5000)
     assert {tuple(x) for x in zip(*(a.tolist() for a in substrings.repeated(*args)), strict=True)} == whole
@@ -83,3 +84,7 @@ def test_sf(spark):
 
 def test_empty_table(spark):
     assert substrings.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_sf_against_sql(spark):
+    same(spark, substrings.op6_substrings, substrings.SQL)

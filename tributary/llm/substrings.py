@@ -14,14 +14,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import ROW, by_batches, cut, documents, rows
+from tributary.llm.common import ROW, by_batches, documents, rows
 
 LENGTH = 50
 GRAM = 8
 #: Bytes of text that a task turns into runs before it sends them, and that it hashes at a time.
-FLUSH, CHUNK = 24 << 20, 3 << 20
-#: Bytes of runs that a bucket sorts at a time.
-SLICE = 6 << 20
+FLUSH, CHUNK = 16 << 20, 2 << 20
+#: Bytes of runs that a bucket sorts at a time, and numbers that are hashed at a time, so that they stay in the cache.
+SLICE, BLOCK = 8 << 20, 1 << 15
 LAST = np.iinfo(np.int64).max
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -29,13 +29,16 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x9
 
 def _mix(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
     """A hash of each x, or of each pair (x, y)."""
-    h = x * _A
-    if y is not None:
-        h += (y ^ (y >> np.uint64(31))) * _C
-    h ^= h >> np.uint64(29)
-    h *= _B
-    h ^= h >> np.uint64(32)
-    return h
+    out = np.empty(len(x), dtype=np.uint64)
+    for at in range(0, len(x), BLOCK):
+        h = np.multiply(x[at : at + BLOCK], _A, out=out[at : at + BLOCK])
+        if y is not None:
+            other = y[at : at + BLOCK]
+            h += (other ^ (other >> np.uint64(31))) * _C
+        h ^= h >> np.uint64(29)
+        h *= _B
+        h ^= h >> np.uint64(32)
+    return out
 
 
 def _grams(buf: bytes) -> np.ndarray:
@@ -45,11 +48,16 @@ def _grams(buf: bytes) -> np.ndarray:
 
 def minimizers(buf: bytes, length: int = LENGTH) -> np.ndarray:
     """The least hash of an 8-gram in the string of this length at each position of buf, which is padded by 8 bytes."""
-    low, width, have = _mix(_grams(buf)), length - GRAM + 1, 1
-    while 2 * have <= width:
-        low = np.minimum(low[:-have], low[have:])
-        have *= 2
-    return np.minimum(low[: len(low) - (width - have)], low[width - have :])
+    grams, width = _grams(buf), length - GRAM + 1
+    out = np.empty(max(0, len(grams) - width + 1), dtype=np.uint64)
+    for at in range(0, len(out), BLOCK):
+        low, have = _mix(grams[at : at + BLOCK + width - 1]), 1
+        while 2 * have <= width:
+            low = np.minimum(low[:-have], low[have:])
+            have *= 2
+        n = min(BLOCK, len(out) - at)
+        np.minimum(low[:n], low[width - have : width - have + n], out=out[at : at + n])
+    return out
 
 
 def runs(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,14 +88,14 @@ def runs(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers as differences, compressed."""
-    raw = b"".join(np.diff(np.asarray(a, dtype="<i8"), prepend=np.int64(0)).tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    """Arrays of whole numbers as differences, compressed; first bytes first, then second bytes, as those are alike."""
+    raw = b"".join(np.diff(np.asarray(a, dtype="<i8"), prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=6).compress(raw)
 
 
 def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
-    table = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype="<i8").reshape(n, -1)
-    return [np.cumsum(x) for x in table]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(n, 8, -1)
+    return [np.cumsum(np.ascontiguousarray(x.T).view("<i8").ravel()) for x in planes]
 
 
 def _by_target(row: np.ndarray, start: np.ndarray, end: np.ndarray, per: int) -> Iterator[tuple[int, bytes]]:
@@ -224,20 +232,30 @@ def refine(buf: bytes, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray
     return alive, group
 
 
-def repeated(raw: list[bytes], id_: np.ndarray, row: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (row, start, end) of the strings in these runs that also start in a run with a smaller id."""
-    size = np.array([len(x) for x in raw], dtype=np.int64)
-    if size.sum() > SLICE and len(raw) > 1:
-        low = np.array([minimizers(x[:length] + b"\0" * GRAM, length)[0] for x in raw], dtype=np.uint64) // np.uint64(65_537)
-        n = int(size.sum() // SLICE + 1)
-        part = (_mix(low) % np.uint64(n)).astype(np.int64)
-        out = [_repeated([raw[i] for i in own.tolist()], size[own], id_[own], row[own], start[own], length) for own in (np.flatnonzero(part == k) for k in range(n)) if len(own)]
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-    return _repeated(raw, size, id_, row, start, length)
+def repeated(text: bytes, size: np.ndarray, id_: np.ndarray, row: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (row, start, end) of the strings in these runs that also start in a run with a smaller id.
 
-
-def _repeated(raw: list[bytes], size: np.ndarray, id_: np.ndarray, row: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    buf = b"".join(raw) + b"\0" * (2 * GRAM)
+    text is the runs' bytes, one after the other; size, id_, row and start say how many bytes each has and whence.
+    """
+    if len(text) <= SLICE or len(size) < 2:
+        return _repeated(text, size, id_, row, start, length)
+    # All strings of a run share its minimizer: that of its first string tells which slice it goes to.
+    begin, low = np.cumsum(size) - size, np.full(len(size), 2**64 - 1, dtype=np.uint64)
+    grams = _grams(text + b"\0" * GRAM)
+    for off in range(length - GRAM + 1):
+        np.minimum(low, _mix(grams[begin + off]), out=low)
+    n, out = len(text) // SLICE + 1, []
+    part = (_mix(low // np.uint64(65_537)) % np.uint64(n)).astype(np.int64)
+    for k in range(n):
+        own = np.flatnonzero(part == k)
+        if len(own):
+            joined = b"".join([text[a:b] for a, b in zip(begin[own].tolist(), (begin + size)[own].tolist(), strict=True)])
+            out.append(_repeated(joined, size[own], id_[own], row[own], start[own], length))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _repeated(text: bytes, size: np.ndarray, id_: np.ndarray, row: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    buf = text + b"\0" * (2 * GRAM)
     strings = size - length + 1
     run = np.repeat(np.arange(len(size), dtype=np.int32), strings)
     at = np.arange(len(run)) + run.astype(np.int64) * (length - 1)
@@ -265,20 +283,18 @@ def _repeated(raw: list[bytes], size: np.ndarray, id_: np.ndarray, row: np.ndarr
 def _sort(length: int, per: int):
     def work(key: tuple, table: pa.Table) -> pa.Table:
         targets, blobs = [], []
-        raw, numbers = [], []
+        texts, numbers = [], []
         press = zstandard.ZstdDecompressor()
         for kind, blob, text in zip(table.column("kind").to_pylist(), table.column("numbers"), table.column("bytes"), strict=True):
             if kind:
                 targets.append(kind - 1)
                 blobs.append(blob.as_py())
                 continue
-            own = _unpack(blob.as_py(), 4)
-            whole, ends = press.decompress(text.as_py()), np.cumsum(own[3])
-            raw += [whole[a:b] for a, b in zip((ends - own[3]).tolist(), ends.tolist(), strict=True)]
-            numbers.append(own[:3])
-        if raw:
-            id_, row, start = (np.concatenate(x) for x in zip(*numbers, strict=True))
-            for target, blob in _by_target(*repeated(raw, id_, row, start, length), per):
+            numbers.append(_unpack(blob.as_py(), 4))
+            texts.append(press.decompress(text.as_py()))
+        if texts:
+            id_, row, start, size = (np.concatenate(x) for x in zip(*numbers, strict=True))
+            for target, blob in _by_target(*repeated(b"".join(texts), size, id_, row, start, length), per):
                 targets.append(target)
                 blobs.append(blob)
         return pa.table({"target": pa.array(targets, pa.int64()), "numbers": pa.array(blobs, pa.binary())})
@@ -322,7 +338,7 @@ def dedup_substrings(df: DataFrame, text: str = "text", id: str = "doc_id", leng
     other columns are ignored.
     """
     of = rows(df, id=id, text=text).select(ROW, F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    spans = cut(repeats(of, "text", "id", length, bucket))
+    spans = repeats(of, "text", "id", length, bucket)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,3 +360,17 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(documents(spark, sf_dir))
     n_spans = F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans") / 2).cast("long")
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", n_spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same, by all strings of 50 bytes.
+SQL = """with docs as (select row_number() over () as r, doc_id, coalesce(doc_id, 9223372036854775807) as k, encode(coalesce(text, '')) as b from documents),
+strings as (select r, k, p, b[p:p + 49] as s from (select r, k, b, unnest(range(1, octet_length(b) - 48)) as p from docs where octet_length(b) >= 50)),
+firsts as (select s, min(k) as k from strings group by s having count(*) > 1),
+found as (select strings.r, p from strings join firsts using (s) where firsts.k < strings.k),
+marked as (select r, p, case when p <= lag(p) over w + 50 then 0 else 1 end as new from found window w as (partition by r order by p)),
+runs as (select r, g, min(p) as a, max(p) + 50 as z from (select *, sum(new) over (partition by r order by p) as g from marked) group by r, g),
+kept as (select r, a, coalesce(lag(z) over (partition by r order by a), 1) as f, z, lead(a) over (partition by r order by a) as next from runs),
+pieces as (select kept.r, f as o, hex(b[f:a - 1]) as x from kept join docs using (r) union all select kept.r, z, hex(b[z:octet_length(b)]) from kept join docs using (r) where next is null),
+left_ as (select r, unhex(string_agg(x, '' order by o)) as b from pieces group by r),
+sums as (select r, sum(z - a)::bigint as n_removed, count(*)::bigint as n_spans from runs group by r)
+select doc_id, octet_length(docs.b)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(coalesce(left_.b, docs.b)) as kept_sha256 from docs left join sums using (r) left join left_ using (r)"""
