@@ -1,6 +1,7 @@
 import random
 import re
 
+from tests.llm.oracle import same
 from tributary.llm import licenses
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -95,3 +96,22 @@ def test_sf(spark):
 
 def test_empty_table(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_sf_against_sql(spark):
+    same(spark, licenses.op10_licenses, licenses.sql())
+
+
+def test_odd_texts_against_sql(spark, tmp_path):
+    rnd = random.Random(5)
+    words = "licensed under the mit license apache version 2 0 cc by nc sa gpl v3 bsd 3 clause all rights reserved see terms of".split()
+    texts = [*(t for t in CASES if len(t or "") < 1000), *(" ".join(rnd.choice(words) for _ in range(60)) for _ in range(40))]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(licenses.sql())
+    names = [d[0] for d in want.description]
+    got = licenses.op10_licenses(spark, str(tmp_path)).select(*names)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))

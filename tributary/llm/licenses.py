@@ -235,3 +235,30 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = F.concat(base, F.transform("matches", lambda m: m["label"]))
     listed = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     return out.select(F.col("id").alias("doc_id"), "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(word).alias("first_word"), F.array_max(word).alias("last_word"), listed(base).alias("base_labels"), listed(every).alias("labels"), "score")
+
+
+def _sql_pattern(r: Rule) -> str:
+    """A rule's pattern for RE2, which can't look ahead: words have two spaces between them there, and a match takes one
+    on either side."""
+    held = r.pattern.pattern.decode().removeprefix(" (?:").removesuffix(")(?= )").replace("[^ ]", "\1").replace(" ?", "\2").replace(" ", "  ")
+    return " (?:" + held.replace("\1", "[^ ]").replace("\2", "(?:  )?") + ") "
+
+
+def sql() -> str:
+    """All rules in DuckDB's SQL. A match is left out if one that comes before it, by priority and length, holds it: what
+    holds that one holds both, so it needn't be known which are kept."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    made = [(i, r.label, r.priority, r.score, _sql_pattern(r)) for i, r in enumerate(rules())]
+    made += [(len(made) + i, label, -1, 1.0, " " + phrase.replace(" ", "  ") + " ") for i, (phrase, label) in enumerate(BASE)]
+    listed = ", ".join(f"({i}, {q(label)}, {priority}, {score}::double, {q(pattern)})" for i, label, priority, score, pattern in made)
+    hits = " union all ".join(f"select r, {i} as rule from docs where regexp_matches(j, {q(pattern)})" for i, _, _, _, pattern in made)
+    return f"""with words as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+docs as (select *, '  ' || array_to_string(w, '  ') || '  ' as j from words),
+rules(rule, label, priority, score, pattern) as (values {listed}),
+hits as ({hits}),
+parts as (select r, rule, label, priority, score, regexp_extract_all(j, pattern) as ms, string_split_regex(j, pattern) as ps from hits join rules using (rule) join docs using (r)),
+found as (select r, label, priority, score, len(regexp_extract_all(array_to_string(list_transform(range(1, n), lambda i: ps[i] || ms[i]), '') || ps[n], '[^ ]+')) as a, len(regexp_extract_all(ms[n], '[^ ]+')) as size from (select *, unnest(range(1, len(ms) + 1)) as n from parts)),
+kept as (select * from found m where priority < 0 or not exists (select 1 from found k where k.r = m.r and k.priority >= 0 and k.a <= m.a and m.a + m.size <= k.a + k.size
+  and (k.priority > m.priority or (k.priority = m.priority and (k.size > m.size or (k.size = m.size and (k.a < m.a or (k.a = m.a and k.label < m.label)))))))),
+told as (select r, count(*) filter (where priority < 0) as n_base, min(a) filter (where priority < 0) as first_word, max(a) filter (where priority < 0) as last_word, string_agg(distinct label, ',' order by label) filter (where priority < 0) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(score) as score from kept group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score from docs left join told using (r)"""

@@ -24,6 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_secrets": secrets.SQL,
     "op4_embeddings": embeddings.SQL,
+    "op5_mixing": mixing.SQL,
+    "op6_substrings": substrings.SQL,
     "op7_pii": pii.SQL,
     "op8_quality": quality.SQL,
+    "op10_licenses": licenses.sql(),
 }
