@@ -180,3 +180,17 @@ def test_payload_schemas(spark):
     assert formats.retried(work, sleep=waits.append) == "done" and len(waits) == 2 and waits[0] <= 0.1
     with pytest.raises(OSError):
         formats.retried(lambda: (_ for _ in ()).throw(OSError()), tries=2, sleep=waits.append)
+
+
+def test_running_sums_in_blocks(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "b", None]), i, rnd.choice([None, 1, 2, 5])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, i long, v long")
+    want = sorted(map(str, relational.running(df, "k", ["i"], "v").collect()))
+    for width in (1, 13, 500):
+        assert sorted(map(str, relational.running(df, "k", ["i"], "v", lambda c, w=width: F.floor(c / w)).collect())) == want
+    sums, held = {}, {}
+    for r in relational.running(df, "k", ["i"], "v").orderBy("i").collect():
+        if r.v is not None:
+            sums[r.k], held[r.k] = sums.get(r.k, 0) + r.v, held.get(r.k, 0) + 1
+        assert (r.running_sum, r.running_n) == (sums.get(r.k), held.get(r.k, 0))

@@ -586,7 +586,7 @@ def win_lag(spark, d):
 
 @query("select l_orderkey, l_linenumber, sum(l_quantity) over w as running_sum, count(l_quantity) over w as running_n from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate rows unbounded preceding)")
 def win_running(spark, d):
-    return relational.running(table(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], "l_quantity").select("l_orderkey", "l_linenumber", "running_sum", "running_n")
+    return relational.running(table(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], "l_quantity", lambda n: F.floor(n / 3)).select("l_orderkey", "l_linenumber", "running_sum", "running_n")
 
 
 @query("select event_id, count(*) over (partition by user_id order by epoch(ts)::bigint range between 3600 preceding and current row) as n from events")

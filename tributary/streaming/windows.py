@@ -47,7 +47,7 @@ def split_late(df: DataFrame, ts: str, arrival: str, lateness: str) -> DataFrame
     tops = marked.groupBy("__block").agg(F.max(ts).alias("__top"))
     before = tops.select("__block", F.max("__top").over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
     within = F.max(ts).over(W.partitionBy("__block").orderBy(arrival).rowsBetween(W.unboundedPreceding, -1))
-    out = marked.withColumn("__within", within).join(F.broadcast(before), "__block")
+    out = marked.withColumn("__within", within).join(before, "__block")
     top = F.greatest("__within", "__before")
     return out.withColumn("late", F.coalesce(F.col(ts) < top - F.expr(f"interval {lateness}"), F.lit(False))).drop("__block", "__within", "__before")
 
