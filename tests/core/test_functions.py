@@ -133,6 +133,12 @@ def test_statements(spark):
         statements.parse_request('[["select :a", {"a": {"b": 1}}]]')
 
 
+def test_a_batch_of_statements(spark):
+    got = statements.run_all(spark, statements.parse_request('["select 1 as x", "selec", ["select :a as x", {"a": 5}]]'))
+    assert got[0][0].first().x == 1 and got[1][0] is None and "PARSE_SYNTAX_ERROR" in got[1][1] and got[2][0].first().x == 5
+    assert J.associative_rows(got[0][0], pretty=True).first()[0] == '{\n  "x" : 1\n}'
+
+
 def test_request_options():
     assert statements.duration("1m30s") == 90 * 10**9 and statements.duration("-1.5h") == -5400 * 10**9 and statements.duration("0") == 0
     for bad in ("", "5", "1x", "s"):

@@ -194,3 +194,23 @@ def test_running_sums_in_blocks(spark):
         if r.v is not None:
             sums[r.k], held[r.k] = sums.get(r.k, 0) + r.v, held.get(r.k, 0) + 1
         assert (r.running_sum, r.running_n) == (sums.get(r.k), held.get(r.k, 0))
+
+
+def test_rendezvous_moves_few(spark):
+    from tributary.functions.hashing import rendezvous
+
+    rows = spark.range(3000).select(rendezvous(F.col("id"), 5).alias("a"), rendezvous(F.col("id"), 6).alias("b")).collect()
+    assert {r.a for r in rows} == set(range(5)) and all(r.a == r.b or r.b == 5 for r in rows)
+    assert 350 < sum(r.b == 5 for r in rows) < 650
+
+
+def test_log_appends_once(spark, tmp_path):
+    path = f"{tmp_path}/log"
+    log = spark.createDataFrame([(1, 0)], "idx long, type int")
+    log.write.parquet(path)
+    log = spark.read.parquet(path)
+    for _ in range(2):
+        log = kv.append(log, spark.createDataFrame([(1, 5), (2, 0)], "idx long, type int"), path)
+    assert sorted(map(tuple, log.collect())) == [(1, 0), (2, 0)]
+    with pytest.raises(ValueError):
+        kv.use_store(spark, "tape")

@@ -132,3 +132,16 @@ def test_memory_to_memory(spark):
     spark.range(3).createOrReplaceTempView("numbers_in")
     Pipeline(Spec("memory", config={"table": "numbers_in"}), Spec("memory", config={"table": "numbers_out"})).run(spark)
     assert sorted(r.value for r in spark.table("numbers_out").collect()) == ['{"id":0}', '{"id":1}', '{"id":2}']
+
+
+def test_configurations_are_kept_by_version(spark, tmp_path):
+    path = f"{tmp_path}/config"
+    with pytest.raises(KeyError):
+        Registry.load(spark, path)
+    one = Registry.parse({"sources": [{"key": "a", "type": "rate", "name": "r"}], "sinks": [{"key": "a", "type": "file", "name": "f", "config": {"file_path": "x"}}]})
+    assert one.save(spark, path) == 1
+    one.add_sink(Spec("file", "g", "b", {"file_path": "y"}))
+    assert one.save(spark, path) == 2
+    assert Registry.load(spark, path) == one and Registry.load(spark, path, 1).keys == ["a"]
+    with pytest.raises(KeyError):
+        Registry.load(spark, path, 9)

@@ -52,6 +52,12 @@ def fnv1a_bucket(payload: Column, n: int) -> Column:
     return F.coalesce(((h["hi"] % n) * (2**32 % n) + h["lo"] % n) % n, F.lit(0)).cast("int")
 
 
+def rendezvous(payload: Column, n: int) -> Column:
+    """0 to n - 1, such that one more bucket takes its share of the values and moves no others."""
+    scores = F.array(*[F.xxhash64(payload, F.lit(i)) for i in range(n)])
+    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+
+
 def uint64_to_bytes(n: Column) -> Column:
     """An unsigned 64-bit number, as decimal(20, 0) or long, in 8 bytes, big-endian."""
     return F.unhex(F.lpad(F.conv(n.cast("decimal(20,0)").cast("string"), 10, 16), 16, "0"))

@@ -134,9 +134,10 @@ def _cells(df: DataFrame, blobs_as_arrays: bool) -> list[Column]:
     return [(byte_values(F.col(c)) if blobs_as_arrays else F.base64(c)).alias(c) if k == "binary" else F.col(c) for c, k in df.dtypes]
 
 
-def associative_rows(df: DataFrame, blobs_as_arrays: bool = False) -> DataFrame:
+def associative_rows(df: DataFrame, blobs_as_arrays: bool = False, pretty: bool = False) -> DataFrame:
     """One JSON object a row (column row): names and values, nulls included; binary as base64, or as arrays of numbers."""
-    return df.select(F.to_json(F.struct(*_cells(df, blobs_as_arrays)), {"ignoreNullFields": "false"}).alias("row"))
+    options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
+    return df.select(F.to_json(F.struct(*_cells(df, blobs_as_arrays)), options).alias("row"))
 
 
 def value_rows(df: DataFrame, blobs_as_arrays: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -62,6 +63,17 @@ def run(spark: SparkSession, statement: Statement) -> DataFrame:
     return spark.sql(statement.sql, args=statement.named or statement.positional or None)
 
 
+def run_all(spark: SparkSession, statements: list[Statement]) -> list[tuple[DataFrame | None, str | None]]:
+    """(result, error) of each statement; one that fails doesn't stop the others."""
+    out = []
+    for s in statements:
+        try:
+            out.append((run(spark, s), None))
+        except (PySparkException, ValueError) as e:
+            out.append((None, str(e).strip().partition("\n")[0]))
+    return out
+
+
 _PART = re.compile(r"([0-9]*\.?[0-9]+|[0-9]+\.)(ns|us|µs|μs|ms|s|m|h)")
 _NANOS = {"ns": 1, "us": 10**3, "µs": 10**3, "μs": 10**3, "ms": 10**6, "s": 10**9, "m": 60 * 10**9, "h": 3600 * 10**9}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Types of log entries.
@@ -104,3 +104,20 @@ def snapshots_reap(snapshots: DataFrame, keep: int = 1) -> DataFrame:
     """The snapshots that go when the newest keep ones stay. The kept ones are a top-k, so nothing is sorted as a whole."""
     stay = snapshots.orderBy(F.desc("term"), F.desc("idx")).limit(keep).select("term", "idx")
     return snapshots.join(F.broadcast(stay), ["term", "idx"], "left_anti")
+
+
+#: State stores of streams by name.
+STORES = {"rocksdb": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "memory": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"}
+
+
+def use_store(spark: SparkSession, name: str) -> None:
+    """Keeps the state of streams that start from now on in the store of this name."""
+    if name not in STORES:
+        raise ValueError(f"unknown store {name!r}; there are {', '.join(sorted(STORES))}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORES[name])
+
+
+def append(log: DataFrame, entries: DataFrame, path: str) -> DataFrame:
+    """The log under path after entries whose idx isn't in log yet were appended; appending the same again changes nothing."""
+    entries.join(log.select("idx"), "idx", "left_anti").select(*log.columns).write.mode("append").parquet(path)
+    return log.sparkSession.read.schema(log.schema).parquet(path)

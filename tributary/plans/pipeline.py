@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.operators.partitioning import partition_by_hash
@@ -143,13 +145,37 @@ class Registry:
             raise KeyError(key)
         return self.running.pop(key).close()
 
+    def save(self, spark: SparkSession, path: str) -> int:
+        """Stores the configuration under path as a new version, and returns its number."""
+        version = max(_versions(spark, path), default=0) + 1
+        spec = lambda s: {"type": s.type, "name": s.name, "key": s.key, "config": dict(s.config)}
+        text = json.dumps({"sources": [spec(s) for s in self.sources.values()], "sinks": [spec(s) for s in self.sinks.values()]})
+        spark.createDataFrame([(version, text)], "version long, config string").coalesce(1).write.mode("append").parquet(path)
+        return version
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> Registry:
+        """The configuration of a version, or of the last one. A pipeline of it goes on from its checkpoint when it runs."""
+        found = _versions(spark, path)
+        if not found or (version is not None and version not in found):
+            raise KeyError(path if version is None else version)
+        return cls.parse(json.loads(found[max(found) if version is None else version]))
+
     def info(self) -> list[dict[str, str]]:
         return [{"key": k, "source": a.name if a else "", "sink": b.name if b else "", "open": str(k in self.running and self.running[k].is_open).lower()} for k, (a, b) in self.pairs().items()]
 
 
+def _versions(spark: SparkSession, path: str) -> dict[int, str]:
+    try:
+        return {r.version: r.config for r in spark.read.schema("version long, config string").parquet(path).collect()}
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+
+
 def status(spark: SparkSession, path: str = "") -> str:
     """The session's state as JSON, or the part of it at a path of keys: versions, settings, running queries."""
-    import json
     import platform
 
     document = {

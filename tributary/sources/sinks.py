@@ -63,3 +63,8 @@ def write_documents(df: DataFrame, config: dict[str, str], size: int = 500) -> N
     headers = {"Authorization": f"ApiKey {config['api_key']}"} if config.get("api_key") else {}
     index, where = config["index_name"], config.get("sender")
     _in_bulk(with_ids(df), size, lambda rows: _sender(where)(url, bulk_lines([(r["id"], r["value"]) for r in rows], index), headers))
+
+
+def dump_json(df: DataFrame, path: str) -> None:
+    """Rows as lines of JSON, to look at."""
+    df.write.mode("overwrite").json(path)
