@@ -23,14 +23,14 @@ def event_time(payload: Column) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", rfc3339(F.try_variant_get(v, "$", "string")))
 
 
-def envelop(df: DataFrame, payload: str, id: Column | None = None, at: Column | None = None) -> DataFrame:
-    """(id, data, node_created_at, node_updated_at, event_time, priority) of each row's JSON payload.
+def envelop(df: DataFrame, payload: str, id: Column | None = None, at: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, data, node_created_at, node_updated_at, event_time, priority) of each row's JSON payload, and the columns keep.
 
     id is a new time-ordered UUID unless given; the node's times are now unless at is given; priority is 0.
     """
     now = F.current_timestamp() if at is None else at
     data = F.col(payload)
-    return df.select((uuid7() if id is None else id).alias("id"), data.alias("data"), now.alias("node_created_at"), now.alias("node_updated_at"), event_time(data).alias("event_time"), F.lit(0).alias("priority"))
+    return df.select((uuid7() if id is None else id).alias("id"), data.alias("data"), now.alias("node_created_at"), now.alias("node_updated_at"), event_time(data).alias("event_time"), F.lit(0).alias("priority"), *keep)
 
 
 def valid_objects(df: DataFrame, payload: str) -> DataFrame:

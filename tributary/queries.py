@@ -54,9 +54,8 @@ def _n(name: str = "n"):
 )
 def job_envelope(spark, d):
     text = F.when(F.col("event_id") % 3 == 0, F.expr(_EVENT)).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise(F.lit('{"eventTime": "2024-01-01"}'))
-    jobs = envelope.envelop(_events(spark, d).withColumn("payload", text), "payload", F.concat(F.lit("job-"), F.col("event_id").cast("string")), F.col("ts").cast("timestamp"))
-    at = _events(spark, d).select(F.concat(F.lit("job-"), F.col("event_id").cast("string")).alias("id"), "props")
-    return jobs.join(at, "id").select("id", F.col("props").alias("data"), "priority", F.unix_micros("event_time").alias("event_time_us"))
+    jobs = envelope.envelop(_events(spark, d).withColumn("payload", text), "payload", F.concat(F.lit("job-"), F.col("event_id").cast("string")), F.col("ts").cast("timestamp"), keep=("props",))
+    return jobs.select("id", F.col("props").alias("data"), "priority", F.unix_micros("event_time").alias("event_time_us"))
 
 
 @query(
@@ -140,14 +139,18 @@ def partition_histogram(spark, d):
     return partitioning.histogram(_events(spark, d), "props", 4)
 
 
-@query(f"select ({_FNV_SQL.format(c='props')} % 4)::int as partition_id, event_type, count(*) as n_rows from events group by 1, 2")
+_RECORD_SQL = """('{"type":"' || event_type || '","user":' || user_id || '}')"""
+
+
+@query(f"select ({_FNV_SQL.format(c=_RECORD_SQL)} % 4)::int as partition_id, upper(event_type) as event_type, count(*) as n_rows from events group by 1, 2")
 def flagship(spark, d):
-    """Records enveloped, filtered, transformed, routed and counted: a pipeline's path."""
-    jobs = envelope.envelop(_events(spark, d).withColumn("payload", F.expr(_EVENT)), "payload", F.col("event_id").cast("string"))
-    kept = envelope.valid_objects(jobs, "data")
-    upper = transforms.upper_payload(kept, "data", "eventTime string, type string, user long")
-    props = _events(spark, d).select(F.col("event_id").cast("string").alias("id"), "props")
-    return partitioning.with_partition(upper.join(props, "id"), "props", 4).groupBy("partition_id", F.lower("data.type").alias("event_type")).agg(_n("n_rows"))
+    """Records enveloped, filtered, routed, transformed and counted: a pipeline's path. The scan reads two columns, and the
+    only shuffle is of partial counts."""
+    record = F.to_json(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user")))
+    jobs = envelope.envelop(_events(spark, d).withColumn("payload", record), "payload")
+    routed = partitioning.with_partition(envelope.valid_objects(jobs, "data"), "data", 4)
+    upper = transforms.upper_payload(routed, "data", "type string, user long")
+    return upper.groupBy("partition_id", F.col("data.type").alias("event_type")).agg(_n("n_rows"))
 
 
 @query("select user_id, count(*) as n from events group by user_id")
