@@ -202,16 +202,16 @@ def _blocks(words: int, limit: int):
     return work
 
 
-def links(distinct: DataFrame, n: int, k: int = 2, limit: int | None = None, words: int = 1, hot: int = 64, block: int = 1024) -> DataFrame:
+def links(distinct: DataFrame, n: int, k: int = 2, limit: int | None = None, words: int = 1, probed: int | None = None, hot: int = 64, block: int = 1024) -> DataFrame:
     """Edges (a, b) that connect the nodes of distinct (node, f0, ...; one row a fingerprint; n rows) by their fingerprints.
 
-    Any two that differ in k bits or fewer are found by the generalised pigeonhole; of all candidates those within
-    limit bits (k unless given) are linked. Buckets of up to hot values are joined. Larger ones are dealt out in
+    Any two that differ in k bits or fewer are found by the generalised pigeonhole over the first probed words (all
+    unless given); of all candidates those within limit bits of all words (k unless given) are linked. Buckets of up to hot values are joined. Larger ones are dealt out in
     blocks of about block values, every pair of blocks to a task of its own, and yield spanning stars: the same
     components, without a row for each pair.
     """
     limit, names = k if limit is None else limit, _names(words)
-    plan = plan_search(bit_counts(distinct, words), n, k)
+    plan = plan_search(bit_counts(distinct, probed or words), n, k)
     data = distinct.select("node", *names, _own(plan).alias("x")).select("x.part", "x.sig", "node", *names)
     large = cut(data.groupBy("part", "sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot))
     n_large = large.count()
@@ -231,7 +231,7 @@ def links(distinct: DataFrame, n: int, k: int = 2, limit: int | None = None, wor
     return found.unionByName(dealt.groupBy("part", "sig", "i", "j").applyInArrow(_blocks(words, limit), "a long, b long"))
 
 
-def simhash_dedup(df: DataFrame, text: str = "text", id: str = "doc_id", k: int = 2, shingle: int = 3, seed: int = 42, words: int = 1, limit: int | None = None) -> DataFrame:
+def simhash_dedup(df: DataFrame, text: str = "text", id: str = "doc_id", k: int = 2, shingle: int = 3, seed: int = 42, words: int = 1, limit: int | None = None, probed: int | None = None) -> DataFrame:
     """Fingerprint and class of each row: (__row, id, f0, ..., component, keep).
 
     Rows whose fingerprints (of 64 bits times words) differ in k bits or fewer are linked; component is the smallest
@@ -251,7 +251,7 @@ def simhash_dedup(df: DataFrame, text: str = "text", id: str = "doc_id", k: int
     if n < 2:
         roots = distinct.select("node", F.col("node").alias("root"))
     else:
-        roots = components(links(distinct.select("node", *names), n, k, limit, words))
+        roots = components(links(distinct.select("node", *names), n, k, limit, words, probed))
     joined = cut(distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     of = cut(joined.groupBy("root").agg(F.min("least").alias("component"), F.min("first").alias("chosen")).select("root", "component", F.col(f"chosen.{ROW}").alias("chosen")))
     classes = cut(joined.select(*names, "root").join(of, "root").select(*names, "component", "chosen"))
@@ -260,15 +260,17 @@ def simhash_dedup(df: DataFrame, text: str = "text", id: str = "doc_id", k: int
     return out
 
 
-def near_duplicates_out(df: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = 0.8, shingle: int = 5, words: int = 4, k: int = 15) -> DataFrame:
+def near_duplicates_out(df: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = 0.8, shingle: int = 5, words: int = 8, probed: int = 4, k: int = 15) -> DataFrame:
     """The rows of df, a stored table, that stay: of each class of near-duplicates the one with the smallest id.
 
     Fingerprints of 64 bits times words are linked within the distance that two sets of shingles at a Jaccard
-    similarity of similarity have on average; any two within k bits are candidates for certain, others with a chance
-    that falls with their distance. All columns are kept.
+    similarity of similarity have on average; the more words, the less a distance strays from it. Any two within k
+    bits in the probed words are candidates for certain, others with a chance that falls with their distance. All
+    columns are kept.
     """
     limit = int(BITS * words * acos(2 * similarity / (1 + similarity)) / pi)
-    stays = cut(simhash_dedup(df, text, id, k, shingle, words=words, limit=limit).where("keep").select(F.col(ROW).alias("of")))
+    marked = simhash_dedup(df, text, id, k, shingle, words=words, limit=limit, probed=probed)
+    stays = cut(marked.where("keep").select(F.col(ROW).alias("of")))
     return renamed(numbered(df).hint("merge").join(stays, F.col(ROW) == F.col("of"), "left_semi"), df)
 
 
