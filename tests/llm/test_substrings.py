@@ -58,7 +58,7 @@ def test_large_buckets_are_sliced(spark, monkeypatch):
     text, start, end, _ = substrings.runs(texts)
     raw = b"".join(texts[t][s:e] for t, s, e in zip(text, start, end, strict=True))
     ids = np.array([10**6 if i is None else i for i, _ in rows])[text]
-    args = raw, end - start, ids, text.astype(np.int64), start
+    args = raw, end - start, np.zeros_like(start), ids, text.astype(np.int64), start
     whole = {tuple(x) for x in zip(*(a.tolist() for a in substrings.repeated(*args)), strict=True)}
     monkeypatch.setattr(substrings, "SLICE", 5000)
     assert {tuple(x) for x in zip(*(a.tolist() for a in substrings.repeated(*args)), strict=True)} == whole
@@ -88,3 +88,24 @@ def test_empty_table(spark):
 
 def test_sf_against_sql(spark):
     same(spark, substrings.op6_substrings, substrings.SQL)
+
+
+def test_rounds_and_crowded_buckets(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(60):
+        unit = rnd.choice(["the and ", "ab", "x", "0123456789" * 7, "common words go here, "])
+        body = (unit * 400)[rnd.randint(0, 9) : rnd.randint(60, 900)]
+        rows.append((rnd.randint(0, 99), rnd.choice(["", "head "]) + body + rnd.choice(["", " tail", "é"])))
+    phrase = " of the first part of "
+    rows += [(100 + i, "".join(phrase + rnd.choice(["alpha", "beta", "gamma", "delta"]) * rnd.randint(1, 3) for _ in range(40))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for bucket in (1 << 20, 3000, 300):
+        assert result(df, bucket=bucket) == want
+
+
+def test_period():
+    assert substrings.period(b"ab" * 200) == 2 and substrings.period(b"ab" * 200 + b"c") == 0 and substrings.period(b"ab" * 50) == 0
+    unit = bytes(range(97))
+    assert substrings.period((unit * 9)[5:800]) == 97 and substrings.period(unit * 2) == 0

@@ -1,7 +1,8 @@
 """Exact substring deduplication: byte strings of a fixed length that also start in a document with a smaller id.
 
 Positions are dealt out by the minimizer of their string, as runs of neighbours that share it, and each bucket sorts its
-positions by bucket-pointer refinement.
+positions by bucket-pointer refinement. Crowded buckets are split by a second minimizer, runs of equal bytes are sent
+once by each task, and of a run that goes round in circles one round is sent.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ LAST = np.iinfo(np.int64).max
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-def _mix(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
-    """A hash of each x, or of each pair (x, y)."""
+def _mix(x: np.ndarray, y: np.ndarray | None = None, by: np.uint64 = _A) -> np.ndarray:
+    """A hash of each x, or of each pair (x, y); by chooses among hashes."""
     out = np.empty(len(x), dtype=np.uint64)
     for at in range(0, len(x), BLOCK):
-        h = np.multiply(x[at : at + BLOCK], _A, out=out[at : at + BLOCK])
+        h = np.multiply(x[at : at + BLOCK], by, out=out[at : at + BLOCK])
         if y is not None:
             other = y[at : at + BLOCK]
             h += (other ^ (other >> np.uint64(31))) * _C
@@ -46,12 +47,12 @@ def _grams(buf: bytes) -> np.ndarray:
     return np.ndarray((len(buf) - GRAM,), dtype="<u8", buffer=buf, strides=(1,))
 
 
-def minimizers(buf: bytes, length: int = LENGTH) -> np.ndarray:
+def minimizers(buf: bytes, length: int = LENGTH, by: np.uint64 = _A) -> np.ndarray:
     """The least hash of an 8-gram in the string of this length at each position of buf, which is padded by 8 bytes."""
     grams, width = _grams(buf), length - GRAM + 1
     out = np.empty(max(0, len(grams) - width + 1), dtype=np.uint64)
     for at in range(0, len(out), BLOCK):
-        low, have = _mix(grams[at : at + BLOCK + width - 1]), 1
+        low, have = _mix(grams[at : at + BLOCK + width - 1], by=by), 1
         while 2 * have <= width:
             low = np.minimum(low[:-have], low[have:])
             have *= 2
@@ -60,7 +61,7 @@ def minimizers(buf: bytes, length: int = LENGTH) -> np.ndarray:
     return out
 
 
-def runs(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(texts: list[bytes], length: int = LENGTH, by: np.uint64 = _A) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end, minimizer) of each run: neighbouring positions of a text whose strings share a minimizer.
 
     The bytes from start to end hold all the strings of the run. Texts shorter than length have no run.
@@ -68,7 +69,7 @@ def runs(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
     lens = np.array([len(t) for t in texts], dtype=np.int64)
     buf = b"".join(texts) + b"\0" * (length + GRAM)
     begin = np.cumsum(lens) - lens
-    low = minimizers(buf, length)[: int(lens.sum())]
+    low = minimizers(buf, length, by)[: int(lens.sum())]
     turn = np.empty(len(low), dtype=bool)
     turn[:1] = True
     np.not_equal(low[1:], low[:-1], out=turn[1:])
@@ -108,49 +109,113 @@ def _by_target(row: np.ndarray, start: np.ndarray, end: np.ndarray, per: int) ->
         yield int(target[a]), _pack(row[a:b], start[a:b], end[a:b] - start[a:b])
 
 
-def _deal(buckets: int, length: int, per: int):
-    """Runs of a task's texts, by bucket; of runs with equal bytes only those of the smallest id go on, the others are found."""
+def period(part: bytes, length: int = LENGTH) -> int:
+    """The period of a long run, or 0: a text that goes round in circles has few strings, however long it is."""
+    if len(part) <= 4 * length:
+        return 0
+    p = part.find(part[:length], 1)
+    return p if 0 < p <= len(part) // 2 - length and part[p:] == part[:-p] else 0
+
+
+def _all_runs(texts: list[bytes], length: int, by: np.uint64 = _A) -> tuple[np.ndarray, ...]:
+    """runs() of any number of texts, CHUNK bytes at a time."""
+    chunks, at, size = [runs([], length, by)], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= CHUNK or i == len(texts) - 1:
+            text, start, end, low = runs(texts[at : i + 1], length, by)
+            chunks.append((text + at, start, end, low))
+            at, size = i + 1, 0
+    return tuple(np.concatenate(x) for x in zip(*chunks, strict=True))
+
+
+def _texts(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[tuple[list, list, list[bytes]]]:
+    """(row ids, ids, texts) of rows with a string, most bytes at a time."""
+    row, ids, texts, size = [], [], [], 0
+    for batch in batches:
+        for r, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+            if t and len(t) >= length:
+                row.append(r)
+                ids.append(LAST if i is None else i)
+                texts.append(t)
+                size += len(t)
+                if size >= most:
+                    yield row, ids, texts
+                    row, ids, texts, size = [], [], [], 0
+    if texts:
+        yield row, ids, texts
+
+
+def _count(buckets: int, length: int):
+    """Strings by bucket, over all texts of a task."""
 
-    def flush(ids: list, row: list, texts: list[bytes]) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], [], []]  # bucket, kind, blob of numbers, blob of bytes, length of the bytes
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, dtype=np.int64)
+        for _, _, texts in _texts(batches, length, CHUNK):
+            _, start, end, low = runs(texts, length)
+            bucket = (low % np.uint64(buckets)).astype(np.int64)
+            total += np.bincount(bucket, weights=np.minimum(end - start, 4 * length) - length + 1, minlength=buckets).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    return work
+
+
+def _deal(buckets: int, length: int, per: int, hot: dict[int, tuple[int, int]]):
+    """Runs of a task's texts, by bucket; of runs with equal bytes only those of the smallest id go on, the others are found.
+
+    hot maps a crowded bucket to the first of the buckets that take its place and their number: its runs are cut
+    where a second minimizer changes, which then says which of these they go to.
+    """
+    every = buckets + sum(n for _, n in hot.values())
+
+    def dealt(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        text, start, end, low = _all_runs(texts, length)
+        bucket = (low % np.uint64(buckets)).astype(np.int64)
+        crowded = np.isin(bucket, list(hot))
+        if not crowded.any():
+            return text, start, end, bucket
+        which = np.flatnonzero(crowded)
+        parts = [texts[t][a:b] for t, a, b in zip(text[which].tolist(), start[which].tolist(), end[which].tolist(), strict=True)]
+        of, a, b, second = _all_runs(parts, length, _C)
+        which = which[of]
+        first, n = (np.array([hot[x][k] for x in bucket[which].tolist()], dtype=np.int64) for k in (0, 1))
+        again = text[which], start[which] + a, start[which] + b, first + (second % n.astype(np.uint64)).astype(np.int64)
+        return tuple(np.concatenate([x[~crowded], y]) for x, y in zip((text, start, end, bucket), again, strict=True))
+
+    def flush(row: list, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], []]  # bucket, kind, blob of numbers, blob of bytes
         id_, row_ = np.array(ids, dtype=np.int64), np.array(row, dtype=np.int64)
         # In order of ids, so that the first of equal runs has the smallest id.
         order = np.argsort(id_, kind="stable")
         texts, id_, row_ = [texts[i] for i in order.tolist()], id_[order], row_[order]
-        chunks, at, size = [], 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= CHUNK or i == len(texts) - 1:
-                text, start, end, low = runs(texts[at : i + 1], length)
-                chunks.append((text + at, start, end, (low % np.uint64(buckets)).astype(np.int64)))
-                at, size = i + 1, 0
-        text, start, end, bucket = (np.concatenate(x) for x in zip(*chunks, strict=True))
-        del chunks
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+        text, start, end, bucket = dealt(texts)
+        order = np.lexsort((start, text, bucket))
+        edges = np.searchsorted(bucket[order], np.arange(every + 1)).tolist()
         press = zstandard.ZstdCompressor(level=6)
         found: list[np.ndarray] = []
-        for b in range(buckets):
+        for b in range(every):
             own = order[edges[b] : edges[b + 1]]
             if not len(own):
                 continue
             first: dict[bytes, int] = {}
-            parts, keep, again = [], [], []
+            parts, keep, again, whole = [], [], [], []
             docs = id_[text[own]].tolist()
             for k, d, t, s, e in zip(own.tolist(), docs, text[own].tolist(), start[own].tolist(), end[own].tolist(), strict=True):
                 part = texts[t][s:e]
+                if circle := period(part, length):
+                    part = part[: circle + length - 1]
                 if first.setdefault(part, d) == d:
                     parts.append(part)
                     keep.append(k)
+                    whole.append(e - s if circle else 0)
                 else:
                     again.append(k)
-            keep_ = np.array(keep)
-            raw = b"".join(parts)
+            kept = np.array(keep)
             out[0].append(b)
             out[1].append(0)
-            out[2].append(_pack(id_[text[keep_]], row_[text[keep_]], start[keep_], end[keep_] - start[keep_]))
-            out[3].append(press.compress(raw))
-            out[4].append(len(raw))
+            out[2].append(_pack(id_[text[kept]], row_[text[kept]], start[kept], np.array(list(map(len, parts))), np.array(whole)))
+            out[3].append(press.compress(b"".join(parts)))
             if again:
                 found.append(np.array(again))
         if found:
@@ -160,24 +225,12 @@ def _deal(buckets: int, length: int, per: int):
                 out[1].append(target + 1)
                 out[2].append(blob)
                 out[3].append(None)
-                out[4].append(0)
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
-        return pa.record_batch([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["bucket", "kind", "numbers", "bytes", "size"])
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.record_batch([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["bucket", "kind", "numbers", "bytes"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, row, texts, size = [], [], [], 0
-        for batch in batches:
-            for r, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                if t and len(t) >= length:
-                    ids.append(LAST if i is None else i)
-                    row.append(r)
-                    texts.append(t)
-                    size += len(t)
-                    if size >= FLUSH:
-                        yield flush(ids, row, texts)
-                        ids, row, texts, size = [], [], [], 0
-        if texts:
-            yield flush(ids, row, texts)
+        for row, ids, texts in _texts(batches, length, FLUSH):
+            yield flush(row, ids, texts)
 
     return work
 
@@ -232,13 +285,14 @@ def refine(buf: bytes, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray
     return alive, group
 
 
-def repeated(text: bytes, size: np.ndarray, id_: np.ndarray, row: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated(text: bytes, size: np.ndarray, whole: np.ndarray, id_: np.ndarray, row: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (row, start, end) of the strings in these runs that also start in a run with a smaller id.
 
-    text is the runs' bytes, one after the other; size, id_, row and start say how many bytes each has and whence.
+    text is the runs' bytes, one after the other; size, id_, row and start say how many bytes each has and whence. Of
+    a run that goes round in circles these are the bytes of one round, and whole says how long it is; else that is 0.
     """
     if len(text) <= SLICE or len(size) < 2:
-        return _repeated(text, size, id_, row, start, length)
+        return _repeated(text, size, whole, id_, row, start, length)
     # All strings of a run share its minimizer: that of its first string tells which slice it goes to.
     begin, low = np.cumsum(size) - size, np.full(len(size), 2**64 - 1, dtype=np.uint64)
     grams = _grams(text + b"\0" * GRAM)
@@ -250,18 +304,17 @@ def repeated(text: bytes, size: np.ndarray, id_: np.ndarray, row: np.ndarray, st
         own = np.flatnonzero(part == k)
         if len(own):
             joined = b"".join([text[a:b] for a, b in zip(begin[own].tolist(), (begin + size)[own].tolist(), strict=True)])
-            out.append(_repeated(joined, size[own], id_[own], row[own], start[own], length))
+            out.append(_repeated(joined, size[own], whole[own], id_[own], row[own], start[own], length))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _repeated(text: bytes, size: np.ndarray, id_: np.ndarray, row: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    buf = text + b"\0" * (2 * GRAM)
+def _repeated(text: bytes, size: np.ndarray, whole: np.ndarray, id_: np.ndarray, row: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    none = np.empty(0, dtype=np.int64)
     strings = size - length + 1
     run = np.repeat(np.arange(len(size), dtype=np.int32), strings)
     at = np.arange(len(run)) + run.astype(np.int64) * (length - 1)
-    order, group = refine(buf, at, length)
+    order, group = refine(text + b"\0" * (2 * GRAM), at, length)
     if not len(order):
-        none = np.empty(0, dtype=np.int64)
         return none, none, none
     ids = id_[run[order]]
     heads = np.flatnonzero(np.diff(group, prepend=-1))
@@ -269,15 +322,22 @@ def _repeated(text: bytes, size: np.ndarray, id_: np.ndarray, row: np.ndarray, s
     counts = np.diff(np.append(heads, len(group)))
     found = np.sort(order[ids > np.repeat(least, counts)])
     if not len(found):
-        none = np.empty(0, dtype=np.int64)
         return none, none, none
     own = run[found]
     breaks = (np.diff(found, prepend=-2) != 1) | (np.diff(own, prepend=-1) != 0)
     a = np.flatnonzero(breaks)
     b = np.append(a[1:], len(found)) - 1
-    base = np.cumsum(size) - size
     r = own[a]
-    return row[r], start[r] + at[found[a]] - base[r], start[r] + at[found[b]] - base[r] + length
+    # The first and the last string of each span, counted within its run; those of a round come again in each round.
+    begin = (np.cumsum(size) - size)[r]
+    low, high, round_, last = at[found[a]] - begin, at[found[b]] - begin, strings[r], np.maximum(whole, size)[r] - length
+    full = (low == 0) & (high == round_ - 1)
+    round_, high = np.where(full, last + 1, round_), np.where(full, last, high)
+    times = (last - low) // round_ + 1
+    k = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    i = np.repeat(np.arange(len(r)), times)
+    r, low, high = r[i], low[i] + k * round_[i], np.minimum(high[i] + k * round_[i], last[i])
+    return row[r], start[r] + low, start[r] + high + length
 
 
 def _sort(length: int, per: int):
@@ -290,11 +350,11 @@ def _sort(length: int, per: int):
                 targets.append(kind - 1)
                 blobs.append(blob.as_py())
                 continue
-            numbers.append(_unpack(blob.as_py(), 4))
+            numbers.append(_unpack(blob.as_py(), 5))
             texts.append(press.decompress(text.as_py()))
         if texts:
-            id_, row, start, size = (np.concatenate(x) for x in zip(*numbers, strict=True))
-            for target, blob in _by_target(*repeated(b"".join(texts), size, id_, row, start, length), per):
+            id_, row, start, size, whole = (np.concatenate(x) for x in zip(*numbers, strict=True))
+            for target, blob in _by_target(*repeated(b"".join(texts), size, whole, id_, row, start, length), per):
                 targets.append(target)
                 blobs.append(blob)
         return pa.table({"target": pa.array(targets, pa.int64()), "numbers": pa.array(blobs, pa.binary())})
@@ -323,7 +383,16 @@ def repeats(df: DataFrame, text: str = "text", id: str = "doc_id", length: int =
     """
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = int(min(max(1, -(-total // bucket)), 1 << 20))
-    dealt = by_batches(df.select(ROW, id, text)).mapInArrow(_deal(buckets, length, per), "bucket long, kind long, numbers binary, bytes binary, size long")
+    of = by_batches(df.select(ROW, id, text))
+    # Buckets of common 8-grams hold many times their share; fewer than a third of all buckets can.
+    share = max(1, total // buckets)
+    crowded = of.mapInArrow(_count(buckets, length), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > 3 * share)
+    hot, next_ = {}, buckets
+    for r in sorted(crowded.collect()):
+        n = -(-r["n"] // share)
+        hot[r["bucket"]] = (next_, n)
+        next_ += n
+    dealt = of.mapInArrow(_deal(buckets, length, per, hot), "bucket long, kind long, numbers binary, bytes binary")
     found = dealt.groupBy("bucket").applyInArrow(_sort(length, per), "target long, numbers binary")
     return found.groupBy("target").applyInArrow(_merge, "of long, spans array<long>")
 
