@@ -67,15 +67,16 @@ def event_time_extract(spark, d):
     return _events(spark, d).select("event_id", F.unix_micros(envelope.rfc3339(text)).alias("event_time_us"))
 
 
-@query("select event_id, props from events where event_id % 4 in (0, 3)")
+@query("select event_id, props from events where event_type in ('click', 'purchase', 'signup')")
 def valid_json_filter(spark, d):
-    odd = F.element_at(F.array(F.col("props"), F.lit("[1, 2]"), F.lit("{broken"), F.lit("null")), (F.col("event_id") % 4 + 1).cast("int"))
+    kind = F.col("event_type")
+    odd = F.when(kind == "view", "[1, 2]").when(kind == "error", "{broken").when(kind == "signup", "null").otherwise(F.col("props"))
     return envelope.valid_objects(_events(spark, d).withColumn("payload", odd), "payload").select("event_id", "props")
 
 
-@query("select event_id, case when event_id % 2 = 0 then null else 'not a JSON object' end as error from events where event_id % 2 = 1")
+@query("select event_id, 'not a JSON object' as error from events where event_type = 'error'")
 def dead_letters(spark, d):
-    made = _events(spark, d).withColumn("payload", F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.lit("12")))
+    made = _events(spark, d).withColumn("payload", F.when(F.col("event_type") == "error", "12").otherwise(F.col("props")))
     return envelope.split_invalid(made, "payload")[1].select("event_id", "error")
 
 
@@ -290,12 +291,12 @@ def node_lookup(spark, d):
 
 @query(
     """select coalesce(a.key, b.key) as key, a.name as source_name, b.name as sink_name
-    from (select c_nationkey as key, arg_max(c_name, c_custkey) as name from customer where c_nationkey < 20 group by 1) a
-    full join (select s_nationkey as key, arg_max(s_name, s_suppkey) as name from supplier where s_nationkey > 2 group by 1) b on a.key = b.key"""
+    from (select c_nationkey as key, arg_max(c_name, c_custkey) as name from customer group by 1) a
+    full join (select s_nationkey + 3 as key, arg_max(s_name, s_suppkey) as name from supplier group by 1) b on a.key = b.key"""
 )
 def source_sink_pairing(spark, d):
-    a = table(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_nationkey").alias("key"), F.col("c_name").alias("name"), F.col("c_custkey").alias("at"))
-    b = table(spark, d, "supplier").where("s_nationkey > 2").select(F.col("s_nationkey").alias("key"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("at"))
+    a = table(spark, d, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_name").alias("name"), F.col("c_custkey").alias("at"))
+    b = table(spark, d, "supplier").select((F.col("s_nationkey") + 3).alias("key"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("at"))
     return relational.pair_by_key(a, b, "key", "at").select("key", F.col("source.name").alias("source_name"), F.col("sink.name").alias("sink_name"))
 
 
@@ -421,9 +422,9 @@ def session_user(spark, d):
     return windows.sessions(_events(spark, d), "ts", "30 minutes", ["user_id"], _n())
 
 
-@query("select event_id, coalesce(ts < max(ts) over (order by event_id * 7919 % 10007, event_id rows between unbounded preceding and 1 preceding) - interval '1 day', false) as late from events where event_id < 10007")
+@query("select event_id, coalesce(ts < max(ts) over (order by event_id * 7919 % 10007, event_id rows between unbounded preceding and 1 preceding) - interval '1 day', false) as late from events")
 def watermark_late_split(spark, d):
-    ev = _events(spark, d).where("event_id < 10007").withColumn("arrival", F.expr("(event_id * 7919 % 10007) * 100000 + event_id"))
+    ev = _events(spark, d).withColumn("arrival", F.expr("(event_id * 7919 % 10007) * 10000000 + event_id"))
     return windows.split_late(ev, "ts", "arrival", "1 day").select("event_id", "late")
 
 
@@ -467,9 +468,9 @@ def join_anti(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
-@query("select s.s_suppkey, c.c_custkey from (select * from supplier where s_suppkey <= 50) s full join (select * from customer where c_custkey between 20 and 80) c on s.s_suppkey = c.c_custkey")
+@query("select s.s_suppkey, c.c_custkey from supplier s full join customer c on s.s_suppkey = c.c_custkey + 5")
 def join_full(spark, d):
-    return table(spark, d, "supplier").where("s_suppkey <= 50").join(table(spark, d, "customer").where("c_custkey between 20 and 80"), F.col("s_suppkey") == F.col("c_custkey"), "full").select("s_suppkey", "c_custkey")
+    return table(spark, d, "supplier").join(table(spark, d, "customer"), F.col("s_suppkey") == F.col("c_custkey") + 5, "full").select("s_suppkey", "c_custkey")
 
 
 @query("select n_name, r_name, count(*) as n from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1, 2")
@@ -623,9 +624,9 @@ def set_except(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").select("o_custkey"))
 
 
-@query("select event_type, count(*) as n, round(avg(value), 6) as mean from events where user_id % 2 = 0 group by event_type having count(*) > 1")
+@query("select event_type, count(*) as n, round(avg(value), 6) as mean from events where value > 10 group by event_type having count(*) > 1")
 def sql_transform(spark, d):
-    return spark.sql("select event_type, count(*) as n, round(avg(value), 6) as mean from {events} where user_id % 2 = :odd group by event_type having count(*) > 1", args={"odd": 0}, events=_events(spark, d))
+    return spark.sql("select event_type, count(*) as n, round(avg(value), 6) as mean from {events} where value > :least group by event_type having count(*) > 1", args={"least": 10.0}, events=_events(spark, d))
 
 
 # UDFs
@@ -677,10 +678,10 @@ def stream_tumbling(spark, d):
     return made.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
-@query(f"select event_id, 'Processed: ' || upper(event_type) as text, ({_FNV_SQL.format(c='props')} % 4)::int as partition_id from events where event_id % 3 <> 0")
+@query(f"select event_id, 'Processed: ' || upper(event_type) as text, ({_FNV_SQL.format(c='props')} % 4)::int as partition_id from events where event_type <> 'error'")
 def stream_pipeline(spark, d):
     """Filter, transform and route a stream; append."""
-    kept = _stream(spark, d).where("event_id % 3 <> 0").withColumn("text", J.upper_simple(F.col("event_type")))
+    kept = _stream(spark, d).where("event_type <> 'error'").withColumn("text", J.upper_simple(F.col("event_type")))
     out = partitioning.with_partition(transforms.prefix_lines(kept, "text"), "props", 4).select("event_id", "text", "partition_id")
     return windows.stored(out, scratch(spark))
 
