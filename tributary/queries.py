@@ -579,7 +579,7 @@ def dir_size(spark, d):
 @query("select o_orderkey, rank() over w as rank, dense_rank() over w as dense, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as number from orders window w as (partition by o_custkey order by o_orderdate)")
 def win_rank(spark, d):
     w = W.partitionBy("o_custkey").orderBy("o_orderdate")
-    return table(spark, d, "orders").select("o_orderkey", F.rank().over(w).alias("rank"), F.dense_rank().over(w).alias("dense"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("number"))
+    return table(spark, d, "orders").select("o_orderkey", F.rank().over(w).cast("long").alias("rank"), F.dense_rank().over(w).cast("long").alias("dense"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long").alias("number"))
 
 
 @query("select event_id, lag(event_id) over w as prior, lead(event_id, 2) over w as later, first_value(event_id) over w as first from events window w as (partition by user_id order by ts, event_id)")
@@ -606,7 +606,7 @@ def topk(spark, d):
 
 @query("select o_custkey, o_orderkey, rank from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 2")
 def topk_per_group(spark, d):
-    return relational.top_k_per(table(spark, d, "orders"), "o_custkey", [F.desc("o_totalprice"), F.col("o_orderkey")], 2).select("o_custkey", "o_orderkey", "rank")
+    return relational.top_k_per(table(spark, d, "orders"), "o_custkey", [F.desc("o_totalprice"), F.col("o_orderkey")], 2).select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
 
 
 @query("select c_nationkey as k from customer union all select s_nationkey from supplier")
