@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.session import shared_dir, table
+
 #: Row id that every operator works with. Ids of a table may be null or repeated; this one never is.
 ROW = "__row"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("tributary.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tributary-")
-        spark.conf.set("tributary.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again. The lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
@@ -48,9 +38,9 @@ def clear(spark: SparkSession) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """A table of the data folder."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return table(spark, sf_dir, name)
 
 
 def rows(df: DataFrame, **columns: str) -> DataFrame:
