@@ -409,18 +409,27 @@ def dedup_substrings(df: DataFrame, text: str = "text", id: str = "doc_id", leng
     of = rows(df, id=id, text=text).select(ROW, F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     spans = repeats(of, "text", "id", length, bucket)
 
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts go through the shuffle compressed one by one, better than its blocks of rows are."""
+        to = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            made = [to.compress(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=[ROW, "id", "pressed"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = zstandard.ZstdDecompressor()
         for batch in batches:
             sizes, gone, kept = [], [], []
-            for t, s in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                t, n = t or b"", len(s or ()) // 2
+            for blob, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                t, n = back.decompress(blob), len(s or ()) // 2
                 starts, ends = (s[:n], s[n:]) if s else ([], [])
                 sizes.append(len(t))
                 gone.append(sum(ends) - sum(starts))
                 kept.append(b"".join(t[a:b] for a, b in zip([0, *ends], [*starts, len(t)], strict=True)))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), batch.column(3), pa.array(kept, pa.binary())], names=[ROW, "id", "n_bytes", "n_removed", "spans", "kept"])
 
-    joined = of.join(spans, of[ROW] == spans["of"], "left").select(ROW, "id", "text", "spans")
+    pressed = by_batches(of).mapInArrow(press, f"{ROW} long, id long, pressed binary")
+    joined = pressed.join(spans, pressed[ROW] == spans["of"], "left").select(ROW, "id", "pressed", "spans")
     return joined.mapInArrow(work, f"{ROW} long, id long, n_bytes long, n_removed long, spans array<long>, kept binary")
 
 
