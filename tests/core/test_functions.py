@@ -26,8 +26,9 @@ def fnv(data: bytes) -> int:
 def test_fnv_matches_a_plain_one(spark):
     texts = ["", "a", '{"a": 1}', "é日本\U0001f600", "x" * 3000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    for r in df.select("t", hashing.fnv1a_hex(F.col("t")).alias("h"), hashing.fnv1a_bucket(F.col("t"), 13).alias("p")).collect():
-        assert r.h == f"{fnv(r.t.encode()):016x}" and r.p == fnv(r.t.encode()) % 13
+    for r in df.select("t", hashing.fnv1a_hex(F.col("t")).alias("h"), hashing.fnv1a_bucket(F.col("t"), 13).alias("p"), hashing.fnv1a_expression(F.col("t")).alias("e")).collect():
+        assert r.h == f"{fnv(r.t.encode()):016x}" and r.p == fnv(r.t.encode()) % 13 and r.e % 2**64 == fnv(r.t.encode())
+    assert hashing.fnv1a_of([]).tolist() == [] and hashing.fnv1a_of([bytes(range(256)), b"", b"\x09\x63\x64"]).tolist() == [fnv(bytes(range(256))), fnv(b""), fnv(b"\x09\x63\x64")]
     assert one(spark, hashing.fnv1a_bucket(F.lit(None).cast("string"), 5))[0] == 0
 
 

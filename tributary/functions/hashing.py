@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the 64-bit FNV-1a hash: the offset basis in two halves, and the prime 2^40 + 435.
 BASIS_HIGH, BASIS_LOW, PRIME_LOW, PRIME_SHIFT = 0xCBF29CE4, 0x84222325, 435, 8
@@ -34,22 +37,62 @@ def _fold(values: Column) -> Column:
     return F.aggregate(values, start, step)
 
 
-def fnv1a(payload: Column) -> Column:
-    """FNV-1a 64 of a payload's bracketed text, as a struct of unsigned 32-bit halves (hi, lo)."""
+def fnv1a_expression(payload: Column) -> Column:
+    """FNV-1a 64 of a payload's bracketed text as a long with its bits, by built-in functions alone."""
     text = bracketed(payload.cast("binary"))
-    return _fold(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), F.ascii))
+    h = _fold(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), F.ascii))
+    return F.shiftleft(h["hi"], 32).bitwiseOR(h["lo"])
+
+
+def fnv1a_of(data: list[bytes]) -> np.ndarray:
+    """FNV-1a 64 of each payload's bracketed text: all payloads advance by a byte at a time, the longest first."""
+    prime = np.uint64(2**40 + PRIME_LOW)
+    lens = np.array([len(b) for b in data], dtype=np.int64)
+    order = np.argsort(-lens, kind="stable")
+    buf, begin = np.frombuffer(b"".join(data) + b"\0", dtype=np.uint8), (np.cumsum(lens) - lens)[order]
+    lens = lens[order]
+    h = np.full(len(data), BASIS_HIGH << 32 | BASIS_LOW, dtype=np.uint64)
+    h = (h ^ np.uint64(ord("["))) * prime
+    live = np.searchsorted(-lens, -np.arange(1, int(lens.max(initial=0)) + 1), side="right")
+    for at, n in enumerate(live.tolist()):
+        b, x = buf[begin[:n] + at].astype(np.uint64), h[:n]
+        if at:
+            x = (x ^ np.uint64(ord(" "))) * prime
+        for ten in (100, 10):
+            step = (x ^ (b // np.uint64(ten) % np.uint64(10) + np.uint64(48))) * prime
+            x = np.where(b >= ten, step, x)
+        h[:n] = (x ^ (b % np.uint64(10) + np.uint64(48))) * prime
+    out = np.empty_like(h)
+    out[order] = (h ^ np.uint64(ord("]"))) * prime
+    return out
+
+
+@F.pandas_udf(T.LongType())
+def _fnv1a(data: pd.Series) -> pd.Series:
+    held = data.isna()
+    out = pd.Series(fnv1a_of([b"" if none else bytes(b) for b, none in zip(data, held, strict=True)]).view(np.int64), dtype="Int64")
+    out[held.to_numpy()] = pd.NA
+    return out
+
+
+def fnv1a(payload: Column) -> Column:
+    """The same in batches of payloads, which is many times as fast as a fold over characters in the JVM."""
+    return _fnv1a(payload.cast("binary"))
 
 
 def fnv1a_hex(payload: Column) -> Column:
-    """The same as 16 hex digits."""
-    h = fnv1a(payload)
-    return F.lower(F.concat(F.lpad(F.hex(h["hi"]), 8, "0"), F.lpad(F.hex(h["lo"]), 8, "0")))
+    """The hash as 16 hex digits."""
+    return F.lower(F.lpad(F.hex(fnv1a(payload)), 16, "0"))
+
+
+def bucket(h: Column, n: int) -> Column:
+    """A long's unsigned value modulo n; 0 for null, as a failed hash has."""
+    return F.coalesce((F.shiftrightunsigned(h, 1) % n * 2 + h.bitwiseAND(F.lit(1).cast("long"))) % n, F.lit(0)).cast("int")
 
 
 def fnv1a_bucket(payload: Column, n: int) -> Column:
-    """The unsigned hash modulo n; a null payload goes to 0, as a failed hash does."""
-    h = fnv1a(payload)
-    return F.coalesce(((h["hi"] % n) * (2**32 % n) + h["lo"] % n) % n, F.lit(0)).cast("int")
+    """The unsigned hash modulo n; a null payload goes to 0."""
+    return bucket(fnv1a(payload), n)
 
 
 def rendezvous(payload: Column, n: int) -> Column:
