@@ -2,9 +2,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tests.llm.oracle import same
 from tributary.llm import substrings
+from tributary.llm.common import cut
 
 
 def brute(rows, k=50):
@@ -109,3 +112,51 @@ def test_period():
     assert substrings.period(b"ab" * 200) == 2 and substrings.period(b"ab" * 200 + b"c") == 0 and substrings.period(b"ab" * 50) == 0
     unit = bytes(range(97))
     assert substrings.period((unit * 9)[5:800]) == 97 and substrings.period(unit * 2) == 0
+
+
+def test_buckets_are_dealt_again(spark):
+    """Few and small buckets, as beyond FAN * MOST bytes of input: the same spans."""
+    rows = data()
+    df = spark.createDataFrame(rows, "id long, text string").select(F.monotonically_increasing_id().alias("__row"), "id", "text")
+    df = cut(df)
+    told = lambda of: sorted((r["of"], *r["spans"]) for r in of.collect())
+    want = told(substrings.repeats(df, id="id"))
+    assert len(want) > 50
+    for fan, most in ((4, 500), (2, 60), (64, 300)):
+        assert told(substrings.repeats(df, id="id", bucket=4000, fan=fan, most=most)) == want
+
+
+def test_a_run_in_circles_is_dealt_again():
+    texts = [b"ab" * 400, b"ab" * 90, b"x" * 300 + b"ab" * 200]
+    of = np.arange(3)
+    dealt = substrings._blobs(of, of, np.zeros(3, np.int64), texts, lambda t, o: (*substrings._all_runs(t, 50)[:3], np.zeros(len(substrings._all_runs(t, 50)[0]), np.int64)), 1024, 50)
+    table = pa.Table.from_batches([dealt])
+    table = table.append_column("parts", pa.array([3] * table.num_rows))
+    want, got = [], []
+    for rows_, out in ((table, want), (pa.Table.from_batches(list(substrings._deal_again(50, 1024, substrings._B)(iter(table.to_batches())))), got)):
+        for r in rows_.to_pylist():
+            if r["kind"] == 0:
+                id_, row, start, size, whole = substrings._unpack(r["numbers"], 5)
+                out += [(int(d), int(a) + p) for d, a, s, w in zip(row, start, size, whole, strict=True) for p in range(max(s, w) - 49)]
+            else:
+                row, start, size = substrings._unpack(r["numbers"], 3)
+                out += [(int(d), int(a) + p) for d, a, s in zip(row, start, size, strict=True) for p in range(s - 49)]
+    assert sorted(got) == sorted(want)
+
+
+def test_what_is_sent_does_not_grow_with_the_buckets():
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(5000)]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(3000)) for _ in range(800)]
+    batch = pa.record_batch([pa.array(range(800)), pa.array(range(800)), pa.array(texts)], names=["r", "id", "text"])
+    sent = []
+    for buckets in (512, substrings.FAN):
+        out = list(substrings._deal(buckets, 50, 1024, {})(iter([batch])))
+        sent.append(sum(len(x or b"") + 40 for o in out for c in ("numbers", "bytes") for x in o[c].to_pylist()))
+    assert sent[1] < 1.15 * sent[0]
+
+
+def test_ids_of_text(spark):
+    rows = [("b", "z" * 60), ("a", "z" * 55), (None, "z" * 51), ("c", "short")]
+    out = {r["id"]: r["n_removed"] for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert out == {"b": 60, "a": 0, None: 51, "c": 0}

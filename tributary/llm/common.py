@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.session import shared_dir, table
@@ -75,3 +75,13 @@ def numbered(df: DataFrame) -> DataFrame:
 def renamed(made: DataFrame, df: DataFrame, **new: Column) -> DataFrame:
     """The columns of numbered(df) under their own names again; new gives other values for some."""
     return made.select(*[new.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(df.columns)])
+
+
+def ordered_ids(df: DataFrame, id: str = "id", parts: int = 64) -> DataFrame:
+    """df with a long, order, that sorts as the values of id do; null for null. Only ids are sorted, and in ranges."""
+    ids = df.select(id).where(F.col(id).isNotNull()).distinct()
+    ranged = cut(ids.repartitionByRange(parts, id).withColumn("part", F.spark_partition_id()))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(id))
+    told = cut(ranged.select(F.col(id).alias("__of"), (F.col("part").cast("long") * (1 << 40) + rank).alias("order")))
+    release(ranged)
+    return df.join(told, F.col(id) == F.col("__of"), "left").drop("__of")

@@ -1,13 +1,15 @@
 """Exact substring deduplication: byte strings of a fixed length that also start in a document with a smaller id.
 
 Positions are dealt out by the minimizer of their string, as runs of neighbours that share it, and each bucket sorts its
-positions by bucket-pointer refinement. Crowded buckets are split by a second minimizer, runs of equal bytes are sent
-once by each task, and of a run that goes round in circles one round is sent.
+positions by bucket-pointer refinement. A deal fills FAN buckets at most, whatever the input's size, so that what a task
+sends to one bucket stays worth a blob; buckets that are too large are dealt out once more. Crowded buckets are split by
+a second minimizer, runs of equal bytes are sent once by each task, and of a run that goes round in circles one round is
+sent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import ROW, by_batches, documents, rows
+from tributary.llm.common import ROW, by_batches, cut, documents, maybe_broadcast, ordered_ids, release, rows
 
 LENGTH = 50
 GRAM = 8
@@ -23,9 +25,15 @@ GRAM = 8
 FLUSH, CHUNK = 16 << 20, 2 << 20
 #: Bytes of runs that a bucket sorts at a time, and numbers that are hashed at a time, so that they stay in the cache.
 SLICE, BLOCK = 8 << 20, 1 << 15
+#: Buckets that one deal fills at most, and bytes of text that a bucket should hold at most.
+FAN, MOST = 2048, 16 << 20
 LAST = np.iinfo(np.int64).max
 
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
+#: Orders of 8-grams by which buckets that are too large are dealt out again, one after the other. The first is that of
+#: the first deal, so runs stay whole; by the others they are cut where their minimizer changes.
+_ORDERS = (_A, _B, _D)
+DEALT = "bucket long, kind long, n long, numbers binary, bytes binary"
 
 
 def _mix(x: np.ndarray, y: np.ndarray | None = None, by: np.uint64 = _A) -> np.ndarray:
@@ -161,15 +169,62 @@ def _count(buckets: int, length: int):
     return work
 
 
+def _blobs(row: np.ndarray, id_: np.ndarray, offset: np.ndarray, texts: list[bytes], place: Callable, per: int, length: int) -> pa.RecordBatch:
+    """The runs of texts, which start at offset of their documents, as a blob for each bucket (DEALT; kind 0).
+
+    place(texts, order) gives (text, start, end, bucket) of the runs of texts, which are in that order of what was
+    given. Of runs with equal bytes only those of the smallest id go on. The others are found: their spans are
+    blobs for groups of rows (kind is the group and 1).
+    """
+    # In order of ids, so that the first of equal runs has the smallest id.
+    order = np.argsort(id_, kind="stable")
+    texts, id_, row, offset = [texts[i] for i in order.tolist()], id_[order], row[order], offset[order]
+    text, start, end, bucket = place(texts, order)
+    order = np.lexsort((start, text, bucket))
+    text, start, end, bucket = text[order], start[order], end[order], bucket[order]
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
+    out: list[list] = [[], [], [], [], []]
+    press = zstandard.ZstdCompressor(level=6)
+    found: list[np.ndarray] = []
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        first: dict[bytes, int] = {}
+        parts, keep, again, whole = [], [], [], []
+        for k, d, t, s, e in zip(range(lo, hi), id_[text[lo:hi]].tolist(), text[lo:hi].tolist(), start[lo:hi].tolist(), end[lo:hi].tolist(), strict=True):
+            part = texts[t][s:e]
+            circle = period(part, length) if e - s > 4 * length else 0
+            if circle:
+                part = part[: circle + length - 1]
+            if first.setdefault(part, d) == d:
+                parts.append(part)
+                keep.append(k)
+                whole.append(e - s if circle else 0)
+            else:
+                again.append(k)
+        kept = np.array(keep)
+        joined = b"".join(parts)
+        numbers = _pack(id_[text[kept]], row[text[kept]], offset[text[kept]] + start[kept], np.array(list(map(len, parts))), np.array(whole))
+        for column, x in zip(out, (int(bucket[lo]), 0, len(joined), numbers, press.compress(joined)), strict=True):
+            column.append(x)
+        if again:
+            found.append(np.array(again))
+    if found:
+        every = np.concatenate(found)
+        at = offset[text[every]]
+        for target, blob in _by_target(row[text[every]], at + start[every], at + end[every], per):
+            for column, x in zip(out, (target, target + 1, 0, blob, None), strict=True):
+                column.append(x)
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.record_batch([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["bucket", "kind", "n", "numbers", "bytes"])
+
+
 def _deal(buckets: int, length: int, per: int, hot: dict[int, tuple[int, int]]):
-    """Runs of a task's texts, by bucket; of runs with equal bytes only those of the smallest id go on, the others are found.
+    """Runs of a task's texts, by bucket.
 
     hot maps a crowded bucket to the first of the buckets that take its place and their number: its runs are cut
     where a second minimizer changes, which then says which of these they go to.
     """
-    every = buckets + sum(n for _, n in hot.values())
 
-    def dealt(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    def place(texts: list[bytes], _: np.ndarray) -> tuple[np.ndarray, ...]:
         text, start, end, low = _all_runs(texts, length)
         bucket = (low % np.uint64(buckets)).astype(np.int64)
         crowded = np.isin(bucket, list(hot))
@@ -183,58 +238,82 @@ def _deal(buckets: int, length: int, per: int, hot: dict[int, tuple[int, int]]):
         again = text[which], start[which] + a, start[which] + b, first + (second % n.astype(np.uint64)).astype(np.int64)
         return tuple(np.concatenate([x[~crowded], y]) for x, y in zip((text, start, end, bucket), again, strict=True))
 
-    def flush(row: list, ids: list, texts: list[bytes]) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], []]  # bucket, kind, blob of numbers, blob of bytes
-        id_, row_ = np.array(ids, dtype=np.int64), np.array(row, dtype=np.int64)
-        # In order of ids, so that the first of equal runs has the smallest id.
-        order = np.argsort(id_, kind="stable")
-        texts, id_, row_ = [texts[i] for i in order.tolist()], id_[order], row_[order]
-        text, start, end, bucket = dealt(texts)
-        order = np.lexsort((start, text, bucket))
-        edges = np.searchsorted(bucket[order], np.arange(every + 1)).tolist()
-        press = zstandard.ZstdCompressor(level=6)
-        found: list[np.ndarray] = []
-        for b in range(every):
-            own = order[edges[b] : edges[b + 1]]
-            if not len(own):
-                continue
-            first: dict[bytes, int] = {}
-            parts, keep, again, whole = [], [], [], []
-            docs = id_[text[own]].tolist()
-            for k, d, t, s, e in zip(own.tolist(), docs, text[own].tolist(), start[own].tolist(), end[own].tolist(), strict=True):
-                part = texts[t][s:e]
-                if circle := period(part, length):
-                    part = part[: circle + length - 1]
-                if first.setdefault(part, d) == d:
-                    parts.append(part)
-                    keep.append(k)
-                    whole.append(e - s if circle else 0)
-                else:
-                    again.append(k)
-            kept = np.array(keep)
-            out[0].append(b)
-            out[1].append(0)
-            out[2].append(_pack(id_[text[kept]], row_[text[kept]], start[kept], np.array(list(map(len, parts))), np.array(whole)))
-            out[3].append(press.compress(b"".join(parts)))
-            if again:
-                found.append(np.array(again))
-        if found:
-            all_ = np.concatenate(found)
-            for target, blob in _by_target(row_[text[all_]], start[all_], end[all_], per):
-                out[0].append(target % buckets)
-                out[1].append(target + 1)
-                out[2].append(blob)
-                out[3].append(None)
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.record_batch([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["bucket", "kind", "numbers", "bytes"])
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, ids, texts in _texts(batches, length, FLUSH):
-            yield flush(row, ids, texts)
+            yield _blobs(np.array(row, dtype=np.int64), np.array(ids, dtype=np.int64), np.zeros(len(row), dtype=np.int64), texts, place, per, length)
 
     return work
 
 
+def _unrolled(part: bytes, whole: int, length: int) -> bytes:
+    """The bytes of a run of which one round was sent."""
+    circle = len(part) - length + 1
+    return (part[:circle] * (-(-whole // circle)))[:whole] if whole else part
+
+
+def _deal_again(length: int, per: int, by: np.uint64):
+    """Rows of DEALT and parts: each bucket's runs dealt out to as many buckets as its parts say, by the hash of their minimizer."""
+
+    def flush(held: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+        press = zstandard.ZstdDecompressor()
+        texts, numbers, parent, parts = [], [], [], []
+        for bucket, n, blob, packed in held:
+            own = _unpack(blob, 5)
+            raw, size, whole = press.decompress(packed), own[3], own[4]
+            begin = np.cumsum(size) - size
+            texts += [_unrolled(raw[a : a + k], w, length) for a, k, w in zip(begin.tolist(), size.tolist(), whole.tolist(), strict=True)]
+            numbers.append(own[:3])
+            parent.append(np.full(len(size), bucket))
+            parts.append(np.full(len(size), n))
+        id_, row, start = (np.concatenate(x) for x in zip(*numbers, strict=True))
+        of, into = np.concatenate(parent), np.concatenate(parts).astype(np.uint64)
+
+        def place(texts: list[bytes], order: np.ndarray) -> tuple[np.ndarray, ...]:
+            text, a, b, low = _all_runs(texts, length, by)
+            own = order[text]
+            # Two buckets that get the same number share a task, and nothing else.
+            return text, a, b, (_mix(_mix(low, by=_C) % into[own], of[own].view(np.uint64)) >> np.uint64(1)).astype(np.int64)
+
+        return _blobs(row, id_, start, texts, place, per, length)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            done = batch.filter(pa.array(kind > 0))
+            if done.num_rows:
+                yield done.select(["bucket", "kind", "n", "numbers", "bytes"])
+            for r in batch.filter(pa.array(kind == 0)).to_pylist():
+                held.append((r["bucket"], r["parts"], r["numbers"], r["bytes"]))
+                size += r["n"]
+                if size >= FLUSH:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return work
+
+
+def deal_again(dealt: DataFrame, most: int, length: int = LENGTH, per: int = 1024, fan: int = FAN) -> DataFrame:
+    """dealt, where buckets of more than most bytes of runs are dealt out again, to fan buckets at most each.
+
+    Each deal sends every byte of such a bucket once more, so the work a byte grows with the number of deals: the
+    logarithm of the input to the base of fan. Sizes are aggregated, and joined as a table; the driver sees a count.
+    """
+    for by in _ORDERS:
+        stored = cut(dealt)
+        sizes = stored.groupBy("bucket").agg(F.sum("n").alias("size")).where(F.col("size") > most)
+        large = cut(sizes.select(F.col("bucket").alias("of"), F.least(F.lit(fan), F.ceil(F.col("size") * 2 / most)).cast("int").alias("parts")))
+        if not (n := large.count()):
+            release(large)
+            return stored
+        marked = stored.join(maybe_broadcast(large, n), F.col("bucket") == F.col("of"), "left").drop("of")
+        again = by_batches(marked.where("parts is not null").repartition("bucket")).mapInArrow(_deal_again(length, per, by), DEALT)
+        dealt = marked.where("parts is null").drop("parts").unionByName(again)
+    return dealt
+
+
 def refine(buf: bytes, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(order, group): the positions of at whose strings of this length occur again, sorted, and the group of equal ones.
 
@@ -376,13 +455,14 @@ def _merge(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"of": pa.array(row[edges[:-1]], pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64()))})
 
 
-def repeats(df: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, bucket: int = 1 << 20, per: int = 1024) -> DataFrame:
+def repeats(df: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, bucket: int = 1 << 20, per: int = 1024, fan: int = FAN, most: int = MOST) -> DataFrame:
     """(of, spans): for each __row with a repeated string, starts and then ends of its maximal spans, in bytes.
 
-    df has __row, text and id; per rows in turn are merged together.
+    df, read alike each time, has __row, text and id; per rows in turn are merged together. Buckets are to hold bucket
+    bytes of text, or more where they would be more than fan; beyond most bytes they are dealt out again.
     """
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = int(min(max(1, -(-total // bucket)), 1 << 20))
+    buckets = int(min(max(1, -(-total // bucket)), fan))
     of = by_batches(df.select(ROW, id, text))
     # Buckets of common 8-grams hold many times their share; fewer than a third of all buckets can.
     share = max(1, total // buckets)
@@ -392,7 +472,9 @@ def repeats(df: DataFrame, text: str = "text", id: str = "doc_id", length: int =
         n = -(-r["n"] // share)
         hot[r["bucket"]] = (next_, n)
         next_ += n
-    dealt = of.mapInArrow(_deal(buckets, length, per, hot), "bucket long, kind long, numbers binary, bytes binary")
+    dealt = of.mapInArrow(_deal(buckets, length, per, hot), DEALT)
+    if share > most:
+        dealt = deal_again(dealt, 4 * most, length, per, fan)  # runs hold about three times the bytes of their text
     found = dealt.groupBy("bucket").applyInArrow(_sort(length, per), "target long, numbers binary")
     return found.groupBy("target").applyInArrow(_merge, "of long, spans array<long>")
 
@@ -403,11 +485,16 @@ def dedup_substrings(df: DataFrame, text: str = "text", id: str = "doc_id", leng
     A byte goes if a string of length bytes (33 to 64) covers it that also starts in a row with a smaller id, judged
     on the input; matches never cross texts. spans holds starts, then ends, of the maximal removed runs (null: none).
     The strings of rows with equal ids don't remove each other. A null id counts as larger than any other. Null texts
-    are empty; texts shorter than length keep everything. Ids are whole numbers. An empty table gives an empty result;
-    other columns are ignored.
+    are empty; texts shorter than length keep everything. Ids are whole numbers, or of any other type that Spark
+    sorts. An empty table gives an empty result; other columns are ignored. df is a stored table, read alike each
+    time: rows are told apart by their place in it.
     """
-    of = rows(df, id=id, text=text).select(ROW, F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    spans = repeats(of, "text", "id", length, bucket)
+    of = rows(df, id=id, text=text).withColumn("text", F.col("text").cast("string"))
+    whole = df.schema[id].dataType.typeName() in ("byte", "short", "integer", "long")
+    of = of.withColumn("order", F.col("id").cast("long")) if whole else ordered_ids(of)
+    kind = df.schema[id].dataType.simpleString()
+    spans = repeats(of, "text", "order", length, bucket)
+    of = of.select(ROW, "id", "text")
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts go through the shuffle compressed one by one, better than its blocks of rows are."""
@@ -428,9 +515,9 @@ def dedup_substrings(df: DataFrame, text: str = "text", id: str = "doc_id", leng
                 kept.append(b"".join(t[a:b] for a, b in zip([0, *ends], [*starts, len(t)], strict=True)))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), batch.column(3), pa.array(kept, pa.binary())], names=[ROW, "id", "n_bytes", "n_removed", "spans", "kept"])
 
-    pressed = by_batches(of).mapInArrow(press, f"{ROW} long, id long, pressed binary")
+    pressed = by_batches(of).mapInArrow(press, f"{ROW} long, id {kind}, pressed binary")
     joined = pressed.join(spans, pressed[ROW] == spans["of"], "left").select(ROW, "id", "pressed", "spans")
-    return joined.mapInArrow(work, f"{ROW} long, id long, n_bytes long, n_removed long, spans array<long>, kept binary")
+    return joined.mapInArrow(work, f"{ROW} long, id {kind}, n_bytes long, n_removed long, spans array<long>, kept binary")
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
