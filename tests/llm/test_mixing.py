@@ -77,3 +77,21 @@ def test_empty_table_and_wordless_source(spark):
 
 def test_sf_against_sql(spark):
     same(spark, mixing.op5_mixing, mixing.SQL)
+
+
+def test_null_ids_and_a_hot_row(spark):
+    """A third of the rows without an id, a third one and the same row: as many are taken as the targets ask for."""
+    rows = [(None, "a", f"w{i} " * (i % 7)) for i in range(3000)] + [(5, "a", "one and the same")] * 3000 + [(i, "b", "x y z") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(6).cache()
+    got = mixing.mix(df, bucket=64).collect()
+    targets = brute_targets([sum(words(t) for _, s, t in rows if s == x) for x in "ab"], [1, 2])
+    for source, target in zip("ab", targets, strict=True):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.copies * r["size"] for r in own) - target) <= 7
+        assert max(r.copies for r in own) - min(r.copies for r in own) == 1
+    pick = lambda x: sorted(map(str, mixing.mix(x, bucket=64).select("id", "source", "size", "copies").collect()))
+    assert pick(df) == pick(df.coalesce(2))
+    # Which of equal rows are taken is told within their partitions: no task sees them all.
+    hot = spark.createDataFrame([(1, "a", "x y")] * 4000 + [(2, "b", "x y")] * 999, "doc_id long, source string, text string").repartition(8).cache()
+    taken = mixing.mix(hot).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("n"), F.first("target").alias("t")).collect()
+    assert len(taken) == 2 and all(abs(r.n - r.t) <= 2 for r in taken)

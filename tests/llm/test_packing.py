@@ -10,12 +10,12 @@ from tokenizers import Tokenizer
 from tributary.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", "a", "<|endoftext|> in a text", "naïve café  \n\n tabs\t\t x", "日本語 текст ألف", "Ᲊ\U0001e4d0 new letters Ⱟ", "it's we'll 123 45,6 !?", "x" * 5000, "\x00\x85\xa0　 ", "👩‍👩‍👧 emoji"]
+MARK = "<|endoftext|>"
+ODD = ["", "a", f"{MARK} in a text", f"at the end {MARK}", f"a {MARK} b", f"{MARK}{MARK}", f"x{MARK}{MARK} y", f"日本{MARK}語", "<|endoftext", "|endoftext|>", "naïve café  \n\n tabs\t\t x", "日本語 текст ألف", "Ᲊ\U0001e4d0 new letters Ⱟ", "it's we'll 123 45,6 !?", "x" * 5000, "\x00\x85\xa0　 ", "👩‍👩‍👧 emoji"]
 
 
 def exact(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 

@@ -75,7 +75,6 @@ def test_each_stage_against_brute_force(spark):
         assert abs(sum(own) - target) <= max(own)
     # Packing: every row of the mix, whole.
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     text = {r.doc_id: r.text for r in mixed}
     length = {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in text.items()}
     packed = docs[5].collect()

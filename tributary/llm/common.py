@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tributary.session import shared_dir, table
 
@@ -51,10 +54,16 @@ def rows(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias(ROW), *[df[c].alias(k) for k, c in columns.items()])
 
 
-def by_batches(df: DataFrame, n: int = 1024) -> DataFrame:
-    """Hold Arrow batches of texts to n rows, so that a worker's memory doesn't grow with the partition."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
-    return df
+def by_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, n: int = 1024) -> DataFrame:
+    """df through work, whose batches have n rows at most, so that what it makes of one stays small.
+
+    Spark holds the batches that it sends to 10,000 rows and 64 MB; the session's settings stay as they are.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return work(b.slice(at, n) for b in batches for at in range(0, b.num_rows, n))
+
+    return df.mapInArrow(each, schema)
 
 
 def unsigned_hex(c: Column) -> Column:

@@ -44,24 +44,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     Edges are pairs of longs in any direction; repeated edges and loops do no harm, edges with a null are ignored.
     Each batch of edges is first replaced by its spanning stars, so dense groups shrink before they are shuffled.
     Then large-star and small-star steps alternate until nothing changes. The minima are aggregated before they are
-    shuffled and joined as tables of their own, so that AQE can split the rows of a hub. Nothing is collected but
-    two numbers a round.
+    shuffled and joined as tables of their own, so that AQE can split the rows of a hub. Nothing is collected.
     """
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     pairs = pairs.where("u is not null and v is not null and u <> v")
     now = cut(pairs.mapInArrow(_forests, "u long, v long").distinct())
-    was = None
     for _ in range(rounds):
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if mark == was or mark[0] == 0:
-            break
-        was = mark
         # Large star: every larger neighbour of u goes to the smallest node that u knows.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = cut(both.where("v > u").join(least, "u").groupBy(F.col("v").alias("u"), F.col("m").alias("v")).agg(F.max(F.expr("m <> u")).alias("moved")))
         # Small star: every smaller neighbour of u, and u, go to the smallest one.
-        least2 = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least2 = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        if large.where("moved").isEmpty() and least2.where("n > 1").isEmpty():  # neither step changes an edge
+            release(least, large, least2)
+            break
         rest = large.join(least2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = cut(rest.unionByName(least2.select("u", F.col("m").alias("v"))).distinct())
         release(now, least, large, least2)

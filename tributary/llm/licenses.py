@@ -224,7 +224,7 @@ def scan_licenses(df: DataFrame, text: str = "text", id: str = "doc_id") -> Data
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([n for n, _, _ in made], pa.int64()), places, matches, score], names=[ROW, "id", "n_words", "places", "matches", "score"])
 
     of = rows(df, id=id, text=text).withColumn("text", F.col("text").cast("string"))
-    return by_batches(of).mapInArrow(work, f"{ROW} long, id {df.schema[id].dataType.simpleString()}, n_words long, places array<struct<word:long,label:string>>, matches array<struct<start:long,end:long,label:string,priority:int,score:double>>, score double")
+    return by_batches(of, work, f"{ROW} long, id {df.schema[id].dataType.simpleString()}, n_words long, places array<struct<word:long,label:string>>, matches array<struct<start:long,end:long,label:string,priority:int,score:double>>, score double")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

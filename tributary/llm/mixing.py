@@ -65,20 +65,22 @@ def mix(df: DataFrame, weights=None, source: str = "source", text: str = "text",
     size counts the text's words (null: 0). weights is a table (source, weight), or None: then sources by code point,
     null last, weigh 1, 2, 3, repeating. A source that the table lacks has weight 0. Targets come from water_fill().
     Of a source with target = r * size, every row is taken floor(r) times, and rows in the order of a seeded hash of
-    their id once more until the fraction is reached, so the words taken miss the target by less than a row.
-
-    The order is cut into buckets by the hash's leading bits, so many that each has about bucket rows, and only the
-    buckets' sums are added up per source: no source's rows meet in one task. Reruns agree: rows with equal ids are
-    ordered by size and text, and rows equal in all that are alike. A null source is a source; an empty table gives
-    an empty result. Other columns are ignored, whatever their names.
+    their id and text once more until the fraction is reached, so the words taken miss the target by less than a row.
+
+    Where a source's order stops is found in two steps: sums by the hash's leading bits say in which bucket of about
+    bucket different rows, and that bucket's sums by the whole hash say at which hash. Only sums are shuffled, so neither
+    a hot source nor a hot row is anybody's lot. Rows with that hash are equal in id and text; as many of them as are
+    still wanted are taken, numbered within each of their partitions. Reruns agree up to that choice among equal rows. A
+    null source is a source, null ids and repeated rows are as good as others; an empty table gives an empty result.
+    Other columns are ignored, whatever their names. df is a stored table, read alike each time.
     """
+    words, whole_text = df[text].cast("string"), F.md5(F.coalesce(df[text].cast("string"), F.lit("")))
     doc = df.select(
         F.monotonically_increasing_id().alias(ROW),
         df[id].alias("id"),
         df[source].cast("string").alias("source"),
-        word_count(df[text].cast("string")).alias("size"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), df[id].cast("string"))).alias("h"),
-        F.md5(F.coalesce(df[text].cast("string"), F.lit(""))).alias("h2"),
+        word_count(words).alias("size"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), df[id].cast("string"), whole_text)).alias("h"),
     )
     thin = cut(doc)
     sized = cut(thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
@@ -87,30 +89,49 @@ def mix(df: DataFrame, weights=None, source: str = "source", text: str = "text",
     else:
         weighted = sized.drop("n").alias("s").join(weights.select(F.col("source").alias("of"), "weight").alias("w"), F.expr("s.source <=> w.of"), "left").select("s.source", "source_size", "weight")
     filled = cut(water_fill(weighted, cap))
-    # Buckets in proportion to rows; r's fraction is the share of the source's words that is taken once more.
+    # r's fraction is the share of the source's words that is taken once more.
     r = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0)
     plan = sized.select(F.col("source").alias("of"), "n").join(filled, F.expr("of <=> source")).select("of", "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("n") / bucket)).cast("long").alias("buckets"), F.floor(r).alias("whole"))
     plan = cut(plan.withColumn("extra", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))))
     n = plan.count()
-    rows = thin.join(maybe_broadcast(plan, n), F.expr("source <=> of")).drop("of")
-    place = F.conv(F.substring("h", 1, 7), 16, 10).cast("long")  # the hash's leading 28 bits
-    rows = rows.withColumn("bucket", F.shiftright(place * F.col("buckets"), 28))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    ahead = cut(sums.select(F.col("source").alias("of"), F.col("bucket").alias("b"), before.alias("before")))
-    n_ahead = ahead.count()
-    rows = rows.join(maybe_broadcast(ahead, n_ahead, 100_000), F.expr("source <=> of and bucket = b")).drop("of", "b")
-    within = W.partitionBy("source", "bucket").orderBy("h", "id", "size", "h2", ROW).rowsBetween(W.unboundedPreceding, 0)
-    upto = F.col("before") + F.sum("size").over(within)
-    # A row is taken once more if more than half of it lies below the fraction.
-    more = (upto - F.col("size") / 2.0 < F.col("extra")) & (F.col("whole") < cap)
+    joined = lambda rows, to: rows.join(maybe_broadcast(to, n), F.expr("source <=> of")).drop("of")
+    reach = lambda by: F.coalesce(F.sum("words").over(W.partitionBy("of").orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("before")
+    place = F.shiftright(F.conv(F.substring("h", 1, 7), 16, 10).cast("long") * F.col("buckets"), 28)  # by the hash's leading 28 bits
+    sums = joined(thin, plan.select("of", "buckets", "extra")).groupBy(F.col("source").alias("of"), place.alias("bucket"), "buckets", "extra").agg(F.sum("size").alias("words"))
+    # The first bucket that reaches the fraction, then in it the first hash.
+    first = lambda sums, by: sums.select("*", reach(by)).where("before + words >= extra").groupBy("of").agg(F.min(F.struct(by, "before")).alias("x"))
+    bucket_of = first(sums, "bucket").select("of", F.col("x.bucket").alias("bucket"), F.col("x.before").alias("start"))
+    stop = cut(plan.select("of", "buckets", "extra").alias("p").join(bucket_of.alias("b"), F.expr("p.of <=> b.of")).select("p.of", "buckets", "extra", "bucket", "start"))
+    inside = joined(thin, stop).where(place == F.col("bucket")).groupBy(F.col("source").alias("of"), "h", "extra", "start").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("times"))
+    inside = inside.select("of", "h", "extra", "words", "times", (F.col("start") + reach("h")).alias("before"))
+    last = inside.where("before + words >= extra").groupBy("of").agg(F.min(F.struct("h", "before", "words", "times", "extra")).alias("x")).select("of", "x.*")
+    # A row is taken once more if more than half of it lies below the fraction; so many of the equal ones do.
+    size, near = F.expr("words / times"), F.expr("floor((extra - before) / nullif(words / times, 0) + 0.5)")
+    below = lambda k: F.col("before") + size * k - size / 2.0 < F.col("extra")
+    count = F.when(F.col("words") == 0, 0).when(below(near + 1), near + 1).when(below(near), near).otherwise(near - 1)
+    last = cut(last.select("of", F.col("h").alias("last"), F.least(F.greatest(count, F.lit(0)), F.col("times")).cast("long").alias("more")))
+    ties = joined(thin.select(ROW, "source", "h"), last).where("h = last").withColumn("part", F.shiftright(ROW, 33))
+    ahead = ties.groupBy(F.col("source").alias("of"), "part").agg(F.count(F.lit(1)).alias("words"))
+    ahead = ahead.select("of", F.col("part").alias("in"), reach("part"))
+    number = F.row_number().over(W.partitionBy("source", "part").orderBy(ROW)) + F.col("before")
+    chosen = cut(ties.join(ahead, F.expr("source <=> of and part = `in`")).select(ROW, number.alias("number"), "more").where("number <= more").select(F.col(ROW).alias("chosen")))
+    n_chosen = chosen.count()
+    rows = joined(thin, plan.select("of", "source_size", "target", "whole", "extra").alias("p").join(last.alias("l"), F.expr("p.of <=> l.of"), "left").select("p.*", "last"))
+    rows = rows.join(maybe_broadcast(chosen, n_chosen), F.col(ROW) == F.col("chosen"), "left")
+    # A source without a last row is taken whole: its fraction is more than all its words.
+    more = F.when(F.col("last").isNull(), F.col("extra") > 0).otherwise((F.col("h") < F.col("last")) | F.col("chosen").isNotNull()) & (F.col("whole") < cap)
     out = rows.withColumn("copies", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("long"))
     release(sized, filled)
     return out.select(ROW, "id", "source", "size", "source_size", "target", "copies")
 
 
 def mixed(df: DataFrame, weights=None, source: str = "source", text: str = "text", id: str = "doc_id", cap: float = 3.0, seed: int = 42) -> DataFrame:
-    """The mix itself: the rows of df, a stored table, with all their columns, as often as mix() takes them."""
+    """The mix itself: the rows of df, a stored table, with all their columns, as often as mix() takes them.
+
+    Rows that the mix takes no time are left out; null and empty texts have size 0 and are taken as often as the whole part of
+    their source's rate says. Repeated rows, null ids, long texts and extra columns of any name are as in mix(); an
+    empty table gives an empty result.
+    """
     taken = cut(mix(df, weights, source, text, id, cap, seed).where("copies > 0").select(F.col(ROW).alias("of"), F.col("copies").cast("int").alias("times")))
     out = numbered(df).hint("merge").join(taken, F.col(ROW) == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return renamed(out, df)
@@ -123,12 +144,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same mix: sources are capped in order of their limit for a weight, until one isn't above its limit.
-SQL = f"""with docs as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size, md5(concat_ws(':', '42', doc_id)) as h, md5(coalesce(text, '')) as h2 from documents),
+SQL = f"""with docs as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size, md5(concat_ws(':', '42', doc_id, md5(coalesce(text, '')))) as h from documents),
 sized as (select source, sum(size)::bigint as source_size from docs group by source),
 ranked as (select *, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::double as weight, 3.0::double * source_size as cap from sized),
 levels as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level, row_number() over (order by cap / weight, source nulls last) as n from ranked),
 last as (select min_by(level, n) as level from levels where weight * level <= cap),
 filled as (select source, source_size, least(cap, case when weight * (select level from last) > cap then cap else weight * (select level from last) end) as target from ranked),
 rates as (select *, case when source_size > 0 then floor(least(target / source_size, 3.0)) else 0 end::bigint as whole from filled),
-upto as (select d.*, r.source_size, r.target, r.whole, sum(size) over (partition by d.source order by h, doc_id, size, h2 rows unbounded preceding) as upto from docs d join rates r on d.source is not distinct from r.source)
+upto as (select d.*, r.source_size, r.target, r.whole, sum(size) over (partition by d.source order by h rows unbounded preceding) as upto from docs d join rates r on d.source is not distinct from r.source)
 select doc_id, size, source_size, target, copies * size as taken, copies from (select *, whole + case when upto - size / 2.0 < greatest(0.0, target - whole * source_size) and whole < 3 then 1 else 0 end as copies from upto)"""

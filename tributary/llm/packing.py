@@ -21,25 +21,26 @@ CAPACITY = 1024
 
 @lru_cache(maxsize=4)
 def encoder(path: str):
-    """Encodes a list of texts into lists of ids, as the byte-level BPE tokenizer in path does without special tokens.
+    """Encodes a list of texts into lists of ids, as the byte-level BPE tokenizer in path does with add_special_tokens=False.
 
-    Texts below U+0250 go to tiktoken with the same vocabulary, which gives the same ids several times as fast.
-    Others go to tokenizers itself, as the two may class rare letters by different versions of Unicode.
+    Texts below U+0250 go to tiktoken with the same vocabulary, which gives the same ids several times as fast. Others
+    go to tokenizers itself, as the two may class rare letters by different versions of Unicode; so do texts that hold
+    the string of an added token, which tokenizers takes for that token.
     """
     import tiktoken
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        file = json.load(f)
+    model, added = file["model"], [t["content"] for t in file.get("added_tokens") or ()]
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
     as_byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
     words = [w for w, _ in sorted(model["vocab"].items(), key=lambda x: x[1])]
     ranks = {bytes(as_byte[c] for c in w): model["vocab"][w] for w in words if all(c in as_byte for c in w)}
-    fast = tiktoken.Encoding("packing", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks={k: v for k, v in ranks.items() if k != b"<|endoftext|>"}, special_tokens={})
-    odd = re.compile("[^\x00-ɏ]").search
+    fast = tiktoken.Encoding("packing", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks={k: v for k, v in ranks.items() if k not in [a.encode() for a in added]}, special_tokens={})
+    odd = re.compile("|".join(["[^\x00-ɏ]", *map(re.escape, added)])).search
 
     def encode(texts: list[str]) -> list[list[int]]:
         return [exact.encode(t, add_special_tokens=False).ids if odd(t) else fast.encode_ordinary(t) for t in texts]
@@ -74,7 +75,7 @@ def tokenize(df: DataFrame, path: str, text: str = "text", id: str = "doc_id", c
             yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=[ROW, "id", "piece", "start", "length", "ids"])
 
     of = rows(df, id=id, text=text).withColumn("text", F.col("text").cast("string"))
-    return by_batches(of).mapInArrow(work, f"{ROW} long, id {df.schema[id].dataType.simpleString()}, piece int, start long, length long, ids binary")
+    return by_batches(of, work, f"{ROW} long, id {df.schema[id].dataType.simpleString()}, piece int, start long, length long, ids binary")
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,13 +124,14 @@ def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
-def _pack(round_: int, last: bool, capacity: int):
+def _pack(round_: int, parts: int, last: bool, capacity: int):
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([ROW, "piece"], kind="stable")
         lengths = pdf["length"].to_numpy()
         where, offset, room = best_fit(lengths, capacity)
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        certified = len(room) == bound
+        # A partition at its bound gives the bins that are less than nine tenths full: several partitions' make fewer.
+        spare = np.where(len(room) > bound, 0, capacity // 10 if parts > 1 else capacity)
         return pd.DataFrame(
             {
                 ROW: pdf[ROW],
@@ -138,7 +140,7 @@ def _pack(round_: int, last: bool, capacity: int):
                 "sequence_id": (np.int64(round_) << 56) + (np.int64(key[0]) << 28) + where,
                 "offset": offset,
                 "room": room[where],
-                "open": (not last and not certified) & (room[where] > 0),
+                "open": (not last) & (room[where] > spare),
                 "bins": len(room),
                 "bound": bound,
             }
@@ -152,9 +154,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, share: int = 8192, rounds:
 
     Full pieces are sequences of their own. The others are dealt by a hash of their keys into partitions of about
     share pieces. Each is packed alone, and a lower bound from dual-feasible functions certifies its count of bins.
-    Where the count is above the bound, the documents of the bins with gaps are exchanged: those of all such
-    partitions are dealt anew and packed again, for some rounds or until no partition has a gap to give. An exchange
-    can't lose: if the new packing needs more bins than the documents had, the round's old bins stay.
+    Where the count is above the bound, the documents of the bins with gaps are exchanged, and of partitions at their
+    bound those of the emptier bins: all these are dealt anew and packed again, for some rounds or until no partition
+    has a gap to give. An exchange can't lose: if the new packing needs more bins than the documents had, the round's
+    old bins stay. certificate() tells how far all of it is from the bound over all pieces.
     """
     key = F.xxhash64(ROW, "piece")
     full = pieces.where(F.col("length") == capacity).select(ROW, "piece", (-(F.monotonically_increasing_id() + 1)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("room"))
@@ -164,7 +167,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, share: int = 8192, rounds:
     for i in range(rounds):
         parts = max(1, -(-n // share))
         dealt = todo.withColumn("part", F.pmod(F.xxhash64(key, F.lit(i)), F.lit(parts)))
-        now = cut(dealt.groupBy("part").applyInPandas(_pack(i, i == rounds - 1, capacity), schema))
+        now = cut(dealt.groupBy("part").applyInPandas(_pack(i, parts, i == rounds - 1, capacity), schema))
         closed, left = now.where("not open"), now.where("open")
         counts = now.agg(F.count_distinct("sequence_id"), F.count_distinct(F.when(F.col("open"), F.col("sequence_id"))), F.sum(F.col("open").cast("long"))).first()
         if had is not None and counts[0] >= had:
@@ -198,7 +201,11 @@ def pack_documents(df: DataFrame, path: str, text: str = "text", id: str = "doc_
 
 
 def sequences(df: DataFrame, path: str, text: str = "text", id: str = "doc_id", capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """(sequence_id, ids, length): the packed sequences, ids as an array of ints in order of offset."""
+    """(sequence_id, ids, length): the packed sequences, ids as an array of ints in order of offset.
+
+    Null texts count as empty; repeated rows are packed as often as they occur, long texts over several sequences. An
+    empty table gives an empty result; other columns of df are ignored, whatever their names.
+    """
     pieces = cut(tokenize(df, path, text, id, capacity, end))
     placed = pieces.join(pack(pieces, capacity), [ROW, "piece"])
 

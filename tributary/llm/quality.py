@@ -163,7 +163,7 @@ def apply_rules(df: DataFrame, text: str = "text", id: str = "doc_id", rules: Ru
             yield pa.record_batch([batch.column(0), batch.column(1), *arrays], names=[ROW, "id", *names])
 
     of = rows(df, id=id, text=text).withColumn("text", F.col("text").cast("string"))
-    return by_batches(of).mapInArrow(work, f"{ROW} long, id {df.schema[id].dataType.simpleString()}, {ddl}")
+    return by_batches(of, work, f"{ROW} long, id {df.schema[id].dataType.simpleString()}, {ddl}")
 
 
 def clean(df: DataFrame, text: str = "text", rules: Rules = DEFAULT) -> DataFrame:
@@ -178,7 +178,7 @@ def clean(df: DataFrame, text: str = "text", rules: Rules = DEFAULT) -> DataFram
             changed = pa.record_batch([new if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
             yield changed.filter(pa.array([m[6] for m in made], pa.bool_()))
 
-    return renamed(by_batches(named).mapInArrow(work, named.schema), df)
+    return renamed(by_batches(named, work, named.schema), df)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,7 +73,7 @@ def fingerprints(df: DataFrame, text: str = "text", id: str = "doc_id", shingle:
             yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(table[:, i].copy()) for i in range(words)]], names=[ROW, "id", *_names(words)])
 
     of = rows(df, id=id, text=text).withColumn("text", F.col("text").cast("string"))
-    return by_batches(of).mapInArrow(work, f"{ROW} long, id {df.schema[id].dataType.simpleString()}, " + ", ".join(f"{f} long" for f in _names(words)))
+    return by_batches(of, work, f"{ROW} long, id {df.schema[id].dataType.simpleString()}, " + ", ".join(f"{f} long" for f in _names(words)))
 
 
 @dataclass(frozen=True)
@@ -335,8 +335,8 @@ def sharing(of: DataFrame, apart: int, hot: int = 64) -> DataFrame:
 def jaccard_links(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int, seed: int = 42) -> DataFrame:
     """Those of pairs (a, b) whose sets of shingles have a Jaccard similarity of at least similarity; texts has (__row, text)."""
     need = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
-    of = by_batches(texts.join(need, F.col(ROW) == F.col("n"), "left_semi").select(ROW, "text"), 256)
-    sets = cut(of.mapInArrow(_sets(shingle, seed), "node long, own array<long>"))
+    of = texts.join(need, F.col(ROW) == F.col("n"), "left_semi").select(ROW, "text")
+    sets = cut(by_batches(of, _sets(shingle, seed), "node long, own array<long>", 256))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,7 +372,7 @@ def near_duplicates_out(df: DataFrame, text: str = "text", id: str = "doc_id", s
     kind = df.schema[id].dataType.simpleString()
     texts = rows(df, id=id, text=text).withColumn("text", F.col("text").cast("string"))
     schema = f"{ROW} long, id {kind}, d0 long, d1 long, " + ", ".join(f"{f} long" for f in names) + ", sigs array<int>"
-    marked = cut(by_batches(texts).mapInArrow(_sketches(shingle, seed, words, groups, width), schema))
+    marked = cut(by_batches(texts, _sketches(shingle, seed, words, groups, width), schema))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(ROW)))
     nodes = cut(marked.groupBy("d0", "d1").agg(F.min(ROW).alias("node"), first.alias("first")).select("node", "first"))
     n = nodes.count()

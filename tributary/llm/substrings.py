@@ -309,7 +309,7 @@ def deal_again(dealt: DataFrame, most: int, length: int = LENGTH, per: int = 102
             release(large)
             return stored
         marked = stored.join(maybe_broadcast(large, n), F.col("bucket") == F.col("of"), "left").drop("of")
-        again = by_batches(marked.where("parts is not null").repartition("bucket")).mapInArrow(_deal_again(length, per, by), DEALT)
+        again = marked.where("parts is not null").repartition("bucket").mapInArrow(_deal_again(length, per, by), DEALT)
         dealt = marked.where("parts is null").drop("parts").unionByName(again)
     return dealt
 
@@ -463,16 +463,16 @@ def repeats(df: DataFrame, text: str = "text", id: str = "doc_id", length: int =
     """
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = int(min(max(1, -(-total // bucket)), fan))
-    of = by_batches(df.select(ROW, id, text))
+    of = df.select(ROW, id, text)
     # Buckets of common 8-grams hold many times their share; fewer than a third of all buckets can.
     share = max(1, total // buckets)
-    crowded = of.mapInArrow(_count(buckets, length), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > 3 * share)
+    crowded = by_batches(of, _count(buckets, length), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > 3 * share)
     hot, next_ = {}, buckets
     for r in sorted(crowded.collect()):
         n = -(-r["n"] // share)
         hot[r["bucket"]] = (next_, n)
         next_ += n
-    dealt = of.mapInArrow(_deal(buckets, length, per, hot), DEALT)
+    dealt = by_batches(of, _deal(buckets, length, per, hot), DEALT)
     if share > most:
         dealt = deal_again(dealt, 4 * most, length, per, fan)  # runs hold about three times the bytes of their text
     found = dealt.groupBy("bucket").applyInArrow(_sort(length, per), "target long, numbers binary")
@@ -515,7 +515,7 @@ def dedup_substrings(df: DataFrame, text: str = "text", id: str = "doc_id", leng
                 kept.append(b"".join(t[a:b] for a, b in zip([0, *ends], [*starts, len(t)], strict=True)))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), batch.column(3), pa.array(kept, pa.binary())], names=[ROW, "id", "n_bytes", "n_removed", "spans", "kept"])
 
-    pressed = by_batches(of).mapInArrow(press, f"{ROW} long, id {kind}, pressed binary")
+    pressed = by_batches(of, press, f"{ROW} long, id {kind}, pressed binary")
     joined = pressed.join(spans, pressed[ROW] == spans["of"], "left").select(ROW, "id", "pressed", "spans")
     return joined.mapInArrow(work, f"{ROW} long, id {kind}, n_bytes long, n_removed long, spans array<long>, kept binary")
 

@@ -150,7 +150,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", id: str = "doc_id
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(map(len, texts), pa.int64()), n], names=[ROW, "id", "n_chars", "n_tokens"])
 
     of = rows(df, id=id, text=text).withColumn("text", F.col("text").cast("string"))
-    return by_batches(of).mapInArrow(work, f"{ROW} long, id {df.schema[id].dataType.simpleString()}, n_chars long, n_tokens long")
+    return by_batches(of, work, f"{ROW} long, id {df.schema[id].dataType.simpleString()}, n_chars long, n_tokens long")
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
