@@ -71,5 +71,35 @@ def test_bits_are_the_fingerprints():
     rnd = random.Random(2)
     for n in (1, 5, 9, 300, 2000):
         text = " ".join(f"w{rnd.getrandbits(30)}" for _ in range(n)).encode()
-        bits = simhash.wide_bits(simhash.shingles(text, 5), 8)
+        hashes = simhash.shingles(text, 5)
+        bits = 2 * simhash.wide_counts(hashes, 8) > len(hashes)
         assert np.packbits(bits, bitorder="little").view("<u8").tolist() == simhash.fingerprint(text, 5, words=8)
+
+
+def test_keys_agree_as_planned():
+    """Sets at 0.8 share a key as often as key_plan() counts on, whatever a key's length."""
+    rnd = np.random.default_rng(3)
+    for size in (60, 400):
+        lean = []
+        both = round(simhash.cosine(0.8) * size)
+        for _ in range(150):
+            same, one, two = (rnd.integers(0, 2**64, k, dtype=np.uint64) for k in (both, size - both, size - both))
+            lean += [2 * simhash.wide_counts(np.concatenate([same, x]), 8) - size for x in (one, two)]
+        got = simhash.strongest(np.array(lean, dtype=np.float32), 210)
+        assert abs((got[::2] == got[1::2]).mean() - simhash.agreement(0.8)) < 0.03
+    for n in (10**5, 10**8, 10**11):
+        hashes, tables = simhash.key_plan(n, 0.8, 0.002)
+        assert n <= 8 * 128**hashes and (1 - simhash.agreement(0.8) ** hashes) ** tables <= 0.002
+
+
+def test_recall_with_longer_keys(spark):
+    rnd = random.Random(9)
+    texts = []
+    for _ in range(150):
+        base = [f"w{rnd.getrandbits(30)}" for _ in range(rnd.randint(120, 300))]
+        texts += [" ".join(base), " ".join(edited(rnd, base, 0.8))]
+    own = sets(texts)
+    wanted = [i for i in range(0, 300, 2) if len(own[i] & own[i + 1]) >= 0.8 * len(own[i] | own[i + 1])]
+    df = cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    stays = {r.doc_id for r in simhash.near_duplicates_out(df, hashes=4).collect()}
+    assert np.mean([i + 1 not in stays for i in wanted]) >= 0.98

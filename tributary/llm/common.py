@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,9 +24,35 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tributary_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+#: The tables that cut() has written in each open scope().
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables that cut() writes inside are deleted at the end, but for those that went through keep()."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        release(*made)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """A table that cut() wrote and that outlives the scope; the next outer one, if any, has it then."""
+    _SCOPES[-1][:] = [x for x in _SCOPES[-1] if x is not df]
+    if len(_SCOPES) > 1:
+        _SCOPES[-2].append(df)
+    return df
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables that cut() wrote, once nothing reads them any more."""
     for df in frames:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tributary.llm.common import ROW, cut, documents, maybe_broadcast, numbered, release, renamed
+from tributary.llm.common import ROW, cut, documents, keep, maybe_broadcast, numbered, renamed, scope
 
 #: A word: anything but space and the five ASCII controls that separate lines and columns.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,30 +59,14 @@ def ranked_weights(sources: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0
     return ranged.withColumn("weight", F.element_at(weights, (rank % len(cycle) + 1).cast("int"))).drop("part")
 
 
-def mix(df: DataFrame, weights=None, source: str = "source", text: str = "text", id: str = "doc_id", cap: float = 3.0, seed: int = 42, bucket: int = 4096) -> DataFrame:
-    """(__row, id, source, size, source_size, target, copies) of each row; copies is how often the mix takes it.
+def _place(id: Column, text: Column, seed: int) -> Column:
+    """What a source's rows are ordered by."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), id.cast("string"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
 
-    size counts the text's words (null: 0). weights is a table (source, weight), or None: then sources by code point,
-    null last, weigh 1, 2, 3, repeating. A source that the table lacks has weight 0. Targets come from water_fill().
-    Of a source with target = r * size, every row is taken floor(r) times, and rows in the order of a seeded hash of
-    their id and text once more until the fraction is reached, so the words taken miss the target by less than a row.
 
-    Where a source's order stops is found in two steps: sums by the hash's leading bits say in which bucket of about
-    bucket different rows, and that bucket's sums by the whole hash say at which hash. Only sums are shuffled, so neither
-    a hot source nor a hot row is anybody's lot. Rows with that hash are equal in id and text; as many of them as are
-    still wanted are taken, numbered within each of their partitions. Reruns agree up to that choice among equal rows. A
-    null source is a source, null ids and repeated rows are as good as others; an empty table gives an empty result.
-    Other columns are ignored, whatever their names. df is a stored table, read alike each time.
-    """
-    words, whole_text = df[text].cast("string"), F.md5(F.coalesce(df[text].cast("string"), F.lit("")))
-    doc = df.select(
-        F.monotonically_increasing_id().alias(ROW),
-        df[id].alias("id"),
-        df[source].cast("string").alias("source"),
-        word_count(words).alias("size"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), df[id].cast("string"), whole_text)).alias("h"),
-    )
-    thin = cut(doc)
+def _stops(thin: DataFrame, weights: DataFrame | None, cap: float, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Of thin (__row, source, size, h): (of, source_size, target, whole, extra, last) of each source, and the rows with
+    the hash last that are taken once more; of the others those with a smaller one are."""
     sized = cut(thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
     if weights is None:
         weighted = ranked_weights(sized.drop("n"))
@@ -114,26 +98,56 @@ def mix(df: DataFrame, weights=None, source: str = "source", text: str = "text",
     ahead = ties.groupBy(F.col("source").alias("of"), "part").agg(F.count(F.lit(1)).alias("words"))
     ahead = ahead.select("of", F.col("part").alias("in"), reach("part"))
     number = F.row_number().over(W.partitionBy("source", "part").orderBy(ROW)) + F.col("before")
-    chosen = cut(ties.join(ahead, F.expr("source <=> of and part = `in`")).select(ROW, number.alias("number"), "more").where("number <= more").select(F.col(ROW).alias("chosen")))
-    n_chosen = chosen.count()
-    rows = joined(thin, plan.select("of", "source_size", "target", "whole", "extra").alias("p").join(last.alias("l"), F.expr("p.of <=> l.of"), "left").select("p.*", "last"))
-    rows = rows.join(maybe_broadcast(chosen, n_chosen), F.col(ROW) == F.col("chosen"), "left")
+    chosen = keep(cut(ties.join(ahead, F.expr("source <=> of and part = `in`")).select(ROW, number.alias("number"), "more").where("number <= more").select(F.col(ROW).alias("chosen"))))
+    whole = plan.select("of", "source_size", "target", "whole", "extra").alias("p").join(last.alias("l"), F.expr("p.of <=> l.of"), "left").select("p.*", "last")
+    return keep(cut(whole)), chosen
+
+
+def _copies(frame: DataFrame, plan: DataFrame, chosen: DataFrame, cap: float) -> DataFrame:
+    """frame (__row, source, h, ...) with source_size, target and copies."""
+    out = frame.join(maybe_broadcast(plan, plan.count()), F.expr("source <=> of")).drop("of")
+    out = out.join(maybe_broadcast(chosen, chosen.count()), F.col(ROW) == F.col("chosen"), "left")
     # A source without a last row is taken whole: its fraction is more than all its words.
     more = F.when(F.col("last").isNull(), F.col("extra") > 0).otherwise((F.col("h") < F.col("last")) | F.col("chosen").isNotNull()) & (F.col("whole") < cap)
-    out = rows.withColumn("copies", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("long"))
-    release(sized, filled)
-    return out.select(ROW, "id", "source", "size", "source_size", "target", "copies")
+    return out.withColumn("copies", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("long")).drop("whole", "extra", "last", "chosen")
+
+
+def mix(df: DataFrame, weights: DataFrame | None = None, source: str = "source", text: str = "text", id: str = "doc_id", cap: float = 3.0, seed: int = 42, bucket: int = 4096) -> DataFrame:
+    """(__row, id, source, size, source_size, target, copies) of each row; copies is how often the mix takes it.
+
+    size counts the text's words (null: 0). weights is a table (source, weight), or None: then sources by code point,
+    null last, weigh 1, 2, 3, repeating. A source that the table lacks has weight 0. Targets come from water_fill().
+    Of a source with target = r * size, every row is taken floor(r) times, and rows in the order of a seeded hash of
+    their id and text once more until the fraction is reached, so the words taken miss the target by less than a row.
+
+    Where a source's order stops is found in two steps: sums by the hash's leading bits say in which bucket of about
+    bucket different rows, and that bucket's sums by the whole hash say at which hash. Only sums are shuffled, so neither
+    a hot source nor a hot row is anybody's lot. Rows with that hash are equal in id and text; as many of them as are
+    still wanted are taken, numbered within each of their partitions. Reruns agree up to that choice among equal rows. A
+    null source is a source, null ids and repeated rows are as good as others; an empty table gives an empty result.
+    Other columns are ignored, whatever their names. df is a stored table, read alike each time.
+    """
+    doc = df.select(F.monotonically_increasing_id().alias(ROW), df[id].alias("id"), df[source].cast("string").alias("source"), word_count(df[text].cast("string")).alias("size"), _place(df[id], df[text], seed).alias("h"))
+    with scope():
+        thin = keep(cut(doc))
+        plan, chosen = _stops(thin, weights, cap, bucket)
+    return _copies(thin, plan, chosen, cap).select(ROW, "id", "source", "size", "source_size", "target", "copies")
 
 
-def mixed(df: DataFrame, weights=None, source: str = "source", text: str = "text", id: str = "doc_id", cap: float = 3.0, seed: int = 42) -> DataFrame:
+def mixed(df: DataFrame, weights: DataFrame | None = None, source: str = "source", text: str = "text", id: str = "doc_id", cap: float = 3.0, seed: int = 42, bucket: int = 4096) -> DataFrame:
     """The mix itself: the rows of df, a stored table, with all their columns, as often as mix() takes them.
 
-    Rows that the mix takes no time are left out; null and empty texts have size 0 and are taken as often as the whole part of
-    their source's rate says. Repeated rows, null ids, long texts and extra columns of any name are as in mix(); an
-    empty table gives an empty result.
+    Rows that the mix takes no time are left out; null and empty texts have size 0, and are taken as often as the whole
+    part of their source's rate says. Null ids, repeated rows, long texts and extra columns of any name are as in mix();
+    an empty table gives an empty result. Texts aren't shuffled unless there are too many sources to broadcast.
     """
-    taken = cut(mix(df, weights, source, text, id, cap, seed).where("copies > 0").select(F.col(ROW).alias("of"), F.col("copies").cast("int").alias("times")))
-    out = numbered(df).hint("merge").join(taken, F.col(ROW) == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    size = word_count(df[text].cast("string"))
+    with scope():
+        thin = cut(df.select(F.monotonically_increasing_id().alias(ROW), df[source].cast("string").alias("source"), size.alias("size"), _place(df[id], df[text], seed).alias("h")))
+        plan, chosen = _stops(thin, weights, cap, bucket)
+    at = {c: F.col(f"c{df.columns.index(c)}") for c in (id, source, text)}
+    frame = numbered(df).withColumn("source", at[source].cast("string")).withColumn("h", _place(at[id], at[text], seed))
+    out = _copies(frame, plan, chosen, cap).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return renamed(out, df)
 
 

@@ -167,7 +167,11 @@ def apply_rules(df: DataFrame, text: str = "text", id: str = "doc_id", rules: Ru
 
 
 def clean(df: DataFrame, text: str = "text", rules: Rules = DEFAULT) -> DataFrame:
-    """The rows of df that the rules keep, with all their columns, and their texts without the lines that failed."""
+    """The rows of df that the rules keep, with all their columns, and their texts without the lines that failed.
+
+    Null, empty and short texts are rejected; long ones are judged whole. Repeated rows are judged alike, each for
+    itself. An empty table gives an empty result; columns of any name stay as they are.
+    """
     at = df.columns.index(text)
     named = numbered(df).drop(ROW).withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import ROW, by_batches, cut, documents, maybe_broadcast, numbered, release, renamed, rows, unsigned_hex
+from tributary.llm.common import ROW, by_batches, cut, documents, keep, maybe_broadcast, numbered, release, renamed, rows, scope, unsigned_hex
 from tributary.llm.components import components, forest
 
 BITS = 64
@@ -269,32 +269,86 @@ def simhash_dedup(df: DataFrame, text: str = "text", id: str = "doc_id", k: int
     return out
 
 
-def wide_bits(hashes: np.ndarray, words: int) -> np.ndarray:
-    """The bits of fingerprint() with that many words, lowest first, from the shingles' hashes; counted in bytes of longs."""
+def wide_counts(hashes: np.ndarray, words: int) -> np.ndarray:
+    """How many of the shingles' hashes have each bit of a fingerprint with that many words, lowest bits first; counted in bytes of longs."""
     counts, ones = np.zeros((8, words, 8), dtype=np.int64), np.uint64(0x0101010101010101)
     for at in range(0, len(hashes), 255):
         x = _words(hashes[at : at + 255], words)
         for j in range(8):
             counts[j] += np.add.reduce((x >> np.uint64(j)) & ones, axis=0).astype("<u8").view(np.uint8).reshape(words, 8)
-    return (2 * counts.transpose(1, 2, 0) > len(hashes)).reshape(-1)
+    return counts.transpose(1, 2, 0).reshape(-1)
 
 
-def _sketches(shingle: int, seed: int, words: int, groups: int, width: int):
-    """(__row, id, d0, d1, f0, ..., sigs) of each text's set of shingles: its digest, a fingerprint, the groups' values."""
-    powers, first = 1 << np.arange(width), np.arange(groups) << width
+def _hadamard(n: int) -> np.ndarray:
+    out = np.ones((1, 1), dtype=np.float32)
+    while len(out) < n:
+        out = np.block([[out, out], [out, -out]])
+    return out
+
+
+def strongest(lean: np.ndarray, n: int, seed: int = 5) -> np.ndarray:
+    """n hashes below 128 of each row of lean, the fingerprints' counts above or below one half, 64 for each word.
+
+    Each turns the counts by random signs and a Hadamard matrix, and tells which of 64 counters is the strongest, and
+    its sign. Close sets agree in that far more often than in seven bits.
+    """
+    m, width = lean.shape
+    words = width // BITS
+    rnd, small, large = np.random.default_rng(seed), _hadamard(BITS), _hadamard(words)
+    out = np.empty((m, -(-n // words) * words), dtype=np.int64)
+    for at in range(0, n, words):
+        turned = (lean * rnd.choice(np.array([-1, 1], dtype=np.float32), width)).reshape(-1, BITS) @ small
+        turned = np.einsum("vw,mwb->mvb", large, turned.reshape(m, words, BITS), optimize=True)
+        best = np.abs(turned).argmax(axis=2)
+        out[:, at : at + words] = 2 * best + (np.take_along_axis(turned, best[:, :, None], 2)[:, :, 0] > 0)
+    return out[:, :n]
+
+
+def cosine(similarity: float) -> float:
+    """The cosine of two sets of equal size with that Jaccard similarity."""
+    return 2 * similarity / (1 + similarity)
+
+
+def agreement(similarity: float, samples: int = 20_000) -> float:
+    """The chance that two sets with that similarity have one of strongest()'s hashes in common, from seeded normal samples, less two deviations."""
+    rnd, c = np.random.default_rng(1), cosine(similarity)
+    x = rnd.standard_normal((samples, BITS), dtype=np.float32)
+    y = c * x + np.sqrt(1 - c * c) * rnd.standard_normal((samples, BITS), dtype=np.float32)
+    i, j = np.abs(x).argmax(axis=1), np.abs(y).argmax(axis=1)
+    at = np.arange(samples)
+    p = float(((i == j) & ((x[at, i] > 0) == (y[at, j] > 0))).mean())
+    return p - 2 * np.sqrt(p * (1 - p) / samples)
+
+
+def key_plan(n: int, similarity: float, miss: float, hashes: int | None = None) -> tuple[int, int]:
+    """(hashes of a key, keys of a text) for n texts: so many hashes that 8 other texts at most share a key by chance, so
+    many keys that two texts with that similarity share none with a chance of miss at most, whatever n is."""
+    hashes = hashes or next(h for h in range(3, 9) if n <= 8 * 128**h)
+    return hashes, int(np.ceil(np.log(miss) / np.log(1 - agreement(similarity) ** hashes)))
+
+
+def bit_limit(bits: int, similarity: float, deviations: float) -> int:
+    """Bits in which two fingerprints of sets with that similarity differ, and so many deviations more (or less)."""
+    d = np.arccos(cosine(similarity)) / np.pi
+    return int(d * bits + deviations * np.sqrt(d * (1 - d) * bits))
+
+
+def _sketches(shingle: int, seed: int, words: int, hashes: int, tables: int):
+    """(__row, id, d0, d1, f0, ..., keys) of each text's set of shingles: its digest, a fingerprint, its keys."""
+    powers = 128 ** np.arange(hashes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, f, sigs = [], [], []
-            for text in batch.column(2).cast(pa.binary()).to_pylist():
+            digests, lean = [], np.empty((batch.num_rows, BITS * words), dtype=np.float32)
+            for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                 own = np.unique(shingles(text, shingle, seed))
-                bits = wide_bits(own, -(-groups * width // BITS))
+                lean[i] = 2 * wide_counts(own, words) - len(own)
                 digests.append(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype="<i8"))
-                f.append(np.packbits(bits[: BITS * words], bitorder="little").view("<i8"))
-                sigs.append((bits[: groups * width].reshape(groups, width) @ powers + first).astype(np.int32))
-            d, f = np.array(digests).reshape(-1, 2), np.array(f).reshape(-1, words)
+            f = np.packbits(lean > 0, axis=1, bitorder="little").view("<i8").reshape(-1, words)
+            keys = strongest(lean, hashes * tables).reshape(-1, tables, hashes) @ powers
+            d = np.array(digests).reshape(-1, 2)
             columns = [d[:, 0], d[:, 1], *f.T]
-            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(c.copy()) for c in columns], pa.array(sigs, pa.list_(pa.int32()))], names=[ROW, "id", "d0", "d1", *_names(words), "sigs"])
+            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(c.copy()) for c in columns], pa.array(list(keys), pa.list_(pa.int64()))], names=[ROW, "id", "d0", "d1", *_names(words), "keys"])
 
     return work
 
@@ -308,28 +362,59 @@ def _sets(shingle: int, seed: int):
     return work
 
 
-def sharing(of: DataFrame, apart: int, hot: int = 64) -> DataFrame:
-    """Pairs (a, b) of of (node, comp, f0, f1, sigs) with a value of sigs in common, other comps and at most apart bits between f0, f1.
+def _apart(one: str, two: str, words: range) -> str:
+    return " + ".join(f"bit_count({one}.f{i} ^ {two}.f{i})" for i in words)
+
 
-    In a bucket of more than hot rows, those of its most frequent comp don't meet each other.
+def sharing(of: DataFrame, apart: int) -> DataFrame:
+    """Pairs (a, b) of rows of of (sig, node, comp, f0, f1) with one sig, other comps and at most apart bits between f0, f1."""
+    near = F.expr(f"a.node < b.node and a.comp <> b.comp and {_apart('a', 'b', range(2))} <= {apart}")
+    return of.alias("a").join(of.alias("b"), "sig").where(near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
+def _crowd(words: int, limit: int, every: bool):
+    """Pairs (a, b) with other comps and at most limit bits apart, within a block of a crowded key or between two.
+
+    All of them, but each at the first key only that the two share; or of each row the nearest one.
     """
-    data = of.select("node", "comp", "f0", "f1", F.explode("sigs").alias("sig"))
-    w = Window.partitionBy("sig")
-    data = data.select("*", F.count(F.lit(1)).over(w).alias("n"), F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"))
-    met = cut(data.where("lo <> hi").drop("lo", "hi"))
-    near = F.expr(f"a.comp <> b.comp and bit_count(a.f0 ^ b.f0) + bit_count(a.f1 ^ b.f1) <= {apart}")
-    pair = F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")
-    cold = met.where(F.col("n") <= hot)
-    found = cold.alias("a").join(cold.alias("b"), "sig").where("a.node < b.node").where(near).select(*pair)
-    large = met.where(F.col("n") > hot)
-    sizes = large.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("size"))
-    most = cut(sizes.groupBy("sig").agg(F.max_by("comp", F.struct("size", "comp")).alias("main")))
-    n_large = most.count()
-    if n_large:
-        marked = large.join(maybe_broadcast(most, n_large), "sig")
-        rest = marked.where("comp <> main")
-        found = found.unionByName(rest.alias("a").join(marked.alias("b"), "sig").where("b.comp = b.main or a.node < b.node").where(near).select(*pair))
-    return found.distinct()
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        node, comp, side = (table.column(x).to_numpy() for x in ("node", "comp", "block"))
+        f = [table.column(x).to_numpy() for x in _names(words)]
+        one, two = np.flatnonzero(side == key[1].as_py()), np.flatnonzero(side == key[2].as_py())
+        if not len(one) or not len(two):
+            return schema.empty_table()
+        table_of = table.column("table")[0].as_py()
+        keys = np.array(table.column("keys").to_pylist()) if every else None
+        a, b = [], []
+        for at in range(0, len(one), 128):
+            own = one[at : at + 128]
+            away = sum(np.bitwise_count((x[own][:, None] ^ x[two][None, :]).view(np.uint64)).astype(np.int16) for x in f)
+            away[comp[own][:, None] == comp[two][None, :]] = limit + 1
+            if every:
+                i, j = np.nonzero(away <= limit)
+                fresh = np.array([int(np.argmax(keys[x] == keys[y])) == table_of for x, y in zip(own[i].tolist(), two[j].tolist(), strict=True)], dtype=bool)
+                i, j = i[fresh], j[fresh]
+            else:
+                j = np.argmin(away, axis=1)
+                i = np.flatnonzero(away[np.arange(len(own)), j] <= limit)
+                j = j[i]
+            a.append(node[own[i]])
+            b.append(node[two[j]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=schema)
+
+    return work
+
+
+def crowded(of: DataFrame, own: DataFrame, words: int, limit: int, every: bool, block: int = 512) -> DataFrame:
+    """Pairs (a, b) among the rows of crowded keys, of (sig, table, node, comp, n): see _crowd(). own has (node, f0, ..., keys)."""
+    names = [*_names(words), *(["keys"] if every else [])]
+    dealt = of.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(own.select("node", *names), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "table", "node", "comp", *names)
+    return dealt.groupBy("sig", "i", "j").applyInArrow(_crowd(words, limit, every), "a long, b long").distinct()
 
 
 def jaccard_links(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int, seed: int = 42) -> DataFrame:
@@ -354,41 +439,70 @@ def jaccard_links(pairs: DataFrame, texts: DataFrame, similarity: float, shingle
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def near_duplicates_out(df: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = 0.8, shingle: int = 5, words: int = 8, probed: int = 4, k: int = 15, groups: int = 160, width: int = 20, seed: int = 42) -> DataFrame:
-    """The rows of df, a stored table, that stay: of each class of near-duplicates the one with the smallest id.
+def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, comp) of all nodes."""
+    return nodes.select("node").join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
 
-    Rows are linked if their sets of shingles have a Jaccard similarity of similarity or more, which is computed for
-    every candidate. Candidates are pairs that agree in one group or more of width bits of a SimHash of groups times
-    width bits; the groups don't depend on the number of rows. Bits differ with a chance of
-    d = acos(2 s / (1 + s)) / pi at a similarity of s, so a pair is missed with a chance of
-    (1 - (1 - d)^width)^groups: 0.0022 at 0.8, 1e-8 at 0.9. (In sets of a few shingles d strays from that: a set of 4
-    within one of 5 has 0.1875, and is missed with 0.08.)
 
-    Equal sets are one from the start. Groups of close copies are linked first, by k bits in the probed words and 30
-    of 512 in all, which is 5.8 deviations from the mean at 0.8, so that their pairs needn't be compared. All columns
-    are kept.
+def near_duplicates_out(df: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = 0.8, shingle: int = 5, words: int = 8, k: int = 4, miss: float = 0.002, hashes: int | None = None, hot: int = 64, seed: int = 42) -> DataFrame:
+    """The rows of df, a stored table, that stay: of each class of near-duplicates the one with the smallest id.
+
+    Rows are linked if their sets of shingles have a Jaccard similarity of similarity or more. Equal sets are one from
+    the start. Sets whose fingerprints differ in k of 128 bits or fewer are found by the generalised pigeonhole, and
+    linked at once: at 0.8 19 bits differ, so that is 3.8 deviations off. No pigeonhole reaches 19 bits at a price
+    that can be paid; so beyond it candidates share a key of several of strongest()'s hashes. key_plan() takes as many
+    keys as hold the chance that a pair at similarity shares none to miss, whatever the number of rows (sets of a few
+    shingles, which vary more, may be missed more often). Candidates up to three deviations beyond the mean of 512
+    bits are verified by their exact Jaccard similarity.
+
+    Keys that more than hot rows share are compared in blocks, a task each. At first each row's nearest one in the
+    first keys is verified, which joins most of a large group; then all pairs between classes that are still apart, each
+    at the first key that the two share.
+
+    Null and wordless texts are one class. Of rows with equal ids, and of those without an id if a class has no other, the
+    first in df stays. Repeated rows are near-duplicates; long texts are taken whole. An empty table gives an empty
+    result. All columns are kept, whatever their names.
     """
     names = _names(words)
     kind = df.schema[id].dataType.simpleString()
     texts = rows(df, id=id, text=text).withColumn("text", F.col("text").cast("string"))
-    schema = f"{ROW} long, id {kind}, d0 long, d1 long, " + ", ".join(f"{f} long" for f in names) + ", sigs array<int>"
-    marked = cut(by_batches(texts, _sketches(shingle, seed, words, groups, width), schema))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(ROW)))
-    nodes = cut(marked.groupBy("d0", "d1").agg(F.min(ROW).alias("node"), first.alias("first")).select("node", "first"))
-    n = nodes.count()
-    chosen = nodes.select(F.col(f"first.{ROW}").alias("of"))
-    if n > 1:
-        own = cut(marked.join(nodes.select("node"), F.col(ROW) == F.col("node")).select("node", *names, "sigs"))
-        tight = int(BITS * words * 30 / 512)
-        close = cut(components(links(own.select("node", *names), n, k, tight, words, probed)))
-        placed = own.join(close, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "f0", "f1", "sigs")
-        # 46 of 128 bits: 5 deviations beyond the mean of the smallest sets at 0.8.
-        pairs = cut(sharing(placed, 46))
-        edges = jaccard_links(pairs, texts, similarity, shingle, seed)
-        roots = components(edges.unionByName(close.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        chosen = joined.groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias("of"))
-    stays = cut(chosen)
+    hashes, tables = key_plan(df.count(), similarity, miss, hashes)
+    schema = f"{ROW} long, id {kind}, d0 long, d1 long, " + ", ".join(f"{f} long" for f in names) + ", keys array<long>"
+    with scope():
+        marked = cut(by_batches(texts, _sketches(shingle, seed, words, hashes, tables), schema))
+        first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(ROW)))
+        nodes = cut(marked.groupBy("d0", "d1").agg(F.min(ROW).alias("node"), first.alias("first")).select("node", "first"))
+        n = nodes.count()
+        chosen = nodes.select(F.col(f"first.{ROW}").alias("of"))
+        if n > 1:
+            own = cut(marked.join(nodes.select("node"), F.col(ROW) == F.col("node")).select("node", *names, "keys"))
+            close = links(own.select("node", "f0", "f1"), n, k, words=2)
+            comps = cut(_classes(nodes, close))
+            limit = bit_limit(BITS * words, similarity, 3)
+            table = F.posexplode("keys").alias("table", "key")
+            data = own.join(comps, "node").select("node", "comp", "f0", "f1", table).select((F.col("table").cast("long") * 128**hashes + F.col("key")).alias("sig"), "table", "node", "comp", "f0", "f1")
+            w = Window.partitionBy("sig")
+            met = data.select("*", F.count(F.lit(1)).over(w).alias("n"), F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"))
+            met = cut(met.where("lo <> hi").drop("lo", "hi"))
+            pairs = sharing(met.where(F.col("n") <= hot), bit_limit(2 * BITS, similarity, 3.5))
+            bits = own.select("node", *names)
+            both = cut(pairs).join(bits.toDF("a", *[f"a{f}" for f in names]), "a").join(bits.toDF("b", *[f"b{f}" for f in names]), "b")
+            pairs = both.where(" + ".join(f"bit_count(a{f} ^ b{f})" for f in names) + f" <= {limit}").select("a", "b")
+            large = met.where(F.col("n") > hot).select("sig", "table", "node", "comp", "n")
+            busy = not large.isEmpty()
+            if busy:
+                pairs = pairs.unionByName(crowded(large.where("table < 4"), own, words, limit, False)).distinct()
+            known = comps.where("node <> comp").toDF("a", "b")
+            found = cut(jaccard_links(cut(pairs), texts, similarity, shingle, seed))
+            comps = cut(_classes(nodes, known.unionByName(found)))
+            if busy:
+                again = large.drop("comp").join(comps, "node")
+                still = cut(again.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig"))
+                pairs = crowded(again.join(still, "sig"), own, words, limit, True)
+                known = comps.where("node <> comp").toDF("a", "b")
+                comps = _classes(nodes, known.unionByName(jaccard_links(cut(pairs), texts, similarity, shingle, seed)))
+            chosen = nodes.join(comps, "node").groupBy("comp").agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias("of"))
+        stays = keep(cut(chosen))
     return renamed(numbered(df).hint("merge").join(stays, F.col(ROW) == F.col("of"), "left_semi"), df)
 
 
