@@ -78,3 +78,39 @@ def test_sf_against_sql(spark):
 
 def test_empty_table(spark):
     assert embeddings.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def pairs(spark, n, dim, seed):
+    rnd = np.random.default_rng(seed)
+    base = rnd.normal(size=(n // 4, dim))
+    return list((np.repeat(base, 4, axis=0) + rnd.normal(size=(n, dim)) * 0.25).astype(np.float32))
+
+
+def test_two_levels_of_centres(spark):
+    vectors = pairs(spark, 2400, 24, 5)
+    told = []
+    got, links, label = check(spark, vectors, shard=60, most=8, told=told)
+    assert told[-1]["recall"] >= 0.97 and told[-1]["attempt"] < 2
+    assert sum(r.n_links for r in got.values()) >= 0.96 * links.sum()
+    assert sum(got[i].component == label[i] for i in got) / len(got) > 0.97
+
+
+def test_links_count_on_both_sides(spark):
+    """Whatever is missed, is missed from both sides: in a pair without other links both count one or none."""
+    vectors = pairs(spark, 3000, 16, 6)
+    got, links, _ = check(spark, vectors, shard=80, visits=2, beam=2, recall=0.0)
+    alone = [(i, int(np.flatnonzero(links[i])[0])) for i in range(len(vectors)) if links[i].sum() == 1]
+    alone = [(i, j) for i, j in alone if links[j].sum() == 1]
+    assert len(alone) > 50 and all(got[i].n_links == got[j].n_links for i, j in alone)
+    assert sum(r.n_links for r in got.values()) % 2 == 0
+
+
+def test_a_low_recall_ends_in_brute_force(spark, monkeypatch):
+    vectors = pairs(spark, 400, 16, 7)
+    monkeypatch.setattr(embeddings, "range_search", lambda x, adjacent, q, own, *a: (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)))
+    real = embeddings._walked
+    monkeypatch.setattr(embeddings, "_walked", lambda nodes, *a: (real(nodes, *a)[0].where("false"), real(nodes, *a)[1].where("false")))
+    told = []
+    got, links, label = check(spark, vectors, shard=50, told=told)
+    assert [t["attempt"] for t in told] == [0, 1, 2] and told[0]["recall"] == 0.0 and told[2]["recall"] == 1.0
+    assert all(got[i].n_links == links[i].sum() and got[i].component == label[i] for i in got)

@@ -1,7 +1,14 @@
-"""Near-duplicate vectors by a robust-pruned flat graph, built on overlapping cluster shards and searched by range."""
+"""Near-duplicate vectors by a robust-pruned flat graph, built on overlapping cluster shards and searched by range.
+
+Every vector is in its two nearest cells, so the graph's united lists lead from a shard to others through the vectors
+that they share. A search walks a shard; where it comes into range of a vector that is also in another shard, it goes on
+there in the next round, from that vector.
+"""
 
 from __future__ import annotations
 
+import functools
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import ROW, cut, documents, maybe_broadcast, release
+from tributary.llm.common import ROW, cut, documents, keep, maybe_broadcast, release, scope
 from tributary.llm.components import components, forest
 
+_log = logging.getLogger(__name__)
+
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     """A column of lists of one length as a matrix of doubles."""
@@ -108,13 +117,12 @@ def _build(dim: int):
     return work
 
 
-def range_search(x: np.ndarray, adjacent: np.ndarray, q: np.ndarray, own: np.ndarray, threshold: float, beam: int, margin: float = 0.12) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, vector) with a dot product of about threshold or more, found by walking the graph.
+def range_search(x: np.ndarray, adjacent: np.ndarray, q: np.ndarray, own: np.ndarray, threshold: float, beam: int, margin: float = 0.04) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (query, vector, dot product) within margin below threshold, or above it, that walking the graph found.
 
-    x and q hold unit vectors, adjacent the neighbours' positions padded with -1, own each query's position in x or
-    -1. A walk starts at the medoid, and at the query's own place if it has one, and beam times opens the best place
-    not yet opened. Then the range expands: every place within margin below the threshold is opened too, until none
-    is left.
+    x and q hold unit vectors, adjacent the neighbours' positions padded with -1, own a position in x for each query or
+    -1. A walk starts at the medoid, and at own if there is one, and beam times opens the best place not yet opened.
+    Then the range expands: every place in range is opened too, until none is left.
     """
     x, q = x.astype(np.float32), q.astype(np.float32)
     m, c = len(x), len(q)
@@ -153,53 +161,90 @@ def range_search(x: np.ndarray, adjacent: np.ndarray, q: np.ndarray, own: np.nda
             to = adjacent[vi[a : a + (1 << 15)]]
             i, j = np.nonzero(to >= 0)
             meet(qi[a : a + (1 << 15)][i], to[i, j])
-    return np.nonzero(seen >= threshold - 1e-4)
+    qi, vi = np.nonzero(seen >= threshold - margin)
+    return qi, vi, seen[qi, vi]
+
+
+#: What _search() gives out: FOUND (a, shard, links), EDGE (a, b), ASKED and REACHED (a is to search shard from b on).
+FOUND, EDGE, ASKED, REACHED = range(4)
+_MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("shard", pa.int64()), ("links", pa.int64())])
 
 
-def _search(dim: int, threshold: float, beam: int, overlap: int, chunk: int = 256):
-    """Of one shard and some of its queries: (a, null, links) for each query a and (a, b, 0) for edges that span them."""
+def _search(dim: int, threshold: float, beam: int, exact: bool, chunk: int = 256):
+    """One shard and some of its queries.
+
+    A query whose walk meets a link is held against the whole shard in double precision, so its links there don't
+    depend on how the walk went. Of these links those whose first home this is count, so that each counts once.
+    """
 
     def work(key: tuple, members: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
         if not members.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        cell = key[0].as_py()
-        node, mult = members.column("node").to_numpy(), members.column("mult").to_numpy()
+            return _MET.empty_table()
+        shard = key[0].as_py()
+        node, mult, homes = members.column("node").to_numpy(), members.column("mult").to_numpy(), np.array(members.column("homes").to_pylist())
         raw, asked = _matrix(members.column("vec"), dim), _matrix(queries.column("vec"), dim)
-        homes = np.array(members.column("cells").to_pylist())[:, :overlap]
-        visits = np.array(queries.column("cells").to_pylist())
-        name = queries.column("node").to_numpy()
+        name, home = queries.column("node").to_numpy(), queries.column("home").to_numpy()
+        entry = queries.column("entry").fill_null(-1).to_numpy()
         order = np.argsort(node)
-        find = lambda x: np.where(node[order[np.minimum(np.searchsorted(node[order], x), len(node) - 1)]] == x, order[np.minimum(np.searchsorted(node[order], x), len(node) - 1)], -1)
-        lists = members.column("adjacent").to_pylist()
-        adjacent = np.full((len(node), max(1, max(len(a or ()) for a in lists))), -1)
-        for i, a in enumerate(lists):
-            if a:
-                adjacent[i, : len(a)] = find(np.array(a))
+
+        def find(of: np.ndarray) -> np.ndarray:
+            at = order[np.minimum(np.searchsorted(node[order], of), len(node) - 1)]
+            return np.where(node[at] == of, at, -1)
+
         x, q = _unit(raw), _unit(asked)
-        size = lambda y: np.linalg.norm(y, axis=1)
-        raw_size, asked_size = size(raw), size(asked)
-        a_out, b_out, links = [], [], np.zeros(len(name), dtype=np.int64)
-        for at in range(0, len(name), chunk):
-            part = slice(at, at + chunk)
-            own = find(name[part])
-            qi, vi = range_search(x, adjacent, q[part], own, threshold, beam)
-            qi = qi + at
-            keep = node[vi] != name[qi]
-            qi, vi = qi[keep], vi[keep]
-            for lo in range(0, len(qi), 1 << 16):  # verified in double precision
-                one, two = qi[lo : lo + (1 << 16)], vi[lo : lo + (1 << 16)]
-                cosine = np.einsum("ij,ij->i", asked[one], raw[two]) / (asked_size[one] * raw_size[two])
-                one, two = one[cosine >= threshold], two[cosine >= threshold]
-                # A pair may be found in several cells: it counts in the vector's first home that the query visits.
-                in_ = (homes[two][:, :, None] == visits[one][:, None, :]).any(axis=2)
-                first = homes[two][np.arange(len(two)), np.argmax(in_, axis=1)]
-                np.add.at(links, one[first == cell], mult[two[first == cell]])
-                u, v = forest(name[one], node[two])
-                a_out.append(u)
-                b_out.append(v)
-        u, v = forest(np.concatenate(a_out), np.concatenate(b_out)) if a_out else (np.empty(0, np.int64),) * 2
-        return pa.table({"a": np.concatenate([name, u]), "b": pa.concat_arrays([pa.nulls(len(name), pa.int64()), pa.array(v, pa.int64())]), "links": np.concatenate([links, np.zeros(len(u), dtype=np.int64)])}, schema=schema)
+        raw_size, asked_size = np.linalg.norm(raw, axis=1), np.linalg.norm(asked, axis=1)
+        first = homes[:, 0] == shard
+        if not exact:
+            lists = members.column("adjacent").to_pylist()
+            adjacent = np.full((len(node), max(1, max(len(a or ()) for a in lists))), -1)
+            for i, a in enumerate(lists):
+                if a:
+                    adjacent[i, : len(a)] = find(np.array(a))
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+
+        def tell(kind: int, a: np.ndarray, b: np.ndarray, of: np.ndarray, links: np.ndarray) -> None:
+            for column, values in zip(out, (np.full(len(a), kind, dtype=np.int32), a, b, of, links), strict=True):
+                column.append(values)
+
+        def once(kind: int, a: np.ndarray, b: np.ndarray, of: np.ndarray) -> None:
+            """One row for each of a and shard."""
+            at = np.unique(np.stack([a, of]), axis=1, return_index=True)[1]
+            tell(kind, a[at], b[at], of[at], np.zeros(len(at), dtype=np.int64))
+
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        for lo in range(0, len(name), chunk):
+            part = np.arange(lo, min(lo + chunk, len(name)))
+            if exact:
+                hit = part
+            else:
+                start = np.where(entry[part] >= 0, find(entry[part]), find(name[part]))
+                qi, vi, dot = range_search(x, adjacent, q[part], start, threshold, beam)
+                qi = part[qi]
+                hit = np.unique(qi[(dot >= threshold - 1e-4) & (name[qi] != node[vi])])
+                for h in range(homes.shape[1]):  # other shards of the places in range
+                    on = homes[vi, h] != shard
+                    once(REACHED, name[qi[on]], node[vi[on]], homes[vi[on], h])
+            if not len(hit):
+                continue
+            cosine = asked[hit] @ raw.T / (asked_size[hit][:, None] * raw_size)
+            i, j = np.nonzero(np.abs(cosine - threshold) < 1e-9)  # near the line all tasks add up alike
+            cosine[i, j] = np.einsum("ij,ij->i", asked[hit[i]], raw[j]) / (asked_size[hit[i]] * raw_size[j])
+            linked = (cosine >= threshold) & (name[hit][:, None] != node)
+            with_links = linked.any(axis=1)
+            hit, linked = hit[with_links], linked[with_links]
+            tell(FOUND, name[hit], name[hit], np.full(len(hit), shard), (linked[:, first] * mult[first]).sum(axis=1))
+            i, j = np.nonzero(linked)
+            one, two = hit[i], j
+            edges.append(forest(name[one], node[two]))
+            if not exact:  # a link holds both ways: each is to be searched for in the other's first home
+                once(ASKED, node[two], name[one], home[one])
+                once(ASKED, name[one], node[two], homes[two, 0])
+        if edges:
+            u, v = forest(*(np.concatenate(e) for e in zip(*edges, strict=True)))
+            tell(EDGE, u, v, np.zeros(len(u), dtype=np.int64), np.zeros(len(u), dtype=np.int64))
+        if not out[0]:
+            return _MET.empty_table()
+        return pa.table([pa.array(np.concatenate(c), f.type) for c, f in zip(out, _MET, strict=True)], schema=_MET)
 
     return work
 
@@ -210,14 +255,80 @@ def _assign(centre: np.ndarray, dim: int, visits: int):
             if not batch.num_rows:
                 continue
             near = _unit(_matrix(batch.column(1), dim)) @ centre.T
-            cells = np.argsort(-near, axis=1, kind="stable")[:, :visits].astype(np.int32)
-            yield pa.record_batch([*batch.columns, pa.array(list(cells), pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
+            cells = np.argsort(-near, axis=1, kind="stable")[:, :visits].astype(np.int64)
+            yield pa.record_batch([*batch.columns, pa.array(list(cells), pa.list_(pa.int64()))], names=[*batch.schema.names, "cells"])
 
     return work
 
 
+def _assign_below(dim: int, visits: int):
+    """Vectors of one head after the other, each after the centres (cell not null) that it may go to."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cells, rows, centre = None, [], [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            head, salt = batch.column("head").to_numpy(), batch.column("salt").to_numpy()
+            is_centre = batch.column("cell").is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.append(True, (np.diff(head) != 0) | (np.diff(salt) != 0) | (np.diff(is_centre.astype(np.int8)) != 0))).tolist() + [batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                run = batch.slice(a, b - a)
+                if key != (head[a], salt[a]):
+                    key, cells, rows, centre = (head[a], salt[a]), [], [], None
+                matrix = _unit(_matrix(run.column("vec"), dim))
+                if is_centre[a]:
+                    cells.append(run.column("cell").to_numpy())
+                    rows.append(matrix)
+                    centre = None
+                    continue
+                if centre is None:
+                    centre, names = np.concatenate(rows), np.concatenate(cells)
+                near = np.argsort(-(matrix @ centre.T), axis=1, kind="stable")[:, :visits]
+                yield pa.record_batch([run.column("node"), run.column("vec"), run.column("mult"), pa.array(list(names[near]), pa.list_(pa.int64()))], names=["node", "vec", "mult", "cells"])
+
+    return work
+
+
+def _placed(nodes: DataFrame, dim: int, n: int, shard: int, overlap: int, visits: int, sample: int, most: int) -> DataFrame:
+    """nodes (node, vec, mult) with cells, the visits nearest ones of each, nearest first.
+
+    Up to most cells have centres fitted on a sample of at most sample vectors. Where more are needed, such centres are
+    heads: each head's vectors have centres of their own, most at most, fitted on a hashed share of them (16 for each
+    centre), and a vector's cells are the nearest among those of its head and of the seven heads next to it.
+    """
+    drawn = nodes.orderBy(F.xxhash64("node", F.lit(3))).limit(sample).select("vec").collect()
+    drawn = _unit(np.array([r[0] for r in drawn], dtype=np.float64))
+    cells = -(-n * overlap // shard)
+    kind = nodes.schema["vec"].dataType.simpleString()
+    schema = f"node long, vec {kind}, mult long, cells array<long>"
+    heads = centroids(drawn, max(1, min(cells, len(drawn) // 16, most)))
+    if cells <= most:
+        return nodes.select("node", "vec", "mult").mapInArrow(_assign(heads, dim, visits), schema)
+    headed = cut(nodes.select("node", "vec", "mult").mapInArrow(_assign(heads, dim, 1), schema).withColumn("head", F.col("cells")[0]).drop("cells"))
+    share = int(min(1.0, 16 * overlap / shard) * 1_000_000)
+
+    def fit(key: tuple, table: pa.Table) -> pa.Table:
+        own = _unit(_matrix(table.column("vec"), dim))
+        centre = centroids(own, max(1, min(len(own) // 16, most)))
+        head = key[0].as_py()
+        return pa.table({"of": np.full(len(centre), head), "cell": head * (1 << 20) + np.arange(len(centre)), "vec": pa.array(list(centre), pa.list_(pa.float64()))})
+
+    subs = headed.where(F.pmod(F.xxhash64("node", F.lit(9)), F.lit(1_000_000)) < share).groupBy("head").applyInArrow(fit, "of long, cell long, vec array<double>")
+    near = np.argsort(-(heads @ heads.T), axis=1, kind="stable")[:, :8]
+    next_to = nodes.sparkSession.createDataFrame([(int(h), int(o)) for h in range(len(heads)) for o in near[h]], "head long, of long")
+    sizes = headed.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / 200_000).cast("int").alias("salts"))  # as many rows as heads
+    subs = cut(subs).join(F.broadcast(next_to), "of").join(F.broadcast(sizes), "head").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    none = F.lit(None).cast("long")
+    centres = subs.select("head", "salt", "cell", none.alias("node"), F.col("vec").cast(kind).alias("vec"), none.alias("mult"))
+    rows = headed.join(F.broadcast(sizes), "head").select("head", F.pmod(F.xxhash64("node", F.lit(8)), F.col("salts")).cast("int").alias("salt"), none.alias("cell"), "node", "vec", "mult")
+    dealt = centres.unionByName(rows).repartition("head", "salt").sortWithinPartitions("head", "salt", F.col("cell").asc_nulls_last())
+    return dealt.mapInArrow(_assign_below(dim, visits), schema)
+
+
 def audit(nodes: DataFrame, found: DataFrame, dim: int, threshold: float, sample: int = 512) -> float:
-    """Share of the links of a sample of vectors, found by brute force over all rows, that found (a, links) has."""
+    """The mean recall of a sample of vectors with links: the share of each one's links, by brute force over all rows, that
+    found (a, links) has. A vector of a large group weighs no more than one of a pair."""
     asked = [(r["node"], r["vec"]) for r in nodes.orderBy(F.xxhash64("node", F.lit(11))).limit(sample).select("node", "vec").collect()]
     names, q = np.array([a for a, _ in asked]), np.array([v for _, v in asked], dtype=np.float64)
     q_size = np.linalg.norm(q, axis=1)
@@ -233,56 +344,108 @@ def audit(nodes: DataFrame, found: DataFrame, dim: int, threshold: float, sample
 
     true = dict(nodes.select("node", "vec", "mult").mapInArrow(work, "a long, n long").groupBy("a").agg(F.sum("n")).collect())
     got = dict(found.where(F.col("a").isin(names.tolist())).select("a", "links").collect())
-    wanted = sum(true.values())
-    return sum(min(n, got.get(a, 0)) for a, n in true.items()) / wanted if wanted else 1.0
-
-
-def _links(nodes: DataFrame, dim: int, n: int, threshold: float, shard: int, overlap: int, visits: int, beam: int, sample: int, recall: float) -> tuple[DataFrame, DataFrame]:
-    """(a, links) of each vector with any, and edges (a, b) that span the linked ones; nodes has n rows of one dimension."""
-    drawn = nodes.orderBy(F.xxhash64("node", F.lit(3))).limit(sample).select("vec").collect()
-    k = max(1, min(-(-n * overlap // shard), len(drawn) // 16, 1024))
-    centre = centroids(_unit(np.array([r[0] for r in drawn], dtype=np.float64)), k)
-    kind = nodes.schema["vec"].dataType.simpleString()
+    shares = [min(n, got.get(a, 0)) / n for a, n in true.items() if n]
+    return float(np.mean(shares)) if shares else 1.0
+
+
+def _walked(nodes: DataFrame, dim: int, n: int, threshold: float, shard: int, overlap: int, visits: int, beam: int, sample: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(a, links) of each vector with any, and edges (a, b) that span the linked ones, by rounds of searches."""
+    placed = cut(_placed(nodes, dim, n, shard, overlap, visits, sample, most))
+    overlap = min(overlap, visits)
+    # A cell with too many members is several shards, which all who visit the cell visit.
+    in_cell = placed.select(F.explode(F.slice("cells", 1, overlap)).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    parts = cut(in_cell.select("cell", F.ceil(F.col("n") / (2 * shard)).cast("long").alias("parts")))
+    n_parts = parts.count()
+    number = lambda cell, part: cell * (1 << 20) + part
+    own = placed.select("node", F.posexplode(F.slice("cells", 1, overlap)).alias("rank", "cell")).join(maybe_broadcast(parts, n_parts), "cell")
+    own = own.select("node", "rank", number(F.col("cell"), F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts"))).alias("shard"))
+    homes = own.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "shard"))), lambda x: x["shard"]).alias("homes"))
+    # A vector that is in fewer cells than others has its first home again.
+    member = cut(placed.select("node", "vec", "mult").join(homes, "node").withColumn("homes", F.transform(F.sequence(F.lit(1), F.lit(overlap)), lambda i: F.coalesce(F.try_element_at("homes", i), F.col("homes")[0]))))
+    spread = member.withColumn("shard", F.explode(F.array_distinct("homes")))
+    lists = spread.groupBy("shard").applyInArrow(_build(dim), "of long, adjacent array<long>")
+    united = cut(lists.groupBy("of").agg(F.array_distinct(F.flatten(F.collect_list("adjacent"))).alias("adjacent")))
+    members = cut(spread.join(united, F.col("node") == F.col("of")).select("shard", "node", "vec", "mult", "homes", "adjacent"))
+    todo = placed.select("node", F.explode("cells").alias("cell")).join(maybe_broadcast(parts, n_parts), "cell")
+    todo = todo.select("node", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    todo = cut(todo.select("node", number(F.col("cell"), F.col("part")).alias("shard"), F.lit(None).cast("long").alias("entry")))
+    visited, found = [], []
+    while True:
+        met = _round(members, member, todo, dim, threshold, shard, beam, False)
+        visited.append(todo.select("node", "shard"))
+        found.append(met)
+        every = lambda tables: functools.reduce(DataFrame.unionByName, tables)
+        told = every([m.where(F.col("kind") == FOUND).select(F.col("a").alias("node"), "shard") for m in found])
+        wanted = lambda kind: met.where(F.col("kind") == kind).select(F.col("a").alias("node"), "shard", "b")  # noqa: E731, B023
+        # Nobody goes twice to a shard, but where a link is known that an earlier walk there has missed.
+        new = wanted(ASKED).join(told, ["node", "shard"], "left_anti").unionByName(wanted(REACHED).join(every(visited), ["node", "shard"], "left_anti"))
+        todo = cut(new.groupBy("node", "shard").agg(F.min("b").alias("entry")))
+        if todo.isEmpty():
+            break
+    all_ = every(found)
+    counts = all_.where(F.col("kind") == FOUND).groupBy("a").agg(F.sum("links").alias("links"))
+    return counts, all_.where(F.col("kind") == EDGE).select("a", "b")
+
+
+def _round(members: DataFrame, vectors: DataFrame, todo: DataFrame, dim: int, threshold: float, shard: int, beam: int, exact: bool) -> DataFrame:
+    """_search() for todo (node, shard, entry); a shard's queries are cut into blocks, each of which meets its members."""
+    blocks = cut(todo.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (4 * shard)).cast("int").alias("blocks")))
+    blocks_hint = maybe_broadcast(blocks, blocks.count())
+    query = todo.join(blocks_hint, "shard").join(vectors.select("node", "vec", F.col("homes")[0].alias("home")), "node")
+    block = F.pmod(F.xxhash64("node", F.lit(6)), F.col("blocks")).cast("int").alias("block")
+    query = query.select(block, *[F.col(c).alias(c) for c in ("shard", "node", "vec", "home", "entry")])
+    met = members.join(blocks_hint, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return cut(met.groupBy("shard", "block").cogroup(query.groupBy("shard", "block")).applyInArrow(_search(dim, threshold, beam, exact), "kind int, a long, b long, shard long, links long"))
+
+
+def _exhausted(nodes: DataFrame, dim: int, n: int, threshold: float, shard: int) -> tuple[DataFrame, DataFrame]:
+    """The same by comparing all vectors with all, a shard and some of its queries at a time."""
+    shards = -(-n // (2 * shard))
+    member = cut(nodes.select("node", "vec", "mult", F.array(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(shards))).alias("homes")))
+    members = member.withColumn("shard", F.col("homes")[0])
+    todo = member.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(None).cast("long").alias("entry"))
+    met = _round(members, member, todo, dim, threshold, shard, 0, True)
+    return met.where(F.col("kind") == FOUND).groupBy("a").agg(F.sum("links").alias("links")), met.where(F.col("kind") == EDGE).select("a", "b")
+
+
+def _links(nodes: DataFrame, dim: int, n: int, threshold: float, shard: int, overlap: int, visits: int, beam: int, sample: int, recall: float, most: int, told: list) -> tuple[DataFrame, DataFrame]:
+    """_walked(), audited: below recall it is done again, wider; if that isn't enough either, all vectors are compared."""
     for attempt in range(3):
-        v = min(visits + 2 * attempt, len(centre))
-        o = min(overlap, v)
-        placed = cut(nodes.select("node", "vec", "mult").mapInArrow(_assign(centre, dim, v), f"node long, vec {kind}, mult long, cells array<int>"))
-        # Cells with too many members or queries are split; each part of the members meets each part of the queries.
-        homes = dict(placed.select(F.explode(F.slice("cells", 1, o)).alias("c")).groupBy("c").count().collect())
-        asked = dict(placed.select(F.explode("cells").alias("c")).groupBy("c").count().collect())
-        parts = F.array(*[F.lit(-(-homes.get(c, 0) // (2 * shard)) or 1) for c in range(len(centre))])
-        blocks = F.array(*[F.lit(-(-asked.get(c, 0) // (4 * shard)) or 1) for c in range(len(centre))])
-        of = lambda a: F.element_at(a, F.col("cell") + 1)
-        member = placed.withColumn("cell", F.explode(F.slice("cells", 1, o))).withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), of(parts)).cast("int"))
-        lists = member.groupBy("cell", "part").applyInArrow(_build(dim), "of long, adjacent array<long>")
-        union = cut(lists.groupBy("of").agg(F.array_distinct(F.flatten(F.collect_list("adjacent"))).alias("adjacent")))
-        members = member.join(union, F.col("node") == F.col("of")).withColumn("block", F.explode(F.sequence(F.lit(0), of(blocks) - 1)))
-        query = placed.withColumn("cell", F.explode("cells")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(6)), of(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), of(parts) - 1)))
-        keys = ["cell", "part", "block"]
-        members, query = members.select(*keys, "node", "vec", "mult", "cells", "adjacent"), query.select(*[F.col(c).alias(c) for c in (*keys, "node", "vec", "cells")])
-        met = cut(members.groupBy(*keys).cogroup(query.groupBy(*keys)).applyInArrow(_search(dim, threshold, beam * 2**attempt, o), "a long, b long, links long"))
-        counts = cut(met.where("b is null").groupBy("a").agg(F.sum("links").alias("links")))
-        release(placed, union)
-        if attempt == 2 or audit(nodes, counts, dim, threshold) >= recall:
-            return counts, met.where("b is not null").select("a", "b")
-        release(met, counts)
-    raise AssertionError
-
-
-def embedding_dedup(df: DataFrame, vec: str = "embedding", id: str = "vec_id", threshold: float = 0.9, shard: int = 1500, overlap: int = 2, visits: int = 3, beam: int = 40, sample: int = 20_000, recall: float = 0.97) -> DataFrame:
+        with scope():
+            if attempt < 2:
+                counts, edges = _walked(nodes, dim, n, threshold, shard, overlap, max(overlap, visits) * 2**attempt, beam * 2**attempt, sample, most)
+            else:
+                counts, edges = _exhausted(nodes, dim, n, threshold, shard)
+            counts, edges = cut(counts), cut(edges)
+            reached = audit(nodes, counts, dim, threshold)
+            told.append({"dimension": dim, "vectors": n, "attempt": attempt, "recall": reached})
+            _log.info("recall %.4f of %d vectors of %d numbers, attempt %d", reached, n, dim, attempt)
+            if reached >= recall:
+                return keep(counts), keep(edges)
+    raise RuntimeError(f"a recall of {recall} was not reached: {told}")
+
+
+def embedding_dedup(df: DataFrame, vec: str = "embedding", id: str = "vec_id", threshold: float = 0.9, shard: int = 1500, overlap: int = 2, visits: int = 3, beam: int = 16, sample: int = 20_000, recall: float = 0.97, most: int = 1024, told: list | None = None) -> DataFrame:
     """(__row, id, n_links, component, keep) of each row: other rows at a cosine of threshold or more, and their class.
 
-    Equal vectors are searched once. Centres are fitted on sample vectors at most, in order of a hash; every vector
-    is then put in its overlap nearest cells. Each cell builds a graph by robust pruning; the lists that a vector has
-    in its cells are united. Every vector searches its visits nearest cells from their medoids, greedily, then
-    expanding the range, and each link is verified in double precision. Recall is audited against brute force on a
-    sample of 512 vectors over all rows; below recall, the search is repeated with more visits and a wider beam.
-    Large cells are split, and all their parts are searched. Links come back as counts and spanning edges, not as
-    pairs. component is the smallest id that a row reaches (nulls don't count), keep whether that is its own.
+    Equal vectors are searched once. Centres are fitted on sample vectors at most, in order of a hash, or, where more
+    than most cells of about shard vectors are needed, in two levels on hashed shares of the vectors; every vector is then
+    put in its overlap nearest cells. Each cell's shard builds a graph by robust pruning; the lists that a vector has in
+    its shards are united. Every vector searches its visits nearest cells, from their medoids and from itself, greedily,
+    then expanding the range; vectors in range lead on to the other shards that hold them, round after round until none
+    is new. A link is searched from both sides, and counted, once, in the first home of the vector found, so n_links is
+    symmetric. Links are verified in double precision, and come back as counts and spanning edges, not as pairs.
+
+    The recall is audited against brute force over all rows, for a sample of 512 vectors, and told as a dict in the list
+    told and in the log. Below recall the search is repeated with twice the visits and the beam; if that too stays below,
+    all vectors are compared with all. component is the smallest id that a row reaches (nulls don't count), keep whether
+    that is its own.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different lengths
-    don't link. Repeated rows are equal vectors. An empty table gives an empty result; other columns are ignored.
+    don't link. Repeated rows are equal vectors. An empty table gives an empty result; other columns are ignored. df is a
+    stored table, read alike each time.
     """
+    told = [] if told is None else told
     base = df.select(F.monotonically_increasing_id().alias(ROW), df[id].alias("id"), df[vec].alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("vec", lambda x: x != 0)
     valid = F.coalesce(F.col("vec").isNotNull() & finite, F.lit(False))
@@ -291,7 +454,7 @@ def embedding_dedup(df: DataFrame, vec: str = "embedding", id: str = "vec_id", t
     sizes = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().collect()}
     counts, edges = None, None
     for dim, n in sorted(sizes.items()):
-        one, two = _links(nodes.where(F.col("dim") == dim), dim, n, threshold, shard, overlap, visits, beam, sample, recall)
+        one, two = _links(nodes.where(F.col("dim") == dim), dim, n, threshold, shard, overlap, visits, beam, sample, recall, most, told)
         counts = one if counts is None else counts.unionByName(one)
         edges = two if edges is None else edges.unionByName(two)
     if counts is None:
