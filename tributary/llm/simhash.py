@@ -366,17 +366,29 @@ def _apart(one: str, two: str, words: range) -> str:
     return " + ".join(f"bit_count({one}.f{i} ^ {two}.f{i})" for i in words)
 
 
-def sharing(of: DataFrame, apart: int) -> DataFrame:
-    """Pairs (a, b) of rows of of (sig, node, comp, f0, f1) with one sig, other comps and at most apart bits between f0, f1."""
-    near = F.expr(f"a.node < b.node and a.comp <> b.comp and {_apart('a', 'b', range(2))} <= {apart}")
-    return of.alias("a").join(of.alias("b"), "sig").where(near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+def _apart(one: str, two: str, words: int) -> str:
+    return " + ".join(f"bit_count({one}f{i} ^ {two}f{i})" for i in range(words))
 
 
-def _crowd(words: int, limit: int, every: bool):
-    """Pairs (a, b) with other comps and at most limit bits apart, within a block of a crowded key or between two.
+def neighbours(met: DataFrame, apart: int) -> DataFrame:
+    """Pairs (a, b) of rows of met (sig, node, comp, f0, f1) with other comps and at most apart bits between f0, f1, that come
+    next to each other or next but one in their sig: as many as there are rows, twice at most."""
+    w = Window.partitionBy("sig").orderBy("f0", "node")
+    of = lambda k: F.struct(*[F.lag(c, k).over(w).alias(c) for c in ("node", "comp", "f0", "f1")])
+    placed = met.select("node", "comp", "f0", "f1", of(1).alias("one"), of(2).alias("two"))
+    near = placed.select("node", "comp", "f0", "f1", F.explode(F.array("one", "two")).alias("x")).where(f"x.comp <> comp and {_apart('', 'x.', 2)} <= {apart}")
+    return near.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
 
-    All of them, but each at the first key only that the two share; or of each row the nearest one.
-    """
+
+def sharing(of: DataFrame, words: int, limit: int) -> DataFrame:
+    """Pairs (a, b) of rows of of (sig, node, comp, f0, ...) with one sig, other comps and at most limit bits apart."""
+    near = F.expr(f"a.node < b.node and a.comp <> b.comp and {_apart('a.', 'b.', words)} <= {limit}")
+    return of.alias("a").join(of.alias("b"), "sig").where(near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
+def _crowd(words: int, limit: int):
+    """Pairs (a, b) with other comps and at most limit bits apart, within a block of a crowded key or between two; each at
+    the first key only that the two share."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
@@ -385,42 +397,36 @@ def _crowd(words: int, limit: int, every: bool):
         one, two = np.flatnonzero(side == key[1].as_py()), np.flatnonzero(side == key[2].as_py())
         if not len(one) or not len(two):
             return schema.empty_table()
-        table_of = table.column("table")[0].as_py()
-        keys = np.array(table.column("keys").to_pylist()) if every else None
+        table_of, keys = table.column("table")[0].as_py(), np.array(table.column("keys").to_pylist())
         a, b = [], []
         for at in range(0, len(one), 128):
             own = one[at : at + 128]
             away = sum(np.bitwise_count((x[own][:, None] ^ x[two][None, :]).view(np.uint64)).astype(np.int16) for x in f)
-            away[comp[own][:, None] == comp[two][None, :]] = limit + 1
-            if every:
-                i, j = np.nonzero(away <= limit)
-                fresh = np.array([int(np.argmax(keys[x] == keys[y])) == table_of for x, y in zip(own[i].tolist(), two[j].tolist(), strict=True)], dtype=bool)
-                i, j = i[fresh], j[fresh]
-            else:
-                j = np.argmin(away, axis=1)
-                i = np.flatnonzero(away[np.arange(len(own)), j] <= limit)
-                j = j[i]
-            a.append(node[own[i]])
-            b.append(node[two[j]])
-        a, b = np.concatenate(a), np.concatenate(b)
+            i, j = np.nonzero((away <= limit) & (comp[own][:, None] != comp[two][None, :]))
+            i, j = own[i], two[j]
+            for lo in range(0, len(i), 4096):
+                x, y = i[lo : lo + 4096], j[lo : lo + 4096]
+                fresh = np.argmax(keys[x] == keys[y], axis=1) == table_of
+                a.append(node[x[fresh]])
+                b.append(node[y[fresh]])
+        a, b = (np.concatenate(z) if z else np.empty(0, dtype=np.int64) for z in (a, b))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=schema)
 
     return work
 
 
-def crowded(of: DataFrame, own: DataFrame, words: int, limit: int, every: bool, block: int = 512) -> DataFrame:
-    """Pairs (a, b) among the rows of crowded keys, of (sig, table, node, comp, n): see _crowd(). own has (node, f0, ..., keys)."""
-    names = [*_names(words), *(["keys"] if every else [])]
+def crowded(of: DataFrame, own: DataFrame, words: int, limit: int, block: int = 512) -> DataFrame:
+    """Pairs (a, b) among the rows of crowded keys, of (sig, table, node, comp, n, f0, ...): see _crowd(). own has (node, keys)."""
     dealt = of.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(own.select("node", *names), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "table", "node", "comp", *names)
-    return dealt.groupBy("sig", "i", "j").applyInArrow(_crowd(words, limit, every), "a long, b long").distinct()
+    dealt = dealt.hint("merge").join(own.select("node", "keys"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "table", "node", "comp", "keys", *_names(words))
+    return dealt.groupBy("sig", "i", "j").applyInArrow(_crowd(words, limit), "a long, b long").distinct()
 
 
 def jaccard_links(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int, seed: int = 42) -> DataFrame:
     """Those of pairs (a, b) whose sets of shingles have a Jaccard similarity of at least similarity; texts has (__row, text)."""
     need = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
-    of = texts.join(need, F.col(ROW) == F.col("n"), "left_semi").select(ROW, "text")
+    of = texts.hint("merge").join(need, F.col(ROW) == F.col("n"), "left_semi").select(ROW, "text")
     sets = cut(by_batches(of, _sets(shingle, seed), "node long, own array<long>", 256))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,11 +438,11 @@ def jaccard_links(pairs: DataFrame, texts: DataFrame, similarity: float, shingle
                 one, two = x[i].values.to_numpy(), y[i].values.to_numpy()
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 stays.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
-            keep = np.array(stays, dtype=bool)
-            yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            keep_ = np.array(stays, dtype=bool)
+            yield pa.record_batch([pa.array(a[keep_]), pa.array(b[keep_])], names=["a", "b"])
 
     one, two = sets.toDF("a", "x"), sets.toDF("b", "y")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    return pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
 def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -444,7 +450,7 @@ def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
 
 
-def near_duplicates_out(df: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = 0.8, shingle: int = 5, words: int = 8, k: int = 4, miss: float = 0.002, hashes: int | None = None, hot: int = 64, seed: int = 42) -> DataFrame:
+def near_duplicates_out(df: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = 0.8, shingle: int = 5, words: int = 16, k: int = 4, miss: float = 0.002, hashes: int | None = None, hot: int = 64, seed: int = 42) -> DataFrame:
     """The rows of df, a stored table, that stay: of each class of near-duplicates the one with the smallest id.
 
     Rows are linked if their sets of shingles have a Jaccard similarity of similarity or more. Equal sets are one from
@@ -452,12 +458,12 @@ def near_duplicates_out(df: DataFrame, text: str = "text", id: str = "doc_id", s
     linked at once: at 0.8 19 bits differ, so that is 3.8 deviations off. No pigeonhole reaches 19 bits at a price
     that can be paid; so beyond it candidates share a key of several of strongest()'s hashes. key_plan() takes as many
     keys as hold the chance that a pair at similarity shares none to miss, whatever the number of rows (sets of a few
-    shingles, which vary more, may be missed more often). Candidates up to three deviations beyond the mean of 512
-    bits are verified by their exact Jaccard similarity.
+    shingles, which vary more, may be missed more often). Candidates up to 2.8 deviations beyond the mean of 1024 bits
+    are verified by their exact Jaccard similarity; that line costs a pair at similarity a chance of 0.0026 more.
 
-    Keys that more than hot rows share are compared in blocks, a task each. At first each row's nearest one in the
-    first keys is verified, which joins most of a large group; then all pairs between classes that are still apart, each
-    at the first key that the two share.
+    Rows that come next to each other under a key are verified first, which joins most of a group, however large it is;
+    then all pairs between classes that are still apart. Keys that more than hot rows share are compared in blocks for
+    that, a task each, and a pair at the first key that the two share.
 
     Null and wordless texts are one class. Of rows with equal ids, and of those without an id if a class has no other, the
     first in df stays. Repeated rows are near-duplicates; long texts are taken whole. An empty table gives an empty
@@ -475,32 +481,28 @@ def near_duplicates_out(df: DataFrame, text: str = "text", id: str = "doc_id", s
         n = nodes.count()
         chosen = nodes.select(F.col(f"first.{ROW}").alias("of"))
         if n > 1:
-            own = cut(marked.join(nodes.select("node"), F.col(ROW) == F.col("node")).select("node", *names, "keys"))
+            own = cut(marked.hint("merge").join(nodes.select("node"), F.col(ROW) == F.col("node")).select("node", *names, "keys"))
             close = links(own.select("node", "f0", "f1"), n, k, words=2)
             comps = cut(_classes(nodes, close))
-            limit = bit_limit(BITS * words, similarity, 3)
+            limit = bit_limit(BITS * words, similarity, 2.8)
             table = F.posexplode("keys").alias("table", "key")
-            data = own.join(comps, "node").select("node", "comp", "f0", "f1", table).select((F.col("table").cast("long") * 128**hashes + F.col("key")).alias("sig"), "table", "node", "comp", "f0", "f1")
+            data = own.hint("merge").join(comps, "node").select("node", "comp", "f0", "f1", table).select((F.col("table").cast("long") * 128**hashes + F.col("key")).alias("sig"), "table", "node", "comp", "f0", "f1")
             w = Window.partitionBy("sig")
-            met = data.select("*", F.count(F.lit(1)).over(w).alias("n"), F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"))
-            met = cut(met.where("lo <> hi").drop("lo", "hi"))
-            pairs = sharing(met.where(F.col("n") <= hot), bit_limit(2 * BITS, similarity, 3.5))
-            bits = own.select("node", *names)
-            both = cut(pairs).join(bits.toDF("a", *[f"a{f}" for f in names]), "a").join(bits.toDF("b", *[f"b{f}" for f in names]), "b")
-            pairs = both.where(" + ".join(f"bit_count(a{f} ^ b{f})" for f in names) + f" <= {limit}").select("a", "b")
-            large = met.where(F.col("n") > hot).select("sig", "table", "node", "comp", "n")
-            busy = not large.isEmpty()
-            if busy:
-                pairs = pairs.unionByName(crowded(large.where("table < 4"), own, words, limit, False)).distinct()
-            known = comps.where("node <> comp").toDF("a", "b")
-            found = cut(jaccard_links(cut(pairs), texts, similarity, shingle, seed))
-            comps = cut(_classes(nodes, known.unionByName(found)))
-            if busy:
-                again = large.drop("comp").join(comps, "node")
-                still = cut(again.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig"))
-                pairs = crowded(again.join(still, "sig"), own, words, limit, True)
-                known = comps.where("node <> comp").toDF("a", "b")
-                comps = _classes(nodes, known.unionByName(jaccard_links(cut(pairs), texts, similarity, shingle, seed)))
+            several = lambda df: df.select("*", F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi")).where("lo <> hi").drop("lo", "hi")
+            met = cut(several(data))
+            known = lambda: comps.where("node <> comp").toDF("a", "b")
+            verified = lambda pairs: jaccard_links(pairs, texts, similarity, shingle, seed)
+            # Neighbours first, if they look close enough: they join most of a group, however large it is.
+            near = cut(neighbours(met, bit_limit(2 * BITS, similarity, 1)))
+            comps = cut(_classes(nodes, known().unionByName(verified(near))))
+            # Then all pairs of classes that are still apart.
+            apart = several(met.select("sig", "table", "node").hint("merge").join(comps, "node")).withColumn("n", F.count(F.lit(1)).over(w))
+            apart = cut(apart.hint("merge").join(own.select("node", *names), "node"))
+            pairs = sharing(apart.where(F.col("n") <= hot), words, limit)
+            large = apart.where(F.col("n") > hot)
+            if not large.isEmpty():
+                pairs = pairs.unionByName(crowded(large, own, words, limit)).distinct()
+            comps = _classes(nodes, known().unionByName(verified(cut(pairs))))
             chosen = nodes.join(comps, "node").groupBy("comp").agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias("of"))
         stays = keep(cut(chosen))
     return renamed(numbered(df).hint("merge").join(stays, F.col(ROW) == F.col("of"), "left_semi"), df)
