@@ -146,6 +146,28 @@ def value_rows(df: DataFrame, blobs_as_arrays: bool = False) -> DataFrame:
     return df.select(F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")).alias("row"))
 
 
+def execute_rows(df: DataFrame) -> DataFrame:
+    """One JSON object a row (column row) of results (last_insert_id, rows_affected, error, time): without what is 0, empty
+    or null, whole times without a fraction."""
+    held = lambda c, empty: F.when(F.col(c) != empty, F.col(c)).alias(c)
+    made = F.to_json(F.struct(held("last_insert_id", 0), held("rows_affected", 0), held("error", ""), held("time", 0.0)))
+    return df.select(F.regexp_replace(made, r'("time":[0-9]+)\.0\}$', "$1}").alias("row"))
+
+
+def render_result(result: object, associative: bool = False, blobs_as_arrays: bool = False) -> str:
+    """One result as JSON by its kind: a query's rows, a statement's outcome (a dict), or an error (a text)."""
+    if isinstance(result, DataFrame):
+        return render(result, associative, blobs_as_arrays)
+    if isinstance(result, str) and result:
+        return json.dumps({"error": result}, ensure_ascii=False, separators=(",", ":"))
+    if isinstance(result, dict):
+        kept = {k: result[k] for k in ("last_insert_id", "rows_affected", "error", "time") if result.get(k)}
+        if isinstance(kept.get("time"), float) and kept["time"].is_integer():
+            kept["time"] = int(kept["time"])
+        return json.dumps(kept | ({"rows": None} if associative else {}), ensure_ascii=False, separators=(",", ":"))
+    raise ValueError("neither rows, nor an outcome, nor an error")
+
+
 def render(df: DataFrame, associative: bool = False, blobs_as_arrays: bool = False, types: list[str] | None = None, limit: int = 10_000) -> str:
     """A result as one JSON document, for a client: {"columns", "types", "values"}, or {"types", "rows"}.
 

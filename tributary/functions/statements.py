@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+import threading
+import time
+import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,6 +78,46 @@ def run_all(spark: SparkSession, statements: list[Statement]) -> list[tuple[Data
     return out
 
 
+@dataclass(frozen=True)
+class Request:
+    """Statements that are run together. In a transaction the first error ends the request, and nothing after it is run;
+    what ran before it isn't undone, for tables of files have no transactions. timeout, in seconds, holds for each
+    statement; 0 is none. With timings each result says how long it took."""
+
+    statements: list[Statement]
+    transaction: bool = False
+    timeout: float = 0.0
+    timings: bool = False
+
+
+def run_request(spark: SparkSession, request: Request, most: int = 10_000) -> list[dict[str, object]]:
+    """{"columns", "rows"} or {"error"} of each statement, and "time" in seconds. A result of more than most rows is an error."""
+    out: list[dict[str, object]] = []
+    for s in request.statements:
+        began, tag = time.perf_counter(), f"statement-{uuid.uuid4().hex}"
+        late = threading.Event()
+        timer = threading.Timer(request.timeout, lambda tag=tag, late=late: (late.set(), spark.interruptTag(tag))) if request.timeout else None
+        spark.addTag(tag)
+        try:
+            if timer:
+                timer.start()
+            df = run(spark, s)
+            rows = df.take(most + 1)
+            made: dict[str, object] = {"error": f"more than {most} rows"} if len(rows) > most else {"columns": df.columns, "rows": [tuple(r) for r in rows]}
+        except (PySparkException, ValueError, Py4JJavaError) as e:
+            made = {"error": "timeout" if late.is_set() else str(e).strip().partition("\n")[0]}
+        finally:
+            spark.removeTag(tag)
+            if timer:
+                timer.cancel()
+        if request.timings:
+            made["time"] = time.perf_counter() - began
+        out.append(made)
+        if request.transaction and "error" in made:
+            break
+    return out
+
+
 _PART = re.compile(r"([0-9]*\.?[0-9]+|[0-9]+\.)(ns|us|µs|μs|ms|s|m|h)")
 _NANOS = {"ns": 1, "us": 10**3, "µs": 10**3, "μs": 10**3, "ms": 10**6, "s": 10**9, "m": 60 * 10**9, "h": 3600 * 10**9}
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.functions.hashing import bytes_to_uint64
+
 #: Types of log entries.
 COMMAND, NOOP, BARRIER, CONFIGURATION = 0, 1, 3, 5
 
@@ -38,6 +42,47 @@ def execute(df: DataFrame, order: str = "idx", sql: str = "sql") -> DataFrame:
     return made.select(order, F.when(write, 1).otherwise(0).cast("long").alias("rows_affected"), told.alias("error"))
 
 
+#: Types of commands, by their number.
+COMMAND_TYPES = ("UNKNOWN", "QUERY", "EXECUTE", "NOOP", "LOAD", "JOIN", "EXECUTE_QUERY", "LOAD_CHUNK")
+
+
+def dispatch(commands: DataFrame, kind: str = "type", order: str = "idx", sql: str = "sql") -> DataFrame:
+    """(order, rows_affected, error) of each command by its type's name: statements are executed, NOOP does nothing, loads
+    and mixed requests aren't implemented here, queries change no state; any other type is an error."""
+    name = F.col(kind)
+    told = (
+        F.when(name == "EXECUTE", F.col("error"))
+        .when(name == "NOOP", None)
+        .when(name.isin("LOAD", "EXECUTE_QUERY"), "not implemented")
+        .when(name == "QUERY", "QUERY command type should not be applied to FSM state")
+        .otherwise(F.concat(F.lit("unhandled command type: "), F.coalesce(name, F.lit("UNKNOWN"))))
+    )
+    parsed = parse(commands.select(order, kind, sql), sql)
+    write = (name == "EXECUTE") & F.col("op").isin("SET", "DELETE") & F.col("error").isNull()
+    error = F.when(F.col("op") == "GET", "GET is a query").otherwise(F.col("error"))
+    parsed = parsed.withColumn("error", error)
+    return parsed.select(order, F.when(write, 1).otherwise(0).cast("long").alias("rows_affected"), told.alias("error"))
+
+
+def set_values(store: DataFrame, entries: DataFrame) -> DataFrame:
+    """store (key, value in bytes) with entries (key, value) put in; of a key's entries the last by order, if they have it."""
+    order = F.col("order") if "order" in entries.columns else F.lit(1)
+    new = entries.groupBy("key").agg(F.max_by("value", order).alias("value"))
+    return store.join(new, "key", "left_anti").select("key", "value").unionByName(new)
+
+
+def get_values(store: DataFrame, *keys: str) -> DataFrame:
+    """(key, value) of these keys; one that isn't there has no row."""
+    return store.where(F.col("key").isin(list(keys))).select("key", "value")
+
+
+def get_uint64(store: DataFrame, *keys: str) -> DataFrame:
+    """(key, value) of these keys, whose values are numbers of 8 bytes; 0 for a key that isn't there."""
+    asked = store.sparkSession.createDataFrame([(k,) for k in keys], "key string")
+    found = get_values(store, *keys).select("key", bytes_to_uint64(F.col("value")).alias("n"))
+    return asked.join(found, "key", "left").select("key", F.coalesce("n", F.lit(0).cast("decimal(20,0)")).alias("value"))
+
+
 def state(df: DataFrame, order: str = "idx", sql: str = "sql") -> DataFrame:
     """(key, value, version): the store after all statements of the log. Map-side maxima, one shuffle by key."""
     writes = parse(df, sql).where("error is null and op in ('SET', 'DELETE')")
@@ -117,6 +162,18 @@ def use_store(spark: SparkSession, name: str) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORES[name])
 
 
+@contextmanager
+def stored_in(spark: SparkSession, name: str) -> Iterator[None]:
+    """Streams that start inside keep their state in the store of this name; the session's own setting holds again after."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key)
+    use_store(spark, name)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def append(log: DataFrame, entries: DataFrame, path: str) -> DataFrame:
     """The log under path after entries whose idx isn't in log yet were appended; appending the same again changes nothing."""
     entries.join(log.select("idx"), "idx", "left_anti").select(*log.columns).write.mode("append").parquet(path)

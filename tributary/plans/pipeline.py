@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tributary.operators.partitioning import partition_by_hash
 from tributary.operators.transforms import Chain, Operation
 from tributary.plans.envelope import valid_objects
-from tributary.sources.registry import Spec, sink, source
+from tributary.sources.registry import Spec, begin, sink, source
 
 
 @dataclass
@@ -59,7 +59,7 @@ class Pipeline:
 
     def records(self, spark: SparkSession) -> tuple[DataFrame | None, DataFrame | None]:
         """(stored records, live records) after the operations; either may be missing."""
-        spec, (load, live) = source(self.source)
+        spec, (load, live) = source(begin(self.source))
         first, rest = load(spark, spec), live(spark, spec)
         return first if first is None else self.plan(first), rest if rest is None else self.plan(rest)
 
@@ -86,6 +86,21 @@ class Pipeline:
         return self.is_open
 
 
+    def pause(self) -> None:
+        """Stops the stream; its checkpoint keeps its place."""
+        self.close()
+
+    def resume(self, spark: SparkSession, wait: bool = False):
+        """Goes on with the live records from the checkpoint; what was stored at the start isn't read again."""
+        spec, write = sink(self.sink)
+        rest = self.records(spark)[1]
+        if rest is not None:
+            self._query = write(rest, spec, True)
+            if wait:
+                self._query.awaitTermination()
+        return self._query
+
+
 def union_initial_and_live(initial: DataFrame, live: DataFrame) -> DataFrame:
     """Both as one, in no order; a column that one lacks is null there."""
     return initial.unionByName(live, allowMissingColumns=True)
@@ -145,6 +160,20 @@ class Registry:
             raise KeyError(key)
         return self.running.pop(key).close()
 
+    def reload(self, spark: SparkSession, raw: Mapping) -> list[str]:
+        """Takes a new configuration while pipelines run: those whose source or sink changed, or went, are stopped, and
+        changed ones go on from their checkpoint as they are now. Returns the keys of these."""
+        new = Registry.parse(raw)
+        changed = [k for k, p in self.running.items() if new.pairs().get(k) != (p.source, p.sink)]
+        self.sources, self.sinks = new.sources, new.sinks
+        for key in changed:
+            old = self.running.pop(key)
+            old.pause()
+            if key in self.pipelines():
+                self.running[key] = self.pipelines()[key]
+                self.running[key].resume(spark)
+        return sorted(changed)
+
     def save(self, spark: SparkSession, path: str) -> int:
         """Stores the configuration under path as a new version, and returns its number."""
         version = max(_versions(spark, path), default=0) + 1

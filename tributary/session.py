@@ -27,9 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one of this
+    machine if all executors are on it (a local master), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tributary.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share; the master is {master}")
         found = "file://" + tempfile.mkdtemp(prefix="tributary-")
         spark.conf.set("tributary.checkpoint.dir", found)
     return found.rstrip("/")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import json
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -19,9 +20,18 @@ CHANGE = (
 
 
 class Client(Protocol):
-    """What a driver of the database must do. Tokens are texts that order the feed; "" is its beginning."""
+    """What a driver of the database must do. Tokens are texts that order the feed.
 
-    def snapshot(self, options: dict[str, str]) -> Iterator[dict]: ...
+    parts() cuts the stored documents into parts for as many tasks; snapshot() reads one. start() is where a new reader
+    begins, latest() where the feed is now. changes() gives every event after one token up to another: it waits for
+    those that are late, and fails rather than leave any out.
+    """
+
+    def parts(self, options: dict[str, str], n: int) -> list[str]: ...
+
+    def snapshot(self, options: dict[str, str], part: str) -> Iterator[dict]: ...
+
+    def start(self, options: dict[str, str]) -> str: ...
 
     def latest(self, options: dict[str, str]) -> str: ...
 
@@ -29,14 +39,29 @@ class Client(Protocol):
 
 
 class PymongoClient:
-    """The client that pymongo makes, where it is installed."""
+    """The client that pymongo makes, where it is installed. A feed's tokens are its resume tokens, which sort by their text."""
 
     def _collection(self, options: dict[str, str]):
         pymongo = importlib.import_module("pymongo")
         return pymongo.MongoClient(options["uri"])[options["database"]][options["collection"]]
 
-    def snapshot(self, options: dict[str, str]) -> Iterator[dict]:
-        yield from self._collection(options).find(json.loads(options.get("filter", "{}")), json.loads(options["projection"]) if options.get("projection") else None)
+    def parts(self, options: dict[str, str], n: int) -> list[str]:
+        """Ranges of _id that hold about as many documents each, as the server's $bucketAuto finds them."""
+        if n < 2:
+            return ["{}"]
+        dumps = importlib.import_module("bson.json_util").dumps
+        buckets = list(self._collection(options).aggregate([{"$bucketAuto": {"groupBy": "$_id", "buckets": n}}], allowDiskUse=True))
+        edges = [None, *(b["_id"]["min"] for b in buckets[1:]), None]
+        return [dumps({k: v for k, v in (("$gte", a), ("$lt", b)) if v is not None}) for a, b in zip(edges, edges[1:], strict=False)]
+
+    def snapshot(self, options: dict[str, str], part: str) -> Iterator[dict]:
+        asked = json.loads(options.get("filter", "{}"))
+        if part != "{}":
+            asked = {"$and": [asked, {"_id": importlib.import_module("bson.json_util").loads(part)}]}
+        yield from self._collection(options).find(asked, json.loads(options["projection"]) if options.get("projection") else None)
+
+    def start(self, options: dict[str, str]) -> str:
+        return self.latest(options)
 
     def latest(self, options: dict[str, str]) -> str:
         with self._collection(options).watch(full_document="updateLookup") as feed:
@@ -44,11 +69,22 @@ class PymongoClient:
             return json.dumps(feed.resume_token)
 
     def changes(self, options: dict[str, str], after: str, upto: str) -> Iterator[dict]:
-        start = {"resume_after": json.loads(after)} if after else {}
-        with self._collection(options).watch(full_document="updateLookup", **start) as feed:
-            while (event := feed.try_next()) is not None:
+        sort = lambda token: token["_data"]
+        end, deadline = sort(json.loads(upto)), time.monotonic() + float(options.get("timeout", "60"))
+        with self._collection(options).watch(full_document="updateLookup", **({"resume_after": json.loads(after)} if after else {})) as feed:
+            while True:
+                event = feed.try_next()
+                if event is None:
+                    # Nothing just now: the feed has passed the end, or the event is still on its way.
+                    if feed.resume_token and sort(feed.resume_token) >= end:
+                        return
+                    if time.monotonic() > deadline:
+                        raise TimeoutError(f"the feed didn't reach {upto}")
+                    continue
+                if sort(event["_id"]) > end:
+                    return
                 yield event
-                if json.dumps(event["_id"]) >= upto:
+                if sort(event["_id"]) == end:
                     return
 
 
@@ -66,11 +102,16 @@ def _text(document: object) -> str:
 
 
 class _Snapshot(DataSourceReader):
+    """Stored documents, as many tasks at a time as the option partitions says."""
+
     def __init__(self, options: dict[str, str]):
         self.options = options
 
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(p) for p in client(self.options).parts(self.options, int(self.options.get("partitions", "1")))]
+
     def read(self, partition: InputPartition) -> Iterator[tuple[str]]:
-        for document in client(self.options).snapshot(self.options):
+        for document in client(self.options).snapshot(self.options, partition.value):
             yield (_text(document),)
 
 
@@ -80,13 +121,15 @@ class _Span(InputPartition):
 
 
 class _Feed(DataSourceStreamReader):
-    """Offsets are resume tokens, kept in the query's checkpoint: no change is lost, and none is read twice."""
+    """Offsets are resume tokens, kept in the query's checkpoint from its first batch on: no change is lost, and none is
+    read twice. A new query begins where the feed is when it starts, or at the option start_token, which a pipeline
+    takes before it reads what is stored, so that nothing falls between the two."""
 
     def __init__(self, options: dict[str, str]):
         self.options = options
 
     def initialOffset(self) -> dict:
-        return {"token": self.options.get("start_token", "")}
+        return {"token": self.options["start_token"] if "start_token" in self.options else client(self.options).start(self.options)}
 
     def latestOffset(self) -> dict:
         return {"token": client(self.options).latest(self.options)}

@@ -84,6 +84,17 @@ def _mongo(spark: SparkSession, spec: Spec) -> tuple[str, dict[str, str]]:
     return DocumentSource.name(), mongo_options(spec)
 
 
+def begin(spec: Spec) -> Spec:
+    """A source as it is when its pipeline starts: of a feed whose stored records come first, with the token from which
+    its live ones follow them."""
+    c = dict(spec.config)
+    if spec.type not in (*FEEDS, "mongodb") or "start_token" in c or not _FLAGS.get(c.get("load_initial_data", "").lower(), False):
+        return spec
+    from tributary.sources.documents import client
+
+    return Spec(spec.type, spec.name, spec.key, {**c, "start_token": client(c).start(c)})
+
+
 def _mongo_load(spark: SparkSession, spec: Spec) -> DataFrame | None:
     name, options = _mongo(spark, spec)
     return spark.read.format(name).options(**options).load().select("value") if options["load_initial_data"] == "true" else None
@@ -175,13 +186,14 @@ def _start(df: DataFrame, spec: Spec, writer: Callable):
 def _write_file(df: DataFrame, spec: Spec, streaming: bool):
     """Lines in the folder file_path; records without a payload are left out.
 
-    Stored records are appended under batch=initial. Each batch of a stream has a folder of its own, which is written
-    anew if the batch is tried again, so no line is lost or doubled. Readers of file_path find all of them.
+    Stored records are under batch=initial, written anew if the pipeline runs again. Each batch of a stream has a folder
+    of its own, which is written anew if the batch is tried again, so no line is lost or doubled. Readers of file_path
+    find all of them.
     """
     path, df = spec.need("file_path")["file_path"].rstrip("/"), df.where("value is not null").select("value")
     if streaming:
         return _start(df, spec, lambda w: w.foreachBatch(lambda batch, n: batch.write.mode("overwrite").text(f"{path}/batch={n}")))
-    df.write.mode("append").text(f"{path}/batch=initial")
+    df.write.mode("overwrite").text(f"{path}/batch=initial")
     return None
 
 

@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.sources.formats import retried
+
 
 def bulk_lines(rows: list[tuple[str, str]], index: str) -> str:
     """The body of a bulk request: for each (id, document) an update that inserts where there is nothing yet."""
@@ -28,9 +30,18 @@ def post(url: str, body: str, headers: dict[str, str]) -> None:
             raise OSError(f"bulk request failed: {answer.status}")
 
 
-def with_ids(df: DataFrame) -> DataFrame:
-    """(id, value): a document's _id, without documents that have none; of a repeated id the last in the batch's order."""
-    made = df.select(F.get_json_object("value", "$._id").alias("id"), "value", F.monotonically_increasing_id().alias("at")).where("id is not null")
+def with_ids(df: DataFrame, order: str | None = None) -> DataFrame:
+    """(id, value): a document's _id, without documents that have none; of a repeated id the one that is last by order.
+
+    order is a path in the documents, such as $.updatedAt; numbers sort as such, other values as texts, and equal ones
+    by the whole document, so a batch that is tried again sends the same. Without it the place in the batch decides,
+    which is the same again only if the batch is read in one order, as files are.
+    """
+    place = F.monotonically_increasing_id()
+    if order:
+        at = F.get_json_object("value", order)
+        place = F.struct(at.isNotNull(), at.try_cast("double"), at, "value")
+    made = df.select(F.get_json_object("value", "$._id").alias("id"), "value", place.alias("at")).where("id is not null")
     return made.groupBy("id").agg(F.max_by("value", "at").alias("value"))
 
 
@@ -39,12 +50,12 @@ def _sender(where: str | None) -> Callable[[str, str, dict[str, str]], None]:
     return getattr(importlib.import_module(module), name)
 
 
-def _in_bulk(df: DataFrame, size: int, send: Callable[[list], None]) -> None:
-    """send(rows) for every size rows of each partition, on the executors."""
+def _in_bulk(df: DataFrame, size: int, send: Callable[[list], None], tries: int = 5) -> None:
+    """send(rows) for every size rows of each partition, on the executors; a request that fails is tried again."""
 
     def work(rows: Iterator) -> None:
         while held := list(itertools.islice(rows, size)):
-            send(held)
+            retried(lambda held=held: send(held), tries)
 
     df.foreachPartition(work)
 
@@ -53,7 +64,7 @@ def send_lines(df: DataFrame, config: dict[str, str], size: int = 500) -> None:
     """Posts records to a url, one a line. At least once: a batch that is tried again is sent again."""
     url, where = config["url"], config.get("sender")
     headers = {k.removeprefix("header."): v for k, v in config.items() if k.startswith("header.")}
-    _in_bulk(df.where("value is not null").select("value"), size, lambda rows: _sender(where)(url, "\n".join(r["value"] for r in rows) + "\n", headers))
+    _in_bulk(df.where("value is not null").select("value"), size, lambda rows: _sender(where)(url, "\n".join(r["value"] for r in rows) + "\n", headers), int(config.get("tries", "5")))
 
 
 def write_documents(df: DataFrame, config: dict[str, str], size: int = 500) -> None:
@@ -62,7 +73,7 @@ def write_documents(df: DataFrame, config: dict[str, str], size: int = 500) -> N
     url = config.get("url", "http://localhost:9200").rstrip("/") + "/_bulk?refresh=true"
     headers = {"Authorization": f"ApiKey {config['api_key']}"} if config.get("api_key") else {}
     index, where = config["index_name"], config.get("sender")
-    _in_bulk(with_ids(df), size, lambda rows: _sender(where)(url, bulk_lines([(r["id"], r["value"]) for r in rows], index), headers))
+    _in_bulk(with_ids(df, config.get("order")), size, lambda rows: _sender(where)(url, bulk_lines([(r["id"], r["value"]) for r in rows], index), headers), int(config.get("tries", "5")))
 
 
 def dump_json(df: DataFrame, path: str) -> None:

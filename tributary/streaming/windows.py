@@ -110,6 +110,96 @@ def follows(df: DataFrame, by: str, order: list[str], kind: str, pattern: list[s
     return df.withColumn("__hit", F.coalesce(hit, F.lit(False))).where("__hit").drop("__hit")
 
 
+class Follows(StatefulProcessor):
+    """Keeps the last rows of a key, and gives out those at which the pattern of kinds began."""
+
+    def __init__(self, pattern: list[str], within_ms: int | None = None):
+        self.pattern, self.within_ms = pattern, within_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "kinds array<string>, ids array<long>, times array<long>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kinds, ids, times = (list(x) for x in self.held.get()) if self.held.exists() else ([], [], [])
+        new = pd.concat(list(rows)).sort_values(["at_ms", "id"])
+        found, n = [], len(self.pattern)
+        for kind, id_, at in zip(new["kind"].tolist(), new["id"].tolist(), new["at_ms"].tolist(), strict=True):
+            kinds, ids, times = [*kinds, kind][-n:], [*ids, id_][-n:], [*times, at][-n:]
+            if kinds == self.pattern and (self.within_ms is None or times[-1] - times[0] <= self.within_ms):
+                found.append(ids[0])
+        self.held.update((kinds, ids, times))
+        yield pd.DataFrame({"key": [key[0]] * len(found), "id": pd.Series(found, dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def follows_in_stream(events: DataFrame, pattern: list[str], within_ms: int | None = None) -> DataFrame:
+    """(key, id) of the rows at which a pattern begins: follows() for a stream of (key string, id long, kind string, at_ms long).
+
+    Rows of a key are put in order within a micro-batch, and follow those of earlier ones. The state is a key's last
+    rows, as many as the pattern has; the state store must be RocksDB's.
+    """
+    return events.select("key", "id", "kind", "at_ms").groupBy("key").transformWithStateInPandas(statefulProcessor=Follows(pattern, within_ms), outputStructType="key string, id long", outputMode="Append", timeMode="None")
+
+
+class Fields(StatefulProcessor):
+    """A sorted map and a list for each key: put, delete, get and range over the map's fields, append and all over the list."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.fields = handle.getMapState("fields", "field string", "value string", self.ttl_ms)
+        self.list = handle.getListState("list", "value string", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+            if r.op == "put":
+                self.fields.updateValue((r.field,), (r.value,))
+            elif r.op == "delete" and self.fields.containsKey((r.field,)):
+                self.fields.removeKey((r.field,))
+            elif r.op == "get" and self.fields.containsKey((r.field,)):
+                out.append((key[0], r.seq, r.field, self.fields.getValue((r.field,))[0]))
+            elif r.op == "range":  # from field on, before value
+                out += [(key[0], r.seq, f[0], v[0]) for f, v in sorted((tuple(f), tuple(v)) for f, v in self.fields.iterator()) if r.field <= f[0] < r.value]
+            elif r.op == "append":
+                self.list.appendValue((r.value,))
+            elif r.op == "all" and self.list.exists():
+                out += [(key[0], r.seq, str(i), v[0]) for i, v in enumerate(self.list.get())]
+        yield pd.DataFrame(out, columns=["key", "seq", "field", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_fields(requests: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """(key, seq, field, value): answers to a stream of (key, seq, op, field, value) over each key's map and list; ops are
+    those of Fields, in order of seq. The state store must be RocksDB's."""
+    return requests.groupBy("key").transformWithStateInPandas(statefulProcessor=Fields(ttl_ms), outputStructType="key string, seq long, field string, value string", outputMode="Append", timeMode="None" if ttl_ms is None else "ProcessingTime")
+
+
+def route_late(stream: DataFrame, ts: str, lateness: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows in time, late rows) of all that a stream has now, as tables under path: late is what comes in a later batch
+    than a row that is later by more than lateness. Spark drops such rows behind a watermark; here they are kept apart.
+
+    Each batch leaves the latest time so far beside its rows, written anew if the batch is tried again.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+
+    def write(batch: DataFrame, n: int) -> None:
+        marks = spark.read.schema("n long, top timestamp").option("recursiveFileLookup", "true").parquet(f"{path}/top") if n else None
+        top = marks.where(F.col("n") < n).agg(F.max("top")).first()[0] if n else None
+        late = F.lit(False) if top is None else F.coalesce(F.col(ts).cast("timestamp") < F.lit(top) - F.expr(f"interval {lateness}"), F.lit(False))
+        batch.withColumn("late", late).write.mode("overwrite").parquet(f"{path}/rows/{n}")
+        batch.agg(F.max(F.col(ts).cast("timestamp")).alias("top")).select(F.lit(n).cast("long").alias("n"), "top").write.mode("overwrite").parquet(f"{path}/top/{n}")
+
+    run_once(stream, write, f"{path}/checkpoint")
+    made = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema.fields)}, late boolean").option("recursiveFileLookup", "true").parquet(f"{path}/rows")
+    return made.where("not late").drop("late"), made.where("late").drop("late")
+
+
 def run_once(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over all that is there now, batch by batch, and ends. The checkpoint makes a rerun go on."""
     q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
