@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer, models, normalizers
 
@@ -24,7 +26,7 @@ def test_vocabulary_is_the_models():
 
 def test_edge_cases():
     texts = ["", " ", "   ", "a", " a  b ", "x" * 300, "\n\n\t", "▁▁x▁", "<s> <unk> <0x41>", "日本語 テキスト", "👩‍👩‍👧 é́ \x00\x85 ", "straße ẞ \U0001e4d0\U0001e4d1 z", "a b"]
-    assert [tokens.counter(PATH).count(t) for t in texts] == exact(tokens.read_vocabulary(PATH), texts)
+    assert [tokens.counter(PATH).count(t) for t in texts] == exact(tokens.unigram(PATH), texts)
 
 
 @pytest.mark.parametrize("byte_fallback", [True, False])
@@ -42,7 +44,7 @@ def test_sf(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     text = {r.doc_id: r.text for r in df.collect()}
     got = {r.doc_id: r.n_tokens for r in tokens.op9_tokens(spark, "/root/testdata/sf0.01").collect()}
-    assert [got[i] for i in text] == exact(tokens.read_vocabulary(PATH), list(text.values()))
+    assert [got[i] for i in text] == exact(tokens.unigram(PATH), list(text.values()))
 
 
 def test_nulls_and_repeats(spark):
@@ -53,8 +55,27 @@ def test_nulls_and_repeats(spark):
 
 
 def test_memory_of_words_is_bounded(monkeypatch):
-    of = tokens.Counter(tokens.read_vocabulary(PATH))
+    of = tokens.Counter(tokens.unigram(PATH))
     want = [of.count(f"word{i} other{i}") for i in range(50)]
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
-    of = tokens.Counter(tokens.read_vocabulary(PATH))
+    of = tokens.Counter(tokens.unigram(PATH))
     assert [of.count(f"word{i} other{i}") for i in range(50)] == want and len(of.seen) == 3
+
+
+def test_scores_are_log_probabilities():
+    vocab = tokens.unigram(PATH)
+    scores = dict(vocab)
+    assert [p for p, _ in vocab] == [p for p, _ in tokens.read_vocabulary(PATH)]
+    assert np.isclose(np.exp([s for _, s in vocab]).sum(), 1)
+    assert scores["▁t"] > scores["in"] > scores["ゼ"] > scores["</s>"]
+    assert tokens.log_probabilities([("<s>", 0.0), ("a", -1.0), ("b", -7.0)], 1) == [("<s>", pytest.approx(np.log(3 / 13))), ("a", pytest.approx(np.log(6 / 13))), ("b", pytest.approx(np.log(4 / 13)))]
+
+
+def test_counts_are_near_the_merge_tokenizers():
+    """The same pieces under merges give about as many tokens."""
+    import sentencepiece
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t]
+    of = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    merged, counted = (sum(x) for x in ([len(i) for i in of.encode(texts)], [tokens.counter(PATH).count(t) for t in texts]))
+    assert abs(counted - merged) < 0.02 * merged

@@ -129,13 +129,37 @@ def read_vocabulary(path: str) -> list[tuple[str, float]]:
     return out
 
 
+#: Added to a piece's place in the law by which its probability falls.
+OFFSET = 50
+
+
+def log_probabilities(vocab: list[tuple[str, float]], offset: float = OFFSET) -> list[tuple[str, float]]:
+    """The pieces, in their order, with log-probabilities by the law of Zipf and Mandelbrot: one over place and offset.
+
+    A merge vocabulary's scores only rank its pieces, so the place is that by score, then by id; pieces without a score
+    (0), which are controls and bytes, come last. Nothing is fitted: tokenizers are not trained here.
+    """
+    order = sorted(range(len(vocab)), key=lambda i: (vocab[i][1] == 0, -vocab[i][1], i))
+    weight = np.empty(len(vocab))
+    weight[order] = 1 / (np.arange(1, len(vocab) + 1) + offset)
+    return [(piece, float(x)) for (piece, _), x in zip(vocab, np.log(weight / weight.sum()), strict=True)]
+
+
+@lru_cache(maxsize=2)
+def unigram(path: str) -> list[tuple[str, float]]:
+    """The unigram vocabulary of a SentencePiece model file: its own scores if they are log-probabilities, those of
+    log_probabilities() if they are ranks, as a merge vocabulary's whole numbers are."""
+    vocab = read_vocabulary(path)
+    return log_probabilities(vocab) if all(s == int(s) for _, s in vocab) else vocab
+
+
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(read_vocabulary(path))
+    return Counter(unigram(path))
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(__row, id, n_chars, n_tokens) of each row, under the vocabulary and scores of the SentencePiece model in path.
+    """(__row, id, n_chars, n_tokens) of each row, under the unigram vocabulary that unigram() makes of the SentencePiece model in path.
 
     Count-only Viterbi over Aho-Corasick matches, exact to the tokenizer's ties. Words repeat, so each worker
     remembers a bounded number of them. Nothing is shuffled. Null and empty texts have 0 tokens; repeated rows each
@@ -154,7 +178,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", id: str = "doc_id
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    """Tokens of every document under the 32,000 pieces of a public vocabulary."""
+    """Tokens of every document under the 32,000 pieces of a public vocabulary, as a unigram model."""
     if vocabulary is None:
         import public_tokenizers
 
