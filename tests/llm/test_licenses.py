@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from tests.llm.oracle import same
 from tributary.llm import licenses
 
@@ -115,3 +117,25 @@ def test_odd_texts_against_sql(spark, tmp_path):
     names = [d[0] for d in want.description]
     got = licenses.op10_licenses(spark, str(tmp_path)).select(*names)
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("SPDX-License-Identifier: Apache-2.0 OR MIT", {"apache-2", "mit"}),
+        ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause", {"apache-2", "bsd-3-clause", "mit"}),
+        ("Dual licensed under MIT and Apache 2.0.", {"apache-2", "mit"}),
+        ("released under the MIT or GPLv3", {"gpl-3", "mit"}),
+        ("licensed under the MIT, Apache 2.0 or GPLv3 licenses", {"apache-2", "gpl-3", "mit"}),
+        ("License: MIT or Apache-2.0", {"apache-2", "mit"}),
+        ("GPL-3.0", {"gpl-3"}),
+        ("MPL-2.0 only", {"mpl-2"}),
+        ("GNU GPL version 3", {"gpl-3"}),
+        ("LGPL-2.1-or-later", {"lgpl-2"}),
+        ("the mit of an epic, and a general public", set()),
+        ("the software is provided as is, and permission notices", set()),
+    ],
+)
+def test_expressions_lists_and_bare_identifiers(text, labels):
+    _, places, found = licenses.scan(text.encode())
+    assert {m.label for m in found} | {x for _, x in places} == labels

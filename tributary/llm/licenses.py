@@ -33,12 +33,12 @@ _LICENSES = (
     ("bsd", "bsd(?: style)?", "bsd", "bsd"),
     ("0bsd", "(?:0bsd|zero clause bsd|bsd zero clause)", "0bsd", "bsd"),
     ("isc", "(?:isc|internet systems consortium)", "isc", ""),
-    ("gpl-1", "gnu general public licen[sc]e(?: version| v) ?1|gpl ?v?1(?: 0)?", "gpl 1 0", ""),
-    ("gpl-2", "gnu general public licen[sc]e(?: version| v) ?2|gpl ?v?2(?: 0)?", "gpl 2 0", ""),
-    ("gpl-3", "gnu general public licen[sc]e(?: version| v) ?3|gpl ?v?3(?: 0)?", "gpl 3 0", ""),
+    ("gpl-1", "gnu general public licen[sc]e(?: version| v) ?1|(?:gnu )?gpl ?(?:version |v ?)?1(?: 0)?", "gpl 1 0", ""),
+    ("gpl-2", "gnu general public licen[sc]e(?: version| v) ?2|(?:gnu )?gpl ?(?:version |v ?)?2(?: 0)?", "gpl 2 0", ""),
+    ("gpl-3", "gnu general public licen[sc]e(?: version| v) ?3|(?:gnu )?gpl ?(?:version |v ?)?3(?: 0)?", "gpl 3 0", ""),
     ("gpl", "gnu general public licen[sc]e|gnu gpl|gpl", "gpl", ""),
-    ("lgpl-2", "gnu (?:library|lesser) general public licen[sc]e(?: version| v) ?2(?: [01])?|lgpl ?v?2(?: [01])?", "lgpl 2 [01]", ""),
-    ("lgpl-3", "gnu lesser general public licen[sc]e(?: version| v) ?3|lgpl ?v?3(?: 0)?", "lgpl 3 0", ""),
+    ("lgpl-2", "gnu (?:library|lesser) general public licen[sc]e(?: version| v) ?2(?: [01])?|(?:gnu )?lgpl ?(?:version |v ?)?2(?: [01])?", "lgpl 2 [01]", ""),
+    ("lgpl-3", "gnu lesser general public licen[sc]e(?: version| v) ?3|(?:gnu )?lgpl ?(?:version |v ?)?3(?: 0)?", "lgpl 3 0", ""),
     ("lgpl", "gnu (?:library|lesser) general public licen[sc]e|gnu lgpl|lgpl", "lgpl", ""),
     ("agpl-3", "gnu affero general public licen[sc]e(?:(?: version| v) ?3)?|agpl ?v?3?(?: 0)?|gnu agpl", "agpl 3 0", ""),
     ("gfdl", "gnu free documentation licen[sc]e|gfdl", "gfdl 1 [123]", ""),
@@ -74,16 +74,26 @@ _LICENSES = (
     ("busl", "business source|busl", "busl 1 1", ""),
 )
 
-#: How a license is mentioned: pattern around its name {n} or its SPDX words {s}, keyword, priority, score.
+#: How a license is mentioned: pattern around its name {n}, its SPDX words {s}, any name {a} or any SPDX words {i}, keyword,
+#: priority, score. Of a list of licenses the first one is found as any other, the next ones by the rules of lists; of
+#: these only what comes after @ counts as the place, so that they don't suppress each other.
+_UNDER = "(?:licen[sc]ed|released|distributed|available|published|provided|covered|redistributed|offered|dual licen[sc]ed)"
 _MENTIONS = (
     ("spdx licen[sc]e identifier {s}(?: only| or later)?", "spdx", 100, 1.0),
+    ("spdx licen[sc]e identifier (?:{i})(?: only| or later)?(?:(?: and| or| with)+ (?:{i})(?: only| or later)?){{0,6}}(?: and| or| with)+ @ {s}(?: only| or later)?", "spdx", 99, 1.0),
     ("(?:opensource org|spdx org|choosealicense com) licen[sc]es {s}", "licenses", 95, 0.95),
-    ("(?:licen[sc]ed|released|distributed|available|published|provided|covered|redistributed) under (?:the )?(?:terms of )?(?:the )?(?:{n})(?: licen[sc]e)?", "under", 90, 0.95),
+    (_UNDER + " under (?:either )?(?:the )?(?:terms of )?(?:the )?(?:{n})(?: licen[sc]es?)?", "under", 90, 0.95),
+    (_UNDER + " under (?:either )?(?:both )?(?:the )?(?:terms of )?(?:the )?(?:{a})(?: licen[sc]es?)?(?:(?: and| or| the| either)* (?:{a})(?: licen[sc]es?)?){{0,4}}(?: and| or| the)* @ (?:{n})(?: licen[sc]es?)?", "under", 89, 0.9),
     ("(?:terms|conditions) of (?:the )?(?:{n})(?: licen[sc]e)?", "of", 70, 0.8),
     ("(?:{n}) licen[sc]e", "licen", 60, 0.8),
-    ("licen[sc]e (?:is |type |the )?(?:{n})", "licen", 50, 0.6),
+    ("licen[sc]es? (?:is |are |type |the )?(?:{n})", "licen", 50, 0.6),
+    ("licen[sc]es? (?:is |are |type |the )?(?:{a})(?:(?: and| or| the)+ (?:{a})){{0,4}}(?: and| or| the)+ @ (?:{n})", "licen", 49, 0.6),
     ("(?:see|read|refer to) (?:the )?(?:{n})(?: licen[sc]e)? (?:for|file|text|terms)", "", 40, 0.5),
 )
+#: An identifier with a number or a clause says enough by itself.
+_ALONE = ("(?:{n})(?: only| or later| or any later version)?", 30, 0.5)
+_ALONE_FOR = ("gpl-1", "gpl-2", "gpl-3", "lgpl-2", "lgpl-3", "agpl-3", "mpl-1", "mpl-2", "epl-1", "epl-2", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "0bsd", "cc0", "mit-0")
+_VERSIONED = {"agpl-3": "(?:gnu )?agpl ?(?:version |v ?)?3(?: 0)?", "mit-0": "mit 0", "0bsd": "0bsd", "cc0": "cc0 1 0", "bsd-2-clause": "bsd 2 clause|2 clause bsd", "bsd-3-clause": "bsd 3 clause|3 clause bsd", "bsd-4-clause": "bsd 4 clause|4 clause bsd"}
 
 #: Words of the licenses' own texts and notices: label, pattern, keyword, priority, score.
 _TEXTS = (
@@ -109,6 +119,63 @@ _TEXTS = (
     ("cc-by-nc", "creativecommons org licenses by nc", "creativecommons", 95, 0.95),
     ("cc-by-nc-sa", "creativecommons org licenses by nc sa", "creativecommons", 96, 0.95),
     ("cc-by-nc-nd", "creativecommons org licenses by nc nd", "creativecommons", 96, 0.95),
+    ("gpl-2", "gnu general public licen[sc]e as published by the free software foundation (?:either )?version 2", "free software foundation", 93, 0.98),
+    ("gpl-3", "gnu general public licen[sc]e as published by the free software foundation (?:either )?version 3", "free software foundation", 93, 0.98),
+    ("lgpl-2", "gnu (?:lesser|library) general public licen[sc]e as published by the free software foundation (?:either )?version 2", "free software foundation", 94, 0.98),
+    ("lgpl-3", "gnu lesser general public licen[sc]e as published by the free software foundation (?:either )?version 3", "free software foundation", 94, 0.98),
+    ("agpl-3", "gnu affero general public licen[sc]e as published by the free software foundation", "free software foundation", 94, 0.98),
+    ("gpl", "you should have received a copy of the gnu general public licen[sc]e", "received a copy", 79, 0.9),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e", "received a copy", 79, 0.9),
+    ("agpl-3", "you should have received a copy of the gnu affero general public licen[sc]e", "received a copy", 79, 0.9),
+    ("gpl", "gnu org licen[sc]es gpl", "gnu org", 78, 0.8),
+    ("lgpl", "gnu org licen[sc]es lgpl", "gnu org", 78, 0.8),
+    ("agpl-3", "gnu org licen[sc]es agpl", "gnu org", 78, 0.8),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e", "free documentation", 92, 0.98),
+    ("apache-2", "you may not use this file except in compliance with the licen[sc]e you may obtain a copy of the licen[sc]e at", "in compliance with the licen", 77, 0.7),
+    ("apache-1", "this product includes software developed by the apache (?:software foundation|group)", "apache", 76, 0.7),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission notice", 79, 0.9),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "as is", 60, 0.6),
+    ("mit", "opensource org licen[sc]es mit", "opensource org", 95, 0.95),
+    ("bsd", "opensource org licen[sc]es bsd", "opensource org", 94, 0.9),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source", 79, 0.9),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "redistributions in binary", 79, 0.9),
+    ("bsd", "use of this source code is governed by a bsd style licen[sc]e", "governed by", 80, 0.9),
+    ("mit", "use of this source code is governed by an mit style licen[sc]e", "governed by", 80, 0.9),
+    ("isc", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", "hereby granted", 80, 0.95),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at", "copy of the mpl", 92, 0.95),
+    ("mpl-2", "mozilla org mpl 2 0", "mozilla org", 93, 0.95),
+    ("mpl-1", "the contents of this file are subject to the mozilla public licen[sc]e version 1 [01]", "mozilla", 92, 0.95),
+    ("epl-1", "this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e v1 0", "accompanying materials", 92, 0.98),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e (?:v ?)?2(?: 0)?", "accompanying materials", 92, 0.98),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution licen[sc]e", "common development", 92, 0.98),
+    ("eupl", "licen[sc]ed under the eupl", "eupl", 92, 0.95),
+    ("artistic", "this package is free software you can redistribute it and or modify it under the same terms as perl itself", "perl itself", 80, 0.8),
+    ("artistic", "under the terms of the artistic licen[sc]e", "artistic", 92, 0.95),
+    ("boost", "distributed under the boost software licen[sc]e version 1 0", "boost", 92, 0.98),
+    ("boost", "boost org licen[sc]e 1 0", "boost org", 93, 0.95),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications", "granted to anyone", 80, 0.95),
+    ("zlib", "altered source versions must be plainly marked as such", "altered source", 79, 0.9),
+    ("wtfpl", "you just do what the fuck you want to", "do what the", 80, 0.95),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free", 80, 0.95),
+    ("cc0", "to the extent possible under law [^ ]+(?: [^ ]+){0,12} has waived all copyright and related (?:or|and) neighbou?ring rights", "under law", 80, 0.95),
+    ("cc-by", "this work is licen[sc]ed under a creative commons attribution [1-4] [05] international licen[sc]e", "creative commons", 92, 0.98),
+    ("cc-by-sa", "this work is licen[sc]ed under a creative commons attribution share ?alike [1-4] [05] international licen[sc]e", "creative commons", 92, 0.98),
+    ("cc-by-nc", "this work is licen[sc]ed under a creative commons attribution non ?commercial [1-4] [05] international licen[sc]e", "creative commons", 92, 0.98),
+    ("cc-by-nd", "this work is licen[sc]ed under a creative commons attribution no ?deriv(?:s|atives) [1-4] [05] international licen[sc]e", "creative commons", 92, 0.98),
+    ("ofl", "this font software is licen[sc]ed under the sil open font licen[sc]e version 1 1", "font software", 92, 0.98),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", "openssl project", 80, 0.9),
+    ("python", "python software foundation licen[sc]e version 2", "python software", 92, 0.95),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "written agreement", 81, 0.95),
+    ("odbl", "this [^ ]+(?: [^ ]+){0,8} is made available under the open database licen[sc]e", "open database", 92, 0.95),
+    ("pddl", "opendatacommons org licen[sc]es pddl", "opendatacommons", 95, 0.95),
+    ("odc-by", "opendatacommons org licen[sc]es by", "opendatacommons", 95, 0.95),
+    ("odbl", "opendatacommons org licen[sc]es odbl", "opendatacommons", 95, 0.95),
+    ("public-domain", "this (?:work|file|software|document) is (?:in|hereby placed in) the public domain", "public domain", 72, 0.85),
+    ("public-domain", "no copyright is claimed", "no copyright", 60, 0.6),
+    ("public-domain", "copyright has expired", "copyright has", 60, 0.5),
+    ("proprietary", "unauthori[sz]ed (?:copying|use|distribution|reproduction)(?: [^ ]+){0,12} (?:is )?(?:strictly )?prohibited", "unauthori", 46, 0.6),
+    ("proprietary", "may not be (?:copied|reproduced|distributed|used)(?: [^ ]+){0,10} without (?:the )?(?:prior |express |written )*permission", "may not be", 45, 0.6),
+    ("proprietary", "no part of this (?:publication|book|document|work) may be reproduced", "no part of this", 46, 0.6),
     ("proprietary", "proprietary and confidential|confidential and proprietary", "proprietary", 45, 0.6),
     ("all-rights-reserved", "all rights reserved", "all rights reserved", 10, 0.3),
 )
@@ -123,21 +190,33 @@ class Rule:
     score: float
 
 
+def _compiled(pattern: str) -> re.Pattern[bytes]:
+    """A pattern over words with a space before each and after the last; its group is what comes before the place."""
+    before, at, own = pattern.rpartition(" @ ")
+    return re.compile(f" ({before + at[:1]})(?:{own})(?= )".encode())
+
+
 @lru_cache(maxsize=1)
 def rules() -> list[Rule]:
     """All rules: each license in each kind of mention, and the licenses' texts; first those of the highest priority."""
     made = []
+    # Longer names first: of two that fit a place in a list the longer one is passed over as a whole.
+    some = sorted((name for _, name, _, _ in _LICENSES), key=len, reverse=True)
+    any_name, any_id = "|".join(some), "|".join(sorted((spdx for _, _, spdx, _ in _LICENSES), key=len, reverse=True))
     for label, name, spdx, keyword in _LICENSES:
         for mention, gate, priority, score in _MENTIONS:
             # Of two names that fit the same place the longer one counts, so it needs no priority of its own.
-            made.append((label, mention.format(n=name, s=spdx), (gate, keyword), priority, score))
+            made.append((label, mention.format(n=name, s=spdx, a=any_name, i=any_id), (gate, keyword), priority, score))
+        if label in _ALONE_FOR:
+            pattern, priority, score = _ALONE
+            made.append((label, pattern.format(n=_VERSIONED.get(label, name)), (keyword or label.partition("-")[0],), priority, score))
     made += [(label, pattern, (keyword,), priority, score) for label, pattern, keyword, priority, score in _TEXTS]
-    out = [Rule(label, re.compile(b" (?:" + pattern.encode() + b")(?= )"), tuple(k.encode() for k in keywords if k), priority, score) for label, pattern, keywords, priority, score in made]
+    out = [Rule(label, _compiled(pattern), tuple(k.encode() for k in keywords if k), priority, score) for label, pattern, keywords, priority, score in made]
     return sorted(out, key=lambda r: -r.priority)
 
 
 #: Without one of these no rule can match: the text isn't searched.
-GATES = tuple(x.encode() for x in ("licen", "spdx", "under the", "under ", "terms of", "conditions of", "see ", "read ", "refer to", "hereby granted", "redistribut", "advertising materials", "neither the name", "apache org", "unencumbered", "as is", "public domain", "creativecommons", "proprietary", "all rights reserved"))
+GATES = tuple(x.encode() for x in ("licen", "spdx", "under the", "under ", "terms of", "conditions of", "see ", "read ", "refer to", "hereby granted", "redistribut", "advertising materials", "neither the name", "apache org", "unencumbered", "as is", "public domain", "creativecommons", "proprietary", "all rights reserved", "gpl", "mpl", "epl", "bsd", "cc0", "mit 0", "gnu org", "mozilla org", "boost org", "opensource org", "opendatacommons", "altered source", "granted to anyone", "anyone is free", "do what the", "under law", "received a copy", "permission notice", "perl itself", "no copyright", "copyright has", "unauthori", "may not be", "no part of this", "accompanying materials", "includes software", "common development", "governed by"))
 
 
 @dataclass(frozen=True)
@@ -200,7 +279,7 @@ def scan(text: bytes | None) -> tuple[int, list[tuple[int, str]], list[Match]]:
                 start = last = 0
                 for m in r.pattern.finditer(joined):
                     start, last = start + joined.count(b" ", last, m.start()), m.start()
-                    found.append(Match(start, start + m[0].count(b" "), r.label, r.priority, r.score))
+                    found.append(Match(start + m[1].count(b" "), start + m[0].count(b" "), r.label, r.priority, r.score))
     return n, sorted(places), suppress(found)
 
 
@@ -240,8 +319,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_pattern(r: Rule) -> str:
     """A rule's pattern for RE2, which can't look ahead: words have two spaces between them there, and a match takes one
     on either side."""
-    held = r.pattern.pattern.decode().removeprefix(" (?:").removesuffix(")(?= )").replace("[^ ]", "\1").replace(" ?", "\2").replace(" ", "  ")
-    return " (?:" + held.replace("\1", "[^ ]").replace("\2", "(?:  )?") + ") "
+    held = r.pattern.pattern.decode().removeprefix(" ").removesuffix("(?= )").replace("[^ ]", "\1").replace(" ?", "\2").replace(" ", "  ")
+    return " " + held.replace("\1", "[^ ]").replace("\2", "(?:  )?") + " "
 
 
 def sql() -> str:
@@ -249,15 +328,15 @@ def sql() -> str:
     holds that one holds both, so it needn't be known which are kept."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     made = [(i, r.label, r.priority, r.score, _sql_pattern(r)) for i, r in enumerate(rules())]
-    made += [(len(made) + i, label, -1, 1.0, " " + phrase.replace(" ", "  ") + " ") for i, (phrase, label) in enumerate(BASE)]
+    made += [(len(made) + i, label, -1, 1.0, " ()" + phrase.replace(" ", "  ") + " ") for i, (phrase, label) in enumerate(BASE)]
     listed = ", ".join(f"({i}, {q(label)}, {priority}, {score}::double, {q(pattern)})" for i, label, priority, score, pattern in made)
     hits = " union all ".join(f"select r, {i} as rule from docs where regexp_matches(j, {q(pattern)})" for i, _, _, _, pattern in made)
     return f"""with words as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
 docs as (select *, '  ' || array_to_string(w, '  ') || '  ' as j from words),
 rules(rule, label, priority, score, pattern) as (values {listed}),
 hits as ({hits}),
-parts as (select r, rule, label, priority, score, regexp_extract_all(j, pattern) as ms, string_split_regex(j, pattern) as ps from hits join rules using (rule) join docs using (r)),
-found as (select r, label, priority, score, len(regexp_extract_all(array_to_string(list_transform(range(1, n), lambda i: ps[i] || ms[i]), '') || ps[n], '[^ ]+')) as a, len(regexp_extract_all(ms[n], '[^ ]+')) as size from (select *, unnest(range(1, len(ms) + 1)) as n from parts)),
+parts as (select r, rule, label, priority, score, regexp_extract_all(j, pattern) as ms, regexp_extract_all(j, pattern, 1) as gs, string_split_regex(j, pattern) as ps from hits join rules using (rule) join docs using (r)),
+found as (select r, label, priority, score, len(regexp_extract_all(array_to_string(list_transform(range(1, n), lambda i: ps[i] || ms[i]), '') || ps[n] || gs[n], '[^ ]+')) as a, len(regexp_extract_all(ms[n], '[^ ]+')) - len(regexp_extract_all(gs[n], '[^ ]+')) as size from (select *, unnest(range(1, len(ms) + 1)) as n from parts)),
 kept as (select * from found m where priority < 0 or not exists (select 1 from found k where k.r = m.r and k.priority >= 0 and k.a <= m.a and m.a + m.size <= k.a + k.size
   and (k.priority > m.priority or (k.priority = m.priority and (k.size > m.size or (k.size = m.size and (k.a < m.a or (k.a = m.a and k.label < m.label)))))))),
 told as (select r, count(*) filter (where priority < 0) as n_base, min(a) filter (where priority < 0) as first_word, max(a) filter (where priority < 0) as last_word, string_agg(distinct label, ',' order by label) filter (where priority < 0) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(score) as score from kept group by r)
