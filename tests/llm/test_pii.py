@@ -56,7 +56,7 @@ def test_base_spans(spark):
 def test_checksums_and_context(spark):
     got = {r.id: [(pii.NAMES[x.kind], CASES[r.id][x.start : x.end], x.score) for x in r.spans] for r in pii.find_pii(frame(spark)).collect() if r.id is not None}
     assert [x[1] for x in got[6] if x[0] == "iban"] == ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"]
-    assert [x[1] for x in got[7]] == ["123-45-6789"]
+    assert [x[1] for x in got[7]] == ["123-45-6789", "987-65-4321"]  # the third has no word nearby
     assert got[4][0][2] == 1.0
 
 
@@ -82,3 +82,30 @@ def test_sf_against_brute_force_and_sql(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_pii(df).collect() == [] and pii.redact(df).collect() == []
+
+
+def told(spark, *texts):
+    out = {r.id: r.spans for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    return [[(pii.NAMES[x.kind], t[x.start : x.end], x.score) for x in out[i]] for i, t in enumerate(texts)]
+
+
+def test_context_is_whole_words_on_both_sides(spark):
+    card = "4111111111111111"
+    got = told(
+        spark,
+        f"the hotel discarded {card}",
+        f"card {card}",
+        f"{card} is my credit line",
+        f"cards: {card}",
+        f"{card} {'x' * 60} card",
+        "the hotel is +49 30 1234567 89",
+        "+49 30 1234567 89 (mobile)",
+        f"a description of 10.1.2.3 and {card}",
+        f"card {card}, {card}",  # past one other match
+    )
+    assert [[s for _, _, s in x] for x in got] == [[0.7], [1.0], [1.0], [1.0], [0.7], [0.6], [0.9], [0.5, 0.7], [1.0, 1.0]]
+
+
+def test_an_iban_before_capital_words(spark):
+    got = told(spark, "BE68 5390 0754 7034 BIC KREDBEBB", "DE89370400440532013000EUR", "XX68539007547034", "NO9386011117947 OSLO", "BE68 5390 0754 7035 BIC")
+    assert [[(k, t) for k, t, _ in x if k == "iban"] for x in got] == [[("iban", "BE68 5390 0754 7034")], [("iban", "DE89370400440532013000")], [], [("iban", "NO9386011117947")], []]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.common import ROW, cut, documents, numbered, renamed, rows
-from tributary.llm.spans import Kind, joined, names_sql, places, places_sql, proposals, words
+from tributary.llm.spans import Kind, context, gated, joined, names_sql, places, places_sql, proposals
 
 _LOCAL, _LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 _EMAIL = rf"[{_LOCAL}]+@[{_LABEL}]+(\.[{_LABEL}]+)+"
@@ -14,7 +14,21 @@ _IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 _BYTE = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 _BYTES = rf"^{_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}$"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_IBAN = r"[A-Z][A-Z][0-9][0-9](\x20?[A-Z0-9][A-Z0-9][A-Z0-9][A-Z0-9]){2,7}(\x20?[A-Z0-9]{1,3})?"
+#: The lengths of ibans by country.
+IBAN_LENGTHS = """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27
+GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31
+MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20""".split()
+
+
+def _iban() -> str:
+    """As many letters and digits as the country has, with or without single spaces: what follows is not taken in."""
+    by_length: dict[int, list[str]] = {}
+    for x in IBAN_LENGTHS:
+        by_length.setdefault(int(x[2:]), []).append(x[:2])
+    return "(" + "|".join(f"({'|'.join(c)})[0-9][0-9]" + r"(\x20?[A-Z0-9])" + f"{{{n - 4}}}" for n, c in sorted(by_length.items())) + ")"
+
+
+_IBAN = _iban()
 _SSN = "[0-9]{3}-[0-9]{2}-[0-9]{4}"
 
 
@@ -64,16 +78,16 @@ _SQL_IBAN = f"""length({_SQL_IBAN_TEXT}) between 15 and 34 and (cast(cast(list_a
 #: In order of their listing. Java's patterns are possessive and start at the head of a run, so that long texts take
 #: linear time; they match what the plain ones in sql_pattern do.
 KINDS = [
-    Kind("email", rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[{_LABEL}]++(?:\.[{_LABEL}]++)++", _EMAIL, context=words("mail", "contact", "write to", "reach"), gate="@"),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _IP, lambda m: m.rlike(_BYTES), f"regexp_matches({{m}}, '{_BYTES}')", words("ip", "addr", "host", "server", "login from"), gate="."),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9]([\x20-]?[0-9])+", card_ok, _SQL_CARD, words("card", "visa", "master", "amex", "credit", "debit", "payment")),
-    Kind("phone", _PHONE, _PHONE, lambda m: F.length(digits(m)).between(10, 15), f"length({_SQL_DIGITS}) between 10 and 15", words("phone", "tel", "mobile", "call", "fax", "cell"), gate="+"),
-    Kind("iban", _IBAN, _IBAN, iban_ok, _SQL_IBAN, words("iban", "account", "bank", "konto")),
-    Kind("ssn", _SSN, _SSN, context=words("ssn", "social security", "social sec"), gate="-"),
+    Kind("email", rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[{_LABEL}]++(?:\.[{_LABEL}]++)++", _EMAIL, context=context("mail", "email", "contact", "write to", "reach"), gate=("@",)),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _IP, lambda m: m.rlike(_BYTES), f"regexp_matches({{m}}, '{_BYTES}')", context("ip", "address", "addr", "host", "server", "login from"), gate=(".",)),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9]([\x20-]?[0-9])+", card_ok, _SQL_CARD, context("card", "visa", "mastercard", "amex", "credit", "debit", "payment")),
+    Kind("phone", _PHONE, _PHONE, lambda m: F.length(digits(m)).between(10, 15), f"length({_SQL_DIGITS}) between 10 and 15", context("phone", "telephone", "tel", "mobile", "call", "fax", "cell"), gate=("+",)),
+    Kind("iban", _IBAN, _IBAN, iban_ok, _SQL_IBAN, context("iban", "account", "bank", "konto")),
+    Kind("ssn", _SSN, _SSN, context=context("ssn", "social security", "social sec"), gate=("-",)),
 ]
 NAMES = [k.name for k in KINDS]
 BASE = 4
-#: Score of a kind by itself, and what a context word in the 40 code points before it adds. Base kinds are always
+#: Score of a kind by itself, and what a context word in the 40 code points before or after it adds. Base kinds are always
 #: reported; the others from LEAST on, so an iban needs its checksum alone and an ssn a context word.
 SCORES, NEARBY, LEAST = [0.8, 0.5, 0.7, 0.6, 0.7, 0.2], 0.3, 0.5
 
@@ -87,11 +101,12 @@ def find_pii(df: DataFrame, text: str = "text", id: str = "doc_id", least: float
     """(__row, id, spans): for each row an array of (start, kind, end, score), kind being a number in KINDS.
 
     Expressions propose spans; Luhn's check confirms cards, mod-97 confirms ibans, ranges confirm addresses and phone
-    numbers; a context word shortly before a span raises its score. Spans of the base kinds (email, ip, card, phone)
+    numbers; a context word shortly before a span or after it, as a whole word, raises its score. Spans of the base kinds (email, ip, card, phone)
     are reported once confirmed, those of the others from a score of least on. Built-in functions only.
 
     Null texts are empty; rows without spans have an empty array; repeated rows each get one. An empty table gives an
-    empty result. Other columns are ignored, whatever their names.
+    empty result. Other columns are ignored, whatever their names. df is a stored table, read alike each time: rows are told
+    apart by their place in it.
     """
     found = places(proposals(rows(df, id=id, text=text), KINDS)).withColumn("score", _score())
     told = F.when(F.col("ok") & ((F.col("kind") < BASE) | (F.col("score") >= least)), F.struct("start", "kind", "end", "score"))
@@ -102,14 +117,14 @@ def redact(df: DataFrame, text: str = "text", id: str = "doc_id", least: float =
     """df, a stored table, with every span in its texts replaced by its kind in brackets, as [EMAIL]; overlapping spans go as one.
 
     Texts without a span stay as they are, nulls too; all rows and columns are kept. Texts that hold no match at all
-    aren't shuffled.
+    aren't shuffled. Repeated rows are changed alike; an empty table gives an empty result.
     """
     kept = numbered(df)
     t = f"c{df.columns.index(text)}"
     spans = cut(find_pii(df, text, id, least).where(F.size("spans") > 0).select(F.col(ROW).alias("of"), "spans"))
     may = F.lit(False)
     for k in KINDS:
-        may = may | ((F.col(t).contains(k.gate) if k.gate else F.lit(True)) & F.col(t).rlike(k.pattern))
+        may = may | (gated(k, F.col(t)) & F.col(t).rlike(k.pattern))
     may = F.coalesce(may, F.lit(False))
     hit = kept.where(may).hint("merge").join(spans, F.col(ROW) == F.col("of"), "left")
     label = F.array(*[F.lit(f"[{k.upper()}]") for k in NAMES])

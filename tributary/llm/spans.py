@@ -6,6 +6,7 @@ them: a text is split by the pattern, and a running sum over pieces and matches
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -30,7 +31,7 @@ class Kind:
     """One kind of span.
 
     pattern is Java's, sql_pattern RE2's; both find the same. ok and sql_ok test a match; context, if any, is looked
-    for in the code points before it. gate is a literal that every match holds: texts without it aren't searched.
+    for in the code points around it. gate holds literals of which every match has one: texts without any aren't searched.
     """
 
     name: str
@@ -39,23 +40,46 @@ class Kind:
     ok: Callable[[Column], Column] = field(default=lambda m: F.lit(True))
     sql_ok: str = "true"
     context: str | None = None
-    gate: str | None = None
+    gate: tuple[str, ...] = ()
 
 
-#: Code points before a match, back to the kind's match before it at most, in which its context words are looked for.
-BEFORE = 40
+#: Code points before a match, and after it, in which its context words are looked for, past one other match of its kind
+#: at most.
+AROUND = 40
+
+
+def context(*those: str) -> str:
+    """A pattern for one of these words, or its plural, in either case, as a whole word."""
+    return "(^|[^A-Za-z0-9])" + words(*those) + "[sS]?([^A-Za-z0-9]|$)"
+
+
+def gated(k: Kind, text: Column) -> Column:
+    """Whether a text has what every match of a kind needs."""
+    return functools.reduce(lambda a, b: a | b, [text.contains(g) for g in k.gate], F.lit(not k.gate))
 
 
 def proposals(df: DataFrame, kinds: list[Kind], id: str = "id", text: str = "text") -> DataFrame:
     """(__row, id, kind, i, gap, len, ok, near) for each match of each kind; one row of nulls for a row of df without any."""
     base = df.select(ROW, id, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
-    found = base.select(ROW, id, "__t", *[F.when(F.col("__t").contains(k.gate) if k.gate else F.lit(True), F.regexp_extract_all("__t", F.lit(k.pattern), F.lit(0))).alias(f"__m{i}") for i, k in enumerate(kinds)])
+    found = base.select(ROW, id, "__t", *[F.when(gated(k, F.col("__t")), F.regexp_extract_all("__t", F.lit(k.pattern), F.lit(0))).alias(f"__m{i}") for i, k in enumerate(kinds)])
+    found = found.select("*", *[F.when(F.size(f"__m{i}") > 0, F.split("__t", k.pattern, -1)).alias(f"__p{i}") for i, k in enumerate(kinds)])
 
     def located(i: int, k: Kind) -> Column:
-        near = (lambda p: F.substring(p, -BEFORE, BEFORE).rlike(k.context)) if k.context else (lambda p: F.lit(False))
-        one = lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), F.coalesce(k.ok(m), F.lit(False)).alias("ok"), near(p).alias("near"))
-        pairs = F.zip_with(F.slice(F.split("__t", k.pattern, -1), F.lit(1), F.size(f"__m{i}")), f"__m{i}", one)
-        named = F.transform(pairs, lambda x, at: F.struct(F.lit(i).alias("kind"), at.alias("i"), x["gap"].alias("gap"), x["len"].alias("len"), x["ok"].alias("ok"), x["near"].alias("near")))
+        ms, ps = F.col(f"__m{i}"), F.col(f"__p{i}")
+        some = lambda a, at: F.coalesce(F.get(a, at), F.lit(""))
+
+        def near(at: Column) -> Column:
+            if not k.context:
+                return F.lit(False)
+            before = F.concat(some(ps, at - 1), some(ms, at - 1), some(ps, at))
+            after = F.concat(some(ps, at + 1), some(ms, at + 1), some(ps, at + 2))
+            return F.substring(before, -AROUND, AROUND).rlike(k.context) | F.substring(after, 1, AROUND).rlike(k.context)
+
+        def one(m: Column, at: Column) -> Column:
+            ok = F.coalesce(k.ok(m), F.lit(False))
+            return F.struct(F.lit(i).alias("kind"), at.alias("i"), F.length(F.get(ps, at)).alias("gap"), F.length(m).alias("len"), ok.alias("ok"), F.when(ok, near(at)).otherwise(False).alias("near"))
+
+        named = F.transform(ms, one)
         none = F.array().cast("array<struct<kind:int,i:int,gap:int,len:int,ok:boolean,near:boolean>>")
         return F.when(F.size(f"__m{i}") > 0, named).otherwise(none)
 
@@ -80,9 +104,11 @@ def places_sql(kinds: list[Kind], table: str = "documents", id: str = "doc_id",
     q = lambda s: "'" + s.replace("'", "''") + "'"
     arms = []
     for i, k in enumerate(kinds):
-        near = f"regexp_matches(right(ps[n], {BEFORE}), {q(k.context)})" if k.context else "false"
+        side = lambda *parts: " || ".join(f"coalesce({p}, '')" for p in parts)
+        before, after = side("case when n > 1 then ps[n - 1] end", "case when n > 1 then ms[n - 1] end", "ps[n]"), side("ps[n + 1]", "ms[n + 1]", "ps[n + 2]")
+        near = f"regexp_matches(right({before}, {AROUND}), {q(k.context)}) or regexp_matches(left({after}, {AROUND}), {q(k.context)})" if k.context else "false"
         arms.append(f"""
-    select r, {i} as kind, list_sum(list_transform(ps[1:n], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:n - 1], lambda x: length(x))), 0) as start, length(ms[n]) as len, ms[n] as m, {near} as near, {k.sql_ok.replace("{m}", "ms[n]")} as ok
+    select r, {i} as kind, list_sum(list_transform(ps[1:n], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:n - 1], lambda x: length(x))), 0) as start, length(ms[n]) as len, ms[n] as m, ({near}) as near, {k.sql_ok.replace("{m}", "ms[n]")} as ok
     from (select r, ms, ps, unnest(range(1, len(ms) + 1)) as n from (select r, regexp_extract_all(t, {q(k.sql_pattern)}) as ms, string_split_regex(t, {q(k.sql_pattern)}) as ps from docs))""")
     return f"""docs as (select row_number() over () as r, {id} as id, coalesce({text}, '') as t from {table}),
 spans as (select r, kind, start, start + len as "end", ok, near from ({' union all '.join(arms)}))"""
