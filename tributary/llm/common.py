@@ -21,7 +21,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again. The lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tributary/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # While it runs, batches of 1024 rows go to Python, so that a worker holds little; the session's own setting holds again after.
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(min(1024, int(was)) if int(was) > 0 else 1024))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._tributary_path = path
     if _SCOPES:

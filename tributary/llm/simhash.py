@@ -375,8 +375,8 @@ def neighbours(met: DataFrame, apart: int) -> DataFrame:
     next to each other or next but one in their sig: as many as there are rows, twice at most."""
     w = Window.partitionBy("sig").orderBy("f0", "node")
     of = lambda k: F.struct(*[F.lag(c, k).over(w).alias(c) for c in ("node", "comp", "f0", "f1")])
-    placed = met.select("node", "comp", "f0", "f1", of(1).alias("one"), of(2).alias("two"))
-    near = placed.select("node", "comp", "f0", "f1", F.explode(F.array("one", "two")).alias("x")).where(f"x.comp <> comp and {_apart('', 'x.', 2)} <= {apart}")
+    placed = met.select("node", "comp", "f0", "f1", F.array(of(1), of(2)).alias("beside"))
+    near = placed.select("node", F.explode(F.expr(f"filter(beside, x -> x.comp <> comp and {_apart('', 'x.', 2)} <= {apart})")).alias("x"))
     return near.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
 
 
