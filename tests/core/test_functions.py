@@ -163,3 +163,25 @@ def test_random_json_both_ways(spark):
     docs = [{"d": make()} for _ in range(60)]
     df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, t string")
     assert [json.loads(r[0]) for r in df.orderBy("i").select(J.upper_json(F.col("t"))).collect()] == [upper(d) for d in docs]
+
+
+def test_outcomes_as_json(spark):
+    rows = [(1, 2, "", 1234.0), (0, 5, "went wrong", 0.5), (0, 0, None, None)]
+    made = J.execute_rows(spark.createDataFrame(rows, "last_insert_id long, rows_affected long, error string, time double"))
+    assert [r.row for r in made.collect()] == ['{"last_insert_id":1,"rows_affected":2,"time":1234}', '{"rows_affected":5,"error":"went wrong","time":0.5}', "{}"]
+    assert J.render_result({"rows_affected": 3, "error": "", "time": 2.0}) == '{"rows_affected":3,"time":2}'
+    assert J.render_result({"rows_affected": 3}, associative=True) == '{"rows_affected":3,"rows":null}'
+    assert J.render_result("bad") == '{"error":"bad"}'
+    assert J.render_result(spark.sql("select 7 as n")) == '{"columns":["n"],"types":["integer"],"values":[[7]]}'
+    with pytest.raises(ValueError):
+        J.render_result("")
+
+
+def test_requests(spark):
+    ask = lambda *sql, **kw: statements.run_request(spark, statements.Request([statements.Statement(s) for s in sql], **kw))
+    plain = ask("select 1 as a", "select nothing", "select 2 as b", timings=True)
+    assert plain[0]["rows"] == [(1,)] and "error" in plain[1] and plain[2]["columns"] == ["b"] and all(r["time"] > 0 for r in plain)
+    assert len(ask("select nothing", "select 2 as b", transaction=True)) == 1
+    slow = "select count(*) from (select explode(sequence(1, 3000)) a) x cross join (select explode(sequence(1, 3000)) b) y cross join (select explode(sequence(1, 3000)) c) z where hash(a, b, c) = 7"
+    assert ask(slow, timeout=1.0)[0]["error"] == "timeout"
+    assert "time" not in ask("select 1 as a")[0]

@@ -1,13 +1,19 @@
 import json
+import os
 import shutil
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from tributary.operators.transforms import Step
 from tributary.plans.pipeline import Pipeline, Registry, create_pipeline, status
+from tributary.session import shared_dir
 from tributary.sources import registry, sinks
-from tributary.sources.registry import Spec
+from tributary.sources.documents import PymongoClient
+from tributary.sources.registry import Spec, begin, source
+from tributary.sources.sinks import with_ids
 
 KAFKA = {"bootstrap_servers": "b:9092", "group": "g", "topic": "t"}
 
@@ -60,7 +66,7 @@ def test_file_to_file_in_batch(spark, tmp_path):
     assert p.run(spark) is None
     assert lines(spark, out) == ["NULL", '{"A":"X"}', '{"A":"Y"}']
     p.run(spark)
-    assert len(lines(spark, out)) == 6  # appends
+    assert len(lines(spark, out)) == 3  # stored records are written anew, not doubled
     assert p.close() is False
 
 
@@ -145,3 +151,112 @@ def test_configurations_are_kept_by_version(spark, tmp_path):
     assert Registry.load(spark, path) == one and Registry.load(spark, path, 1).keys == ["a"]
     with pytest.raises(KeyError):
         Registry.load(spark, path, 9)
+
+
+def test_stored_documents_are_read_in_parts(spark, tmp_path):
+    feed = f"{tmp_path}/feed"
+    open(feed, "w").close()
+    config = {"uri": feed, "database": "d", "collection": "c", "load_initial_data": "true", "client": "tests.core.fakes:database", "partitions": "3"}
+    load = source(Spec("mongodb", "m", "k", config))[1][0](spark, Spec("mongodb", "m", "k", config))
+    assert load.rdd.getNumPartitions() == 3
+    assert sorted(json.loads(r.value)["_id"] for r in load.collect()) == [0, 1, 2]
+
+
+class Feed:
+    """A change stream that has nothing now and then, as a database's has."""
+
+    def __init__(self, events, at):
+        self.events, self.at, self.calls, self.resume_token = events, at, 0, {"_data": f"{at:04d}"}
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+    def try_next(self):
+        self.calls += 1
+        if self.calls % 2 or self.at >= len(self.events):
+            return None
+        self.at += 1
+        self.resume_token = {"_data": f"{self.at:04d}"}
+        return {"_id": self.resume_token, "fullDocument": self.events[self.at - 1]}
+
+
+def test_a_feed_that_pauses_loses_nothing(monkeypatch):
+    events = list(range(7))
+
+    class Collection:
+        def watch(self, full_document, resume_after=None):
+            return Feed(events, int(resume_after["_data"]) if resume_after else len(events))
+
+    made = PymongoClient()
+    monkeypatch.setattr(made, "_collection", lambda options: Collection())
+    assert json.loads(made.start({})) == {"_data": "0007"}
+    token = lambda i: json.dumps({"_data": f"{i:04d}"})
+    read = lambda a, b: [e["fullDocument"] for e in made.changes({"timeout": "0.2"}, token(a), token(b))]
+    assert read(0, 7) == events and read(2, 5) == [2, 3, 4] and read(5, 7) == [5, 6] and read(3, 3) == []
+    with pytest.raises(TimeoutError):
+        read(5, 9)
+
+
+def test_live_records_follow_stored_ones():
+    spec = Spec("mongodb", "m", "k", {"uri": "u", "database": "d", "collection": "c", "load_initial_data": "true", "client": "tests.core.fakes:database"})
+    assert begin(spec).config["start_token"] == "" and begin(begin(spec)) == begin(spec)
+    assert begin(Spec("file", "f", "k", {"path": "p"})) == Spec("file", "f", "k", {"path": "p"})
+
+
+def test_repeated_ids_are_settled_by_an_order(spark):
+    rows = [('{"_id":"a","at":2,"v":"new"}',), ('{"_id":"a","at":10,"v":"newest"}',), ('{"_id":"a","v":"none"}',), ('{"_id":"b","at":1}',), ("{}",)]
+    df = spark.createDataFrame(rows, "value string")
+    for part in (df, df.repartition(4), df.orderBy("value")):
+        assert {r.id: json.loads(r.value).get("v") for r in with_ids(part, "$.at").collect()} == {"a": "newest", "b": None}
+
+
+def test_a_changed_configuration_is_taken_while_pipelines_run(spark, tmp_path):
+    src = f"{tmp_path}/in"
+    spark.createDataFrame([('{"n":1}',)], "value string").write.text(src)
+    raw = lambda out: {"sources": [{"type": "file", "name": "s", "key": "k", "config": {"path": src, "stream": "true", "schema": "value string"}}], "sinks": [{"type": "file", "name": "o", "key": "k", "config": {"file_path": f"{tmp_path}/{out}", "checkpoint": f"{tmp_path}/ck"}}]}
+    registry = Registry.parse(raw("one"))
+    registry.run(spark, "k")
+    assert registry.reload(spark, raw("one")) == []
+    spark.createDataFrame([('{"n":2}',)], "value string").write.mode("append").text(src)
+    assert registry.reload(spark, raw("two")) == ["k"]
+    registry.running["k"]._query.awaitTermination()
+    assert [lines(spark, f"{tmp_path}/{x}") for x in ("one", "two")] == [['{"n":1}'], ['{"n":2}']]
+    registry.running["k"].pause()
+    spark.createDataFrame([('{"n":3}',)], "value string").write.mode("append").text(src)
+    registry.running["k"].resume(spark, wait=True)
+    assert lines(spark, f"{tmp_path}/two") == ['{"n":2}', '{"n":3}']
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Fake:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Fake)
+    Fake.conf["spark.master"] = "local[4]"
+    assert shared_dir(Fake) == shared_dir(Fake)
+
+
+def test_entry_without_a_library_of_the_optional_operators(tmp_path):
+    """A missing library leaves the optional queries out, with a warning; all others are there."""
+    code = (
+        "import sys, warnings\n"
+        "class Block:\n"
+        "    def find_spec(self, name, *_):\n"
+        "        if name.split('.')[0] in ('xxhash', 'ahocorasick', 'zstandard'): raise ModuleNotFoundError(name, name=name)\n"
+        "sys.meta_path.insert(0, Block())\n"
+        "warnings.simplefilter('always')\n"
+        "import __spark_entry__ as e\n"
+        "print(len(e.queries()), any(q.startswith('op1_') for q in e.queries()))\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    n, has = said.stdout.split()[-2:]
+    assert int(n) >= 90 and has == "False", said.stderr

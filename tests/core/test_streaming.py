@@ -1,5 +1,8 @@
+import time
+
 from pyspark.sql import functions as F
 
+from tributary.operators import kv
 from tributary.streaming import windows
 
 D = "/root/testdata/sf0.001"
@@ -76,3 +79,46 @@ def test_patterns(spark):
     df = spark.createDataFrame(rows, "u string, i long, k string").withColumn("ts", F.timestamp_seconds(F.col("i") * 10))
     assert sorted(r.i for r in windows.follows(df, "u", ["i"], "k", ["a", "b", "c"]).collect()) == [0, 6]
     assert windows.follows(df, "u", ["i"], "k", ["a", "b", "c"], "ts", "15 seconds").collect() == []
+
+
+def test_a_pattern_across_batches(spark, tmp_path):
+    batch, stream = ordered_files(spark, tmp_path)
+    events = stream.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.unix_millis("ts").alias("at_ms"))
+    with kv.stored_in(spark, "rocksdb"):
+        got = collect(windows.follows_in_stream(events, ["view", "click"], 3_600_000 * 24), tmp_path)
+    want = windows.follows(batch.withColumn("ts", F.timestamp_millis(F.unix_millis("ts"))), "user_id", ["ts", "event_id"], "event_type", ["view", "click"], "ts", "24 hours")
+    assert sorted(r.id for r in got) == sorted(r.event_id for r in want.collect()) and got
+
+
+def test_maps_and_lists_by_key(spark, tmp_path):
+    rows = [
+        [("k", 1, "put", "b", "1"), ("k", 2, "put", "a", "0"), ("k", 3, "get", "b", None), ("j", 4, "get", "b", None)],
+        [("k", 5, "put", "c", "2"), ("k", 6, "range", "a", "c"), ("k", 7, "delete", "a", None), ("k", 8, "get", "a", None), ("k", 9, "append", None, "x")],
+        [("k", 10, "append", None, "y"), ("k", 11, "all", None, None), ("k", 12, "range", "a", "z"), ("j", 13, "all", None, None)],
+    ]
+    schema = "key string, seq long, op string, field string, value string"
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/requests")
+        time.sleep(1.1)  # files are read in order of their time
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/requests")
+    with kv.stored_in(spark, "rocksdb"):
+        got = collect(windows.keyed_fields(stream), tmp_path)
+    assert sorted((r.seq, r.key, r.field, r.value) for r in got) == [(3, "k", "b", "1"), (6, "k", "a", "0"), (6, "k", "b", "1"), (11, "k", "0", "x"), (11, "k", "1", "y"), (12, "k", "b", "1"), (12, "k", "c", "2")]
+
+
+def test_late_rows_are_kept_apart(spark, tmp_path):
+    for hours in ([0, 5, 3], [4, 6, 1], [2, 9]):
+        spark.createDataFrame([(h, f"2024-01-01 {h:02d}:00:00") for h in hours], "h int, t string").selectExpr("h", "cast(t as timestamp) as ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)
+    stream = spark.readStream.schema("h int, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    on_time, late = windows.route_late(stream, "ts", "2 hours", f"{tmp_path}/out")
+    assert sorted(r.h for r in on_time.collect()) == [0, 3, 4, 5, 6, 9] and sorted(r.h for r in late.collect()) == [1, 2]
+    assert on_time.columns == ["h", "ts"]
+
+
+def test_the_sessions_store_holds_again(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key)
+    with kv.stored_in(spark, "rocksdb"):
+        assert "RocksDB" in spark.conf.get(key)
+    assert spark.conf.get(key) == was

@@ -96,8 +96,8 @@ def run_request(spark: SparkSession, request: Request, most: int = 10_000) -> li
     for s in request.statements:
         began, tag = time.perf_counter(), f"statement-{uuid.uuid4().hex}"
         late = threading.Event()
-        timer = threading.Timer(request.timeout, lambda tag=tag, late=late: (late.set(), spark.interruptTag(tag))) if request.timeout else None
-        spark.addTag(tag)
+        timer = threading.Timer(request.timeout, lambda tag=tag, late=late: (late.set(), spark.sparkContext.cancelJobsWithTag(tag))) if request.timeout else None
+        spark.sparkContext.addJobTag(tag)
         try:
             if timer:
                 timer.start()
@@ -107,7 +107,7 @@ def run_request(spark: SparkSession, request: Request, most: int = 10_000) -> li
         except (PySparkException, ValueError, Py4JJavaError) as e:
             made = {"error": "timeout" if late.is_set() else str(e).strip().partition("\n")[0]}
         finally:
-            spark.removeTag(tag)
+            spark.sparkContext.removeJobTag(tag)
             if timer:
                 timer.cancel()
         if request.timings:

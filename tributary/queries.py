@@ -265,11 +265,11 @@ def log_append(spark, d):
     return kv.append(log, every, path)
 
 
-@query("select s_suppkey as id, '{' || case when s_suppkey % 2 = 1 then '\"last_insert_id\":' || s_suppkey || ',' else '' end || '\"rows_affected\":' || (s_suppkey + 1) || case when s_suppkey % 3 = 0 then ',\"error\":\"went wrong\"' else '' end || ',\"time\":' || (s_suppkey * 10) || '}' as row from supplier")
+@query("select s_suppkey as id, '{' || case when s_suppkey % 2 = 1 then '\"last_insert_id\":' || s_suppkey || ',' else '' end || '\"rows_affected\":' || (s_suppkey + 1) || case when s_suppkey % 3 = 0 then ',\"error\":\"went wrong\"' else '' end || ',\"time\":' || ((s_suppkey + 1) * 10) || '}' as row from supplier")
 def rows_execute_json(spark, d):
     """Outcomes of statements as JSON, without what is empty."""
     k = F.col("s_suppkey")
-    made = table(spark, d, "supplier").select(k.alias("id"), F.when(k % 2 == 1, k).otherwise(0).alias("last_insert_id"), (k + 1).alias("rows_affected"), F.when(k % 3 == 0, "went wrong").otherwise("").alias("error"), (k * 10).cast("double").alias("time"))
+    made = table(spark, d, "supplier").select(k.alias("id"), F.when(k % 2 == 1, k).otherwise(0).alias("last_insert_id"), (k + 1).alias("rows_affected"), F.when(k % 3 == 0, "went wrong").otherwise("").alias("error"), ((k + 1) * 10).cast("double").alias("time"))
     rows = J.execute_rows(made)
     return rows.select(F.coalesce(F.get_json_object("row", "$.last_insert_id"), F.get_json_object("row", "$.rows_affected").cast("long") - 1).cast("long").alias("id"), "row")
 

@@ -128,7 +128,8 @@ class Follows(StatefulProcessor):
             if kinds == self.pattern and (self.within_ms is None or times[-1] - times[0] <= self.within_ms):
                 found.append(ids[0])
         self.held.update((kinds, ids, times))
-        yield pd.DataFrame({"key": [key[0]] * len(found), "id": pd.Series(found, dtype="int64")})
+        if found:
+            yield pd.DataFrame({"key": pd.Series([key[0]] * len(found), dtype=object), "id": pd.Series(found, dtype="int64")})
 
     def close(self) -> None:
         pass
@@ -168,7 +169,8 @@ class Fields(StatefulProcessor):
                 self.list.appendValue((r.value,))
             elif r.op == "all" and self.list.exists():
                 out += [(key[0], r.seq, str(i), v[0]) for i, v in enumerate(self.list.get())]
-        yield pd.DataFrame(out, columns=["key", "seq", "field", "value"])
+        if out:
+            yield pd.DataFrame({c: pd.Series(v, dtype="int64" if c == "seq" else object) for c, v in zip(("key", "seq", "field", "value"), zip(*out, strict=True), strict=True)})
 
     def close(self) -> None:
         pass
