@@ -82,7 +82,7 @@ KINDS = [
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _IP, lambda m: m.rlike(_BYTES), f"regexp_matches({{m}}, '{_BYTES}')", context("ip", "address", "addr", "host", "server", "login from"), gate=(".",)),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9]([\x20-]?[0-9])+", card_ok, _SQL_CARD, context("card", "visa", "mastercard", "amex", "credit", "debit", "payment")),
     Kind("phone", _PHONE, _PHONE, lambda m: F.length(digits(m)).between(10, 15), f"length({_SQL_DIGITS}) between 10 and 15", context("phone", "telephone", "tel", "mobile", "call", "fax", "cell"), gate=("+",)),
-    Kind("iban", _IBAN, _IBAN, iban_ok, _SQL_IBAN, context("iban", "account", "bank", "konto")),
+    Kind("iban", "(?=[A-Z][A-Z][0-9][0-9])" + _IBAN, _IBAN, iban_ok, _SQL_IBAN, context("iban", "account", "bank", "konto")),
     Kind("ssn", _SSN, _SSN, context=context("ssn", "social security", "social sec"), gate=("-",)),
 ]
 NAMES = [k.name for k in KINDS]

@@ -482,7 +482,8 @@ def near_duplicates_out(df: DataFrame, text: str = "text", id: str = "doc_id", s
         chosen = nodes.select(F.col(f"first.{ROW}").alias("of"))
         if n > 1:
             own = cut(marked.hint("merge").join(nodes.select("node"), F.col(ROW) == F.col("node")).select("node", *names, "keys"))
-            close = links(own.select("node", "f0", "f1"), n, k, words=2)
+            # Each step that works in Python is written before the next one, so that a task never has two workers.
+            close = cut(links(own.select("node", "f0", "f1"), n, k, words=2))
             comps = cut(_classes(nodes, close))
             limit = bit_limit(BITS * words, similarity, 2.8)
             table = F.posexplode("keys").alias("table", "key")
@@ -491,7 +492,7 @@ def near_duplicates_out(df: DataFrame, text: str = "text", id: str = "doc_id", s
             several = lambda df: df.select("*", F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi")).where("lo <> hi").drop("lo", "hi")
             met = cut(several(data))
             known = lambda: comps.where("node <> comp").toDF("a", "b")
-            verified = lambda pairs: jaccard_links(pairs, texts, similarity, shingle, seed)
+            verified = lambda pairs: cut(jaccard_links(pairs, texts, similarity, shingle, seed))
             # Neighbours first, if they look close enough: they join most of a group, however large it is.
             near = cut(neighbours(met, bit_limit(2 * BITS, similarity, 1)))
             comps = cut(_classes(nodes, known().unionByName(verified(near))))
