@@ -1,8 +1,11 @@
+import http.server
 import json
 import os
 import shutil
 import subprocess
 import sys
+import threading
+import urllib.parse
 
 import pytest
 from pyspark.sql import functions as F
@@ -260,3 +263,30 @@ def test_entry_without_a_library_of_the_optional_operators(tmp_path):
     said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     n, has = said.stdout.split()[-2:]
     assert int(n) >= 90 and has == "False", said.stderr
+
+
+def test_records_of_a_web_service(spark, tmp_path):
+    """A first load in parts, then live records; what comes in between is read once."""
+    held = [json.dumps({"n": i}) for i in range(1, 8)]
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: int(v[0]) for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query).items()}
+            body = str(len(held)) if "latest" in q else "\n".join(held[q["after"] : q["upto"]])
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    config = {"url": f"http://127.0.0.1:{server.server_port}/records", "load_initial_data": "true", "partitions": "3", "max_records": "2"}
+    p = Pipeline(Spec("http", "s", "k", config), Spec("file", "o", "k", {"file_path": f"{tmp_path}/out", "checkpoint": f"{tmp_path}/ck"}))
+    p.run(spark)
+    assert sorted(json.loads(x)["n"] for x in lines(spark, f"{tmp_path}/out")) == list(range(1, 8))
+    held += [json.dumps({"n": i}) for i in (8, 9)]
+    p.resume(spark, wait=True)
+    server.shutdown()
+    assert sorted(json.loads(x)["n"] for x in lines(spark, f"{tmp_path}/out")) == list(range(1, 10))

@@ -30,17 +30,17 @@ def _human(n: Column, base: int, names: tuple[str, ...]) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """A size with units of 1000: 82854982 is 83 MB. Null for null."""
+    """A size with units of 1000: 7350000 is 7.4 MB. Null for null."""
     return _human(n, 1000, SI)
 
 
 def human_bytes_iec(n: Column) -> Column:
-    """A size with units of 1024: 82854982 is 79 MiB."""
+    """A size with units of 1024: 7350000 is 7.0 MiB."""
     return _human(n, 1024, IEC)
 
 
 def parse_bytes(text: Column) -> Column:
-    """The bytes that a size says, as decimal(20, 0): 42 MB is 42000000, 42 mib 44040192. Commas in the number don't
+    """The bytes that a size says, as decimal(20, 0): 3 kB is 3000, 3 kib 3072. Commas in the number don't
     count. Null where the number or the unit is wrong or the size doesn't fit 64 bits."""
     number = F.regexp_extract(text, r"^([0-9.,]*)", 1)
     value = F.replace(number, F.lit(","), F.lit("")).try_cast("double")

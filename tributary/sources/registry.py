@@ -92,6 +92,8 @@ def begin(spec: Spec) -> Spec:
         return spec
     from tributary.sources.documents import client
 
+    if spec.type == "http":
+        c = {"client": HTTP_CLIENT, **c}
     return Spec(spec.type, spec.name, spec.key, {**c, "start_token": client(c).start(c)})
 
 
@@ -150,7 +152,9 @@ def _memory_load(spark: SparkSession, spec: Spec) -> DataFrame:
 
 
 #: Services that are read through a client that the option client names as module:factory (sources/documents.py says
-#: what it does). Their records are texts; the client's tokens are the offsets.
+#: what it does). Their records are texts; the client's tokens are the offsets. http has a client of its own
+#: (sources/http.py), the others need their service's library and so one that the user names.
+HTTP_CLIENT = "tributary.sources.http:client"
 FEEDS = ("http", "webhook", "rabbitmq", "sqs", "pulsar", "kinesis", "pubsub", "postgresql_cdc")
 
 
@@ -158,6 +162,9 @@ def _feed(spark: SparkSession, spec: Spec):
     from tributary.sources.documents import DocumentSource
 
     spark.dataSource.register(DocumentSource)
+    c = dict(spec.need("url")) if spec.type == "http" else {}
+    if spec.type == "http" and not c.get("client"):
+        return DocumentSource.name(), {**c, "client": HTTP_CLIENT}
     return DocumentSource.name(), dict(spec.need("client"))
 
 
