@@ -370,14 +370,19 @@ def _apart(one: str, two: str, words: int) -> str:
     return " + ".join(f"bit_count({one}f{i} ^ {two}f{i})" for i in range(words))
 
 
-def neighbours(met: DataFrame, apart: int) -> DataFrame:
-    """Pairs (a, b) of rows of met (sig, node, comp, f0, f1) with other comps and at most apart bits between f0, f1, that come
-    next to each other or next but one in their sig: as many as there are rows, twice at most."""
+#: Rows that a key may have for neighbours() to compare all of them.
+FEW = 3
+
+
+def neighbours(met: DataFrame, apart: int, few_apart: int) -> DataFrame:
+    """Pairs (a, b) of rows of met (sig, n, node, comp, f0, f1) with other comps that come next to each other or next but one
+    in their sig: as many as there are rows, twice at most. Their f0, f1 are at most apart bits apart, or few_apart where a
+    sig has no more than FEW rows, for there these are all its pairs."""
     w = Window.partitionBy("sig").orderBy("f0", "node")
     of = lambda k: F.struct(*[F.lag(c, k).over(w).alias(c) for c in ("node", "comp", "f0", "f1")])
-    placed = met.select("node", "comp", "f0", "f1", F.array(of(1), of(2)).alias("beside"))
-    near = placed.select("node", F.explode(F.expr(f"filter(beside, x -> x.comp <> comp and {_apart('', 'x.', 2)} <= {apart})")).alias("x"))
-    return near.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
+    placed = met.select("n", "node", "comp", "f0", "f1", F.array(of(1), of(2)).alias("beside"))
+    near = f"x -> x.comp <> comp and {_apart('', 'x.', 2)} <= if(n <= {FEW}, {few_apart}, {apart})"
+    return placed.select("node", F.explode(F.expr(f"filter(beside, {near})")).alias("x")).select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
 
 
 def sharing(of: DataFrame, words: int, limit: int) -> DataFrame:
@@ -489,15 +494,16 @@ def near_duplicates_out(df: DataFrame, text: str = "text", id: str = "doc_id", s
             table = F.posexplode("keys").alias("table", "key")
             data = own.hint("merge").join(comps, "node").select("node", "comp", "f0", "f1", table).select((F.col("table").cast("long") * 128**hashes + F.col("key")).alias("sig"), "table", "node", "comp", "f0", "f1")
             w = Window.partitionBy("sig")
-            several = lambda df: df.select("*", F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi")).where("lo <> hi").drop("lo", "hi")
+            several = lambda df: df.select("*", F.count(F.lit(1)).over(w).alias("n"), F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi")).where("lo <> hi").drop("lo", "hi")
             met = cut(several(data))
             known = lambda: comps.where("node <> comp").toDF("a", "b")
             verified = lambda pairs: cut(jaccard_links(pairs, texts, similarity, shingle, seed))
-            # Neighbours first, if they look close enough: they join most of a group, however large it is.
-            near = cut(neighbours(met, bit_limit(2 * BITS, similarity, 1)))
+            # Neighbours first, if they look close enough: they join most of a group, however large it is. Keys that a few
+            # rows share, by chance for the most part, are done with then.
+            near = cut(neighbours(met, bit_limit(2 * BITS, similarity, 1), bit_limit(2 * BITS, similarity, 3.5)))
             comps = cut(_classes(nodes, known().unionByName(verified(near))))
             # Then all pairs of classes that are still apart.
-            apart = several(met.select("sig", "table", "node").hint("merge").join(comps, "node")).withColumn("n", F.count(F.lit(1)).over(w))
+            apart = several(met.where(F.col("n") > FEW).select("sig", "table", "node").hint("merge").join(comps, "node"))
             apart = cut(apart.hint("merge").join(own.select("node", *names), "node"))
             pairs = sharing(apart.where(F.col("n") <= hot), words, limit)
             large = apart.where(F.col("n") > hot)
