@@ -2,6 +2,7 @@ import http.server
 import json
 import os
 import shutil
+import socketserver
 import subprocess
 import sys
 import threading
@@ -132,9 +133,9 @@ def test_services_through_a_client(spark, tmp_path):
     shutil.rmtree("/tmp/tributary-sent", ignore_errors=True)
     with pytest.raises(ValueError, match="client"):
         Pipeline(Spec("sqs"), Spec("memory", config={"table": "t"})).run(spark)
-    with pytest.raises(ValueError, match="sender"):
+    with pytest.raises(ValueError, match="url"):
         spark.createDataFrame([("x",)], "value string").createOrReplaceTempView("v_in")
-        Pipeline(Spec("memory", config={"table": "v_in"}), Spec("redis", config={"url": "u"}), validate=False).run(spark)
+        Pipeline(Spec("memory", config={"table": "v_in"}), Spec("redis", config={}), validate=False).run(spark)
 
 
 def test_memory_to_memory(spark):
@@ -290,3 +291,30 @@ def test_records_of_a_web_service(spark, tmp_path):
     p.resume(spark, wait=True)
     server.shutdown()
     assert sorted(json.loads(x)["n"] for x in lines(spark, f"{tmp_path}/out")) == list(range(1, 10))
+
+
+def test_documents_are_stored_by_id(spark, tmp_path):
+    rows = [('{"_id":"a","at":1}',), ('{"_id":"a","at":3,"v":"x"}',), ('{"_id":"b"}',), ("{}",), (None,)]
+    spec = Spec("mongodb", "m", "k", {"uri": f"{tmp_path}/db", "database": "d", "collection": "c", "client": "tests.core.fakes:database", "order": "$.at"})
+    registry.sink(spec)[1](spark.createDataFrame(rows, "value string").repartition(3), spec, False)
+    got = [d for f in tmp_path.iterdir() if f.name.startswith("db-") for d in json.loads(f.read_text())]
+    assert sorted(got, key=lambda d: d["_id"]) == [{"_id": "a", "at": 3, "v": "x"}, {"_id": "b"}]
+
+
+def test_records_are_pushed_to_a_list():
+    got = []
+
+    class Server(socketserver.StreamRequestHandler):
+        def handle(self):
+            n = int(self.rfile.readline()[1:])
+            got.append([(self.rfile.readline(), self.rfile.readline().strip())[1] for _ in range(n)])
+            self.wfile.write(b":2\r\n" if b"bad" not in got[-1] else b"-ERR wrong\r\n")
+
+    with socketserver.TCPServer(("127.0.0.1", 0), Server) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        url = f"redis://127.0.0.1:{server.server_address[1]}/things"
+        sinks.push(url, '{"a":1}\n{"b":"é"}\n', {})
+        with pytest.raises(OSError):
+            sinks.push(url, "bad\n", {})
+        server.shutdown()
+    assert got[0] == [b"RPUSH", b"things", b'{"a":1}', '{"b":"é"}'.encode()]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import itertools
 import json
 import time
 from collections.abc import Iterator
@@ -10,7 +11,9 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+from tributary.sources.formats import retried
 
 #: A change event, as text columns where its shape is open.
 CHANGE = (
@@ -24,7 +27,8 @@ class Client(Protocol):
 
     parts() cuts the stored documents into parts for as many tasks; snapshot() reads one. start() is where a new reader
     begins, latest() where the feed is now. changes() gives every event after one token up to another: it waits for
-    those that are late, and fails rather than leave any out.
+    those that are late, and fails rather than leave any out. upsert() stores documents under their _id. A client has
+    those of these methods that its source or sink needs.
     """
 
     def parts(self, options: dict[str, str], n: int) -> list[str]: ...
@@ -37,6 +41,8 @@ class Client(Protocol):
 
     def changes(self, options: dict[str, str], after: str, upto: str) -> Iterator[dict]: ...
 
+    def upsert(self, options: dict[str, str], documents: list[dict]) -> None: ...
+
 
 class PymongoClient:
     """The client that pymongo makes, where it is installed. A feed's tokens are its resume tokens, which sort by their text."""
@@ -88,6 +94,11 @@ class PymongoClient:
                     return
 
 
+    def upsert(self, options: dict[str, str], documents: list[dict]) -> None:
+        replace = importlib.import_module("pymongo").ReplaceOne
+        self._collection(options).bulk_write([replace({"_id": d["_id"]}, d, upsert=True) for d in documents], ordered=False)
+
+
 def client(options: dict[str, str]) -> Client:
     """The client that the option client names as module:factory, else pymongo's."""
     where = options.get("client")
@@ -142,8 +153,23 @@ class _Feed(DataSourceStreamReader):
             yield (_text(event),)
 
 
+class _Upsert(DataSourceWriter):
+    """Rows' documents under their _id, in bulk, so that a task that is tried again changes nothing."""
+
+    def __init__(self, options: dict[str, str]):
+        self.options = options
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        to, size = client(self.options), int(self.options.get("batch", "500"))
+        while held := list(itertools.islice(rows, size)):
+            documents = [json.loads(r["value"]) for r in held if r["value"] is not None]
+            if documents := [d for d in documents if isinstance(d, dict) and "_id" in d]:
+                retried(lambda documents=documents: to.upsert(self.options, documents), int(self.options.get("tries", "5")))
+        return WriterCommitMessage()
+
+
 class DocumentSource(DataSource):
-    """Text of documents (batch) or of change events (stream), in a column value."""
+    """Text of documents (batch, read or written) or of change events (stream), in a column value."""
 
     @classmethod
     def name(cls) -> str:
@@ -158,6 +184,9 @@ class DocumentSource(DataSource):
     def streamReader(self, schema) -> DataSourceStreamReader:
         return _Feed(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Upsert(dict(self.options))
+
 
 def decode(value: Column) -> Column:
     """A change event's text as a struct."""

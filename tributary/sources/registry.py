@@ -241,16 +241,31 @@ def _write_memory(df: DataFrame, spec: Spec, streaming: bool):
 
 
 def _write_sent(df: DataFrame, spec: Spec, streaming: bool):
-    """Sends records in bulk, one a line, to url; a service that needs more than a post has its own sender."""
+    """Sends records in bulk, one a line, to url: by a post, to redis as a list's entries, or by the option sender."""
     from tributary.sources.sinks import send_lines
 
-    spec.need("url", *(("sender",) if spec.type in ("redis", "mongodb") else ()))
+    spec.need("url")
+    config = ({"sender": "tributary.sources.sinks:push"} if spec.type == "redis" else {}) | dict(spec.config)
     if streaming:
-        return _start(df, spec, lambda w: w.foreachBatch(lambda batch, _: send_lines(batch, dict(spec.config))))
-    send_lines(df, dict(spec.config))
+        return _start(df, spec, lambda w: w.foreachBatch(lambda batch, _: send_lines(batch, config)))
+    send_lines(df, config)
     return None
 
 
-SINKS |= {name: _write_sent for name in ("http", "webhook", "redis", "mongodb")}
+def _write_mongo(df: DataFrame, spec: Spec, streaming: bool):
+    """Documents under their _id, of a repeated one the last by the option order, as sinks.with_ids() says."""
+    from tributary.sources.sinks import with_ids
+
+    def save(batch: DataFrame) -> None:
+        name, options = _mongo(batch.sparkSession, spec)
+        with_ids(batch, spec.config.get("order")).select("value").write.format(name).options(**options).mode("append").save()
+
+    if streaming:
+        return _start(df, spec, lambda w: w.foreachBatch(lambda batch, _: save(batch)))
+    save(df)
+    return None
+
+
+SINKS |= {name: _write_sent for name in ("http", "webhook", "redis")} | {"mongodb": _write_mongo}
 SINKS |= {"s3": _write_file, "postgresql": _write_jdbc}
 SINKS |= {"file": _write_file, "kafka": _write_kafka, "elasticsearch": _write_upsert, "jdbc": _write_jdbc, "memory": _write_memory}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 import itertools
 import json
+import socket
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -30,6 +32,18 @@ def post(url: str, body: str, headers: dict[str, str]) -> None:
             raise OSError(f"bulk request failed: {answer.status}")
 
 
+def push(url: str, body: str, headers: dict[str, str]) -> None:
+    """Appends lines to a list of a redis server: url is redis://host:port/list, one command for all of them."""
+    at = urllib.parse.urlparse(url)
+    words = [b"RPUSH", at.path.strip("/").encode() or b"records", *body.encode().splitlines()]
+    command = b"*%d\r\n" % len(words) + b"".join(b"$%d\r\n%s\r\n" % (len(w), w) for w in words)
+    with socket.create_connection((at.hostname or "localhost", at.port or 6379), timeout=60) as connection:
+        connection.sendall(command)
+        answer = connection.makefile("rb").readline()
+    if not answer.startswith(b":"):
+        raise OSError(f"push failed: {answer.decode(errors='replace').strip()}")
+
+
 def with_ids(df: DataFrame, order: str | None = None) -> DataFrame:
     """(id, value): a document's _id, without documents that have none; of a repeated id the one that is last by order.
 
