@@ -69,12 +69,6 @@ def release(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete all tables that cut() has written in the shared folder; nothing may read them any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tributary")
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """A table of the data folder."""
     return table(spark, sf_dir, name)

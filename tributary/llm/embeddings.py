@@ -450,24 +450,25 @@ def embedding_dedup(df: DataFrame, vec: str = "embedding", id: str = "vec_id", t
     finite = F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("vec", lambda x: x != 0)
     valid = F.coalesce(F.col("vec").isNotNull() & finite, F.lit(False))
     good = base.where(valid)
-    nodes = cut(good.groupBy("vec").agg(F.min(ROW).alias("node"), F.min("id").alias("least"), F.count(F.lit(1)).alias("mult")).withColumn("dim", F.size("vec")))
-    sizes = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().collect()}
-    counts, edges = None, None
-    for dim, n in sorted(sizes.items()):
-        one, two = _links(nodes.where(F.col("dim") == dim), dim, n, threshold, shard, overlap, visits, beam, sample, recall, most, told)
-        counts = one if counts is None else counts.unionByName(one)
-        edges = two if edges is None else edges.unionByName(two)
-    if counts is None:
-        return base.select(ROW, "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("keep"))
-    roots = components(edges)
-    joined = cut(nodes.join(counts, F.col("node") == F.col("a"), "left").join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("node", "least", "mult", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")))
-    classes = cut(joined.groupBy("root").agg(F.min("least").alias("component")))
-    told = cut(joined.join(classes, "root").select("node", (F.col("links") + F.col("mult") - 1).alias("n_links"), "component"))
-    twice = cut(nodes.where("mult > 1").select(F.col("vec").alias("twin"), F.col("node").alias("shared")))
+    with scope():
+        nodes = cut(good.groupBy("vec").agg(F.min(ROW).alias("node"), F.min("id").alias("least"), F.count(F.lit(1)).alias("mult")).withColumn("dim", F.size("vec")))
+        sizes = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().collect()}
+        counts, edges = None, None
+        for dim, n in sorted(sizes.items()):
+            one, two = _links(nodes.where(F.col("dim") == dim), dim, n, threshold, shard, overlap, visits, beam, sample, recall, most, told)
+            counts = one if counts is None else counts.unionByName(one)
+            edges = two if edges is None else edges.unionByName(two)
+        if counts is None:
+            return base.select(ROW, "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("keep"))
+        roots = components(edges)
+        joined = cut(nodes.join(counts, F.col("node") == F.col("a"), "left").join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("node", "least", "mult", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")))
+        classes = cut(joined.groupBy("root").agg(F.min("least").alias("component")))
+        each = keep(cut(joined.join(classes, "root").select("node", (F.col("links") + F.col("mult") - 1).alias("n_links"), "component")))
+        twice = keep(cut(nodes.where("mult > 1").select(F.col("vec").alias("twin"), F.col("node").alias("shared"))))
     n_twice = twice.count()
     row = good.join(maybe_broadcast(twice, n_twice, 2000), F.col("vec") == F.col("twin"), "left") if n_twice else good.withColumn("shared", F.lit(None).cast("long"))
     row = row.select(ROW, "id", F.coalesce("shared", ROW).alias("of"))
-    linked = row.join(told, F.col("of") == F.col("node")).select(ROW, "id", "n_links", "component")
+    linked = row.join(each, F.col("of") == F.col("node")).select(ROW, "id", "n_links", "component")
     alone = base.where(~valid).select(ROW, "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return linked.unionByName(alone).withColumn("keep", F.col("id").eqNullSafe(F.col("component")))
 

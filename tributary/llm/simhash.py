@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import ROW, by_batches, cut, documents, keep, maybe_broadcast, numbered, release, renamed, rows, scope, unsigned_hex
+from tributary.llm.common import ROW, by_batches, cut, documents, keep, maybe_broadcast, numbered, renamed, rows, scope, unsigned_hex
 from tributary.llm.components import components, forest
 
 BITS = 64
@@ -250,23 +250,23 @@ def simhash_dedup(df: DataFrame, text: str = "text", id: str = "doc_id", k: int
     and every candidate is verified; with limit, candidates that differ in up to limit bits are linked as well.
 
     Null and wordless texts have fingerprint 0 and are linked like any other. Repeated rows each get a row. An empty
-    table gives an empty result. Other columns of df are ignored, whatever their names.
+    table gives an empty result. Other columns of df are ignored, whatever their names. df is a stored table, read alike each
+    time: rows are told apart by their place in it.
     """
     names = _names(words)
-    marked = cut(fingerprints(df, text, id, shingle, seed, words))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(ROW)))
-    distinct = cut(marked.groupBy(*names).agg(F.min(ROW).alias("node"), F.min("id").alias("least"), first.alias("first")))
-    n = distinct.count()
-    if n < 2:
-        roots = distinct.select("node", F.col("node").alias("root"))
-    else:
-        roots = components(links(distinct.select("node", *names), n, k, limit, words, probed))
-    joined = cut(distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    of = cut(joined.groupBy("root").agg(F.min("least").alias("component"), F.min("first").alias("chosen")).select("root", "component", F.col(f"chosen.{ROW}").alias("chosen")))
-    classes = cut(joined.select(*names, "root").join(of, "root").select(*names, "component", "chosen"))
-    out = marked.join(classes, names).select(ROW, "id", *names, "component", (F.col(ROW) == F.col("chosen")).alias("keep"))
-    release(distinct, joined, of)
-    return out
+    with scope():
+        marked = keep(cut(fingerprints(df, text, id, shingle, seed, words)))
+        first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(ROW)))
+        distinct = cut(marked.groupBy(*names).agg(F.min(ROW).alias("node"), F.min("id").alias("least"), first.alias("first")))
+        n = distinct.count()
+        if n < 2:
+            roots = distinct.select("node", F.col("node").alias("root"))
+        else:
+            roots = components(cut(links(distinct.select("node", *names), n, k, limit, words, probed)))
+        joined = cut(distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        of = cut(joined.groupBy("root").agg(F.min("least").alias("component"), F.min("first").alias("chosen")).select("root", "component", F.col(f"chosen.{ROW}").alias("chosen")))
+        classes = keep(cut(joined.select(*names, "root").join(of, "root").select(*names, "component", "chosen")))
+    return marked.join(classes, names).select(ROW, "id", *names, "component", (F.col(ROW) == F.col("chosen")).alias("keep"))
 
 
 def wide_counts(hashes: np.ndarray, words: int) -> np.ndarray:
