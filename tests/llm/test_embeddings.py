@@ -114,3 +114,9 @@ def test_a_low_recall_ends_in_brute_force(spark, monkeypatch):
     got, links, label = check(spark, vectors, shard=50, told=told)
     assert [t["attempt"] for t in told] == [0, 1, 2] and told[0]["recall"] == 0.0 and told[2]["recall"] == 1.0
     assert all(got[i].n_links == links[i].sum() and got[i].component == label[i] for i in got)
+
+
+def test_lengths_of_one_vector_each(spark):
+    rows = [(i, [1.0] * (i // 2 + 1)) for i in range(12)] + [(20, [1.0, 2.0, 3.0, 4.0])]
+    got = {r.id: (r.n_links, r.component, r.keep) for r in embeddings.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {**{i: (1, i - i % 2, i % 2 == 0) for i in range(12) if i not in (6, 7)}, 6: (2, 6, True), 7: (2, 6, False), 20: (2, 6, False)}

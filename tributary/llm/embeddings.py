@@ -441,9 +441,9 @@ def embedding_dedup(df: DataFrame, vec: str = "embedding", id: str = "vec_id", t
     all vectors are compared with all. component is the smallest id that a row reaches (nulls don't count), keep whether
     that is its own.
 
-    Vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different lengths
-    don't link. Repeated rows are equal vectors. An empty table gives an empty result; other columns are ignored. df is a
-    stored table, read alike each time.
+    Vectors that are null, zero, or hold null or non-finite components link with nothing. Vectors of different lengths
+    don't link, and each length that several have is searched by itself, one after the other. Repeated rows are equal
+    vectors. An empty table gives an empty result; other columns are ignored. df is a stored table, read alike each time.
     """
     told = [] if told is None else told
     base = df.select(F.monotonically_increasing_id().alias(ROW), df[id].alias("id"), df[vec].alias("vec"))
@@ -453,13 +453,12 @@ def embedding_dedup(df: DataFrame, vec: str = "embedding", id: str = "vec_id", t
     with scope():
         nodes = cut(good.groupBy("vec").agg(F.min(ROW).alias("node"), F.min("id").alias("least"), F.count(F.lit(1)).alias("mult")).withColumn("dim", F.size("vec")))
         sizes = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().collect()}
-        counts, edges = None, None
+        spark = df.sparkSession
+        counts, edges = spark.createDataFrame([], "a long, links long"), spark.createDataFrame([], "a long, b long")
         for dim, n in sorted(sizes.items()):
-            one, two = _links(nodes.where(F.col("dim") == dim), dim, n, threshold, shard, overlap, visits, beam, sample, recall, most, told)
-            counts = one if counts is None else counts.unionByName(one)
-            edges = two if edges is None else edges.unionByName(two)
-        if counts is None:
-            return base.select(ROW, "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("keep"))
+            if n > 1:  # of a length that one vector has there is nothing to search
+                one, two = _links(nodes.where(F.col("dim") == dim), dim, n, threshold, shard, overlap, visits, beam, sample, recall, most, told)
+                counts, edges = counts.unionByName(one), edges.unionByName(two)
         roots = components(edges)
         joined = cut(nodes.join(counts, F.col("node") == F.col("a"), "left").join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("node", "least", "mult", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")))
         classes = cut(joined.groupBy("root").agg(F.min("least").alias("component")))
