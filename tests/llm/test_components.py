@@ -1,5 +1,6 @@
 import random
 
+from tributary.llm import components as parts
 from tributary.llm.components import components
 
 
@@ -37,3 +38,14 @@ def test_shapes(spark):
 def test_loops_nulls_and_nothing(spark):
     assert roots(spark, [(1, 1), (None, 2), (3, None), (5, 4)]) == {5: 4, 4: 4}
     assert roots(spark, []) == {}
+
+
+def test_few_and_many_edges_alike(spark, monkeypatch):
+    rnd = random.Random(4)
+    edges = [(rnd.randrange(900), rnd.randrange(900)) for _ in range(700)]
+    want = brute([(a, b) for a, b in edges if a != b])
+    assert roots(spark, edges) == want
+    monkeypatch.setattr(parts, "FEW", 0)
+    assert roots(spark, edges) == want
+    test_shapes(spark)
+    test_loops_nulls_and_nothing(spark)

@@ -38,17 +38,33 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
+#: So many edges are worth no rounds: one task joins them.
+FEW = 10_000
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all nodes of all edges that a task has."""
+    ends = [(t.column(0).to_numpy(), t.column(1).to_numpy()) for t in batches]
+    a, b = (np.concatenate(x) for x in zip(*ends, strict=True)) if ends else (np.empty(0, dtype=np.int64),) * 2
+    u, v = forest(a, b)
+    roots = np.unique(v)
+    yield pa.record_batch([pa.array(np.concatenate([u, roots])), pa.array(np.concatenate([v, roots]))], names=["node", "root"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node of its component.
 
     Edges are pairs of longs in any direction; repeated edges and loops do no harm, edges with a null are ignored.
     Each batch of edges is first replaced by its spanning stars, so dense groups shrink before they are shuffled.
     Then large-star and small-star steps alternate until nothing changes. The minima are aggregated before they are
-    shuffled and joined as tables of their own, so that AQE can split the rows of a hub. Nothing is collected.
+    shuffled and joined as tables of their own, so that AQE can split the rows of a hub. Nothing is collected. Where no
+    more than FEW edges are left after the first step, one task ends it, with the same result.
     """
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     pairs = pairs.where("u is not null and v is not null and u <> v")
     now = cut(pairs.mapInArrow(_forests, "u long, v long").distinct())
+    if now.count() <= FEW:
+        return now.repartition(1).mapInArrow(_whole, "node long, root long")
     for _ in range(rounds):
         # Large star: every larger neighbour of u goes to the smallest node that u knows.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -428,11 +428,14 @@ def crowded(of: DataFrame, own: DataFrame, words: int, limit: int, block: int =
     return dealt.groupBy("sig", "i", "j").applyInArrow(_crowd(words, limit), "a long, b long").distinct()
 
 
-def jaccard_links(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int, seed: int = 42) -> DataFrame:
-    """Those of pairs (a, b) whose sets of shingles have a Jaccard similarity of at least similarity; texts has (__row, text)."""
-    need = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
-    of = texts.hint("merge").join(need, F.col(ROW) == F.col("n"), "left_semi").select(ROW, "text")
-    sets = cut(by_batches(of, _sets(shingle, seed), "node long, own array<long>", 256))
+def shingle_sets(texts: DataFrame, need: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
+    """(node, own): the sets of shingles of those rows of texts (__row, text) that need (node) names."""
+    of = texts.hint("merge").join(need.select(F.col("node").alias("of")).distinct(), F.col(ROW) == F.col("of"), "left_semi").select(ROW, "text")
+    return cut(by_batches(of, _sets(shingle, seed), "node long, own array<long>", 256))
+
+
+def jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose sets (node, own) have a Jaccard similarity of at least similarity."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -497,10 +500,12 @@ def near_duplicates_out(df: DataFrame, text: str = "text", id: str = "doc_id", s
             several = lambda df: df.select("*", F.count(F.lit(1)).over(w).alias("n"), F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi")).where("lo <> hi").drop("lo", "hi")
             met = cut(several(data))
             known = lambda: comps.where("node <> comp").toDF("a", "b")
-            verified = lambda pairs: cut(jaccard_links(pairs, texts, similarity, shingle, seed))
+            verified = lambda pairs: cut(jaccard_links(pairs, sets, similarity))
             # Neighbours first, if they look close enough: they join most of a group, however large it is. Keys that a few
             # rows share, by chance for the most part, are done with then.
             near = cut(neighbours(met, bit_limit(2 * BITS, similarity, 1), bit_limit(2 * BITS, similarity, 3.5)))
+            # Sets are made once, of all that is or may be compared.
+            sets = shingle_sets(texts, near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(met.where(F.col("n") > FEW).select("node")), shingle, seed)
             comps = cut(_classes(nodes, known().unionByName(verified(near))))
             # Then all pairs of classes that are still apart.
             apart = several(met.where(F.col("n") > FEW).select("sig", "table", "node").hint("merge").join(comps, "node"))
