@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -31,32 +32,39 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(key, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._tributary_path = path
-    if _SCOPES:
-        _SCOPES[-1].append(out)
+    if _SCOPES.open:
+        _SCOPES.open[-1].append(out)
     return out
 
 
-#: The tables that cut() has written in each open scope().
-_SCOPES: list[list[DataFrame]] = []
+class _Scopes(threading.local):
+    """The tables that cut() has written in each open scope() of a thread."""
+
+    def __init__(self):
+        self.open: list[list[DataFrame]] = []
+
+
+_SCOPES = _Scopes()
 
 
 @contextmanager
 def scope() -> Iterator[None]:
     """Tables that cut() writes inside are deleted at the end, but for those that went through keep()."""
     made: list[DataFrame] = []
-    _SCOPES.append(made)
+    _SCOPES.open.append(made)
     try:
         yield
     finally:
-        _SCOPES.remove(made)
+        _SCOPES.open.pop()
         release(*made)
 
 
 def keep(df: DataFrame) -> DataFrame:
     """A table that cut() wrote and that outlives the scope; the next outer one, if any, has it then."""
-    _SCOPES[-1][:] = [x for x in _SCOPES[-1] if x is not df]
-    if len(_SCOPES) > 1:
-        _SCOPES[-2].append(df)
+    inner = _SCOPES.open[-1]
+    inner[:] = [x for x in inner if x is not df]
+    if len(_SCOPES.open) > 1:
+        _SCOPES.open[-2].append(df)
     return df
 
 
