@@ -18,14 +18,17 @@ from tributary.session import shared_dir, table
 ROW = "__row"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again. The lineage ends there, and a lost executor costs nothing."""
+def cut(df: DataFrame, batch: int = 1024) -> DataFrame:
+    """Write df to the shared folder and read it again. The lineage ends there, and a lost executor costs nothing.
+
+    While it runs, batches of batch rows at most go to Python, so that a worker holds little; the session's own setting
+    holds again after.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tributary/{uuid.uuid4().hex}"
-    # While it runs, batches of 1024 rows go to Python, so that a worker holds little; the session's own setting holds again after.
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     was = spark.conf.get(key)
-    spark.conf.set(key, str(min(1024, int(was)) if int(was) > 0 else 1024))
+    spark.conf.set(key, str(min(batch, int(was)) if int(was) > 0 else batch))
     try:
         df.write.parquet(path)
     finally:

@@ -500,7 +500,7 @@ def near_duplicates_out(df: DataFrame, text: str = "text", id: str = "doc_id", s
             several = lambda df: df.select("*", F.count(F.lit(1)).over(w).alias("n"), F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi")).where("lo <> hi").drop("lo", "hi")
             met = cut(several(data))
             known = lambda: comps.where("node <> comp").toDF("a", "b")
-            verified = lambda pairs: cut(jaccard_links(pairs, sets, similarity))
+            verified = lambda pairs: cut(jaccard_links(pairs, sets, similarity), 128)
             # Neighbours first, if they look close enough: they join most of a group, however large it is. Keys that a few
             # rows share, by chance for the most part, are done with then.
             near = cut(neighbours(met, bit_limit(2 * BITS, similarity, 1), bit_limit(2 * BITS, similarity, 3.5)))
