@@ -156,6 +156,34 @@ def test_interval_and_range_joins(spark):
     assert sorted((r.pid, r.rid) for r in relational.range_join(points, ranges, "x", "lo", "hi", 5.0).collect()) == want
 
 
+def test_range_join_of_odd_rows(spark, monkeypatch):
+    """Copies, nulls, NaN, both zeros, ranges the wrong way round; cells and blocks of a few rows."""
+    monkeypatch.setattr(relational, "BLOCK", 3)
+    monkeypatch.setattr(relational, "CELL", 7)
+    rnd = random.Random(5)
+    xs = [0.0, -0.0, 1.5, 9.99, 10.0, -3.0, float("nan"), None]
+    p = [(rnd.randrange(30), rnd.choice("ab"), rnd.choice(xs)) for _ in range(300)] + [(1, None, 1.5)] + [(99, "a", 1.5)] * 70
+    r = [(rnd.randrange(30), rnd.choice("ab"), lo := rnd.choice([-3.0, 0.0, -0.0, 1.5, 7.0, None]), None if lo is None else lo + rnd.choice([0, 2.5, 40, -1])) for _ in range(200)] + [(2, None, 0.0, 9.0), (3, "a", 0.0, None)]
+    points = spark.createDataFrame(p, "pid long, k string, x double")
+    ranges = spark.createDataFrame(r, "rid long, k string, lo double, hi double")
+    made = relational.range_join(points, ranges, "x", "lo", "hi", 5.0, by=["k"])
+    assert made.columns == ["k", "pid", "x", "rid", "lo", "hi"]
+    want = [(k, i, x, j, lo, hi) for i, k, x in p for j, k2, lo, hi in r if k and k == k2 and None not in (x, lo, hi) and lo <= x <= hi]
+    assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, want)) and len(want) > 5000
+
+
+def test_range_join_of_many_pairs(spark, tmp_path):
+    """Few rows that give many pairs are the work of several tasks, and what is written is a small part of a byte a pair."""
+    points = spark.range(50).select(F.col("id").alias("pid"), (F.col("id") % 2 / 100).alias("x")).coalesce(1)
+    ranges = spark.range(40_000).select(F.col("id").alias("rid"), F.lit(0.0).alias("lo"), (F.lit(0.01) + F.col("id") % 3 / 100).alias("hi")).coalesce(1)
+    relational.range_join(points, ranges, "x", "lo", "hi", 0.1).select("pid", "rid").write.parquet(f"{tmp_path}/pairs")
+    back = spark.read.parquet(f"{tmp_path}/pairs")
+    assert back.count() == back.distinct().count() == 2_000_000
+    sizes = [f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")]
+    assert sum(sizes) < 0.5 * 2_000_000
+    assert back.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 1_500_000
+
+
 def test_payload_schemas(spark):
     from tributary.sources import formats
 
